@@ -79,7 +79,7 @@ def clean_text(
 
 def strip_markup(html: Column) -> Column:
     """Page text of an HTML page: scripts, styles, comments and tags dropped."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " ")
+    text = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"<[^>]*>", " ")
     return strip(F.regexp_replace(text, r"\s+", " "))

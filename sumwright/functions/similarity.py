@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sumwright.functions.text import bind
-
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays, in double precision."""
@@ -21,33 +17,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def hashed_counts(tokens: Column, size: int = 64) -> Column:
-    """Bag of words as a fixed-length vector: tokens counted by hash bucket."""
-    slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size).cast("bigint")))
-    return bind(
-        slots,
-        lambda s: F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)),
-            lambda i: F.size(F.filter(s, lambda v: v == i)).cast("double"),
-        ),
-    )
-
-
-def text_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the exact term counts of two token arrays, on the terms themselves.
+def term_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two token arrays as 0/1 term vectors; 0 when one side is empty.
 
-    The number of equal pairs is the inner product of the two count vectors.
+    It stands in for a sentence encoder, whose vectors would be an input column for ``cosine``.
     """
-
-    def pairs(x: Column, y: Column) -> Column:
-        return F.aggregate(
-            x,
-            F.lit(0).cast("bigint"),
-            lambda acc, t: acc + F.size(F.filter(y, lambda v: v == t)),
-        ).cast("double")
-
-    return F.try_divide(pairs(a, b), F.sqrt(pairs(a, a)) * F.sqrt(pairs(b, b)))
-
-
-def all_true(*conditions: Column) -> Column:
-    return reduce(lambda x, y: x & y, conditions)
+    left, right = F.array_distinct(a), F.array_distinct(b)
+    shared = F.size(F.array_intersect(a, b)).cast("double")
+    sizes = F.size(left).cast("double") * F.size(right).cast("double")
+    return F.coalesce(F.try_divide(shared, F.sqrt(sizes)), F.lit(0.0))

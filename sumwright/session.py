@@ -7,6 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators are written for; nothing here depends on the data.
+
+    Compiled methods above 8,000 bytes are never JIT-compiled, so such stages are better split
+    into one method per expression. Python batches are limited by size, since one document may be
+    large.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    return spark
+
+
 def local_session(cpus: int | str = 8, name: str = "sumwright") -> SparkSession:
     """A local session for tests and the benchmark; on a cluster, bring your own."""
     spark = (
@@ -20,7 +33,7 @@ def local_session(cpus: int | str = 8, name: str = "sumwright") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
