@@ -8,14 +8,12 @@ step, which Spark compiles; every other program takes the fold. Both are maps: n
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwright.functions.equivalence import PRIME, SEEDS, equal_program
 from sumwright.functions.execute import eval_program
-from sumwright.functions.numbers import CONST_PREFIX, round_exact
+from sumwright.functions.numbers import round_exact
 from sumwright.functions.program_text import EOF
 
 UNROLLED_STEPS = 3
@@ -34,85 +32,33 @@ _RATIONAL_PROGRAM = (
     rf"{EOF}\z"
 )
 
-
-def _temp(*parts: object) -> str:
-    return "__sw_" + "_".join(str(p) for p in parts)
+_STEPS = range(UNROLLED_STEPS)
+_TEMP = "__sw_"
 
 
-def _token(tokens: str, step: int, place: int) -> Column:
-    return F.get(F.col(tokens), F.lit(4 * step + place))
+def _project(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns given as SQL text."""
+    return df.selectExpr("*", *[f"{sql} AS {_TEMP}{name}" for name, sql in columns.items()])
 
 
-def _drop_temps(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("__sw_")])
+def _matches(tokens: str, pattern: str) -> Column:
+    """Step count of a program that has the given form, else 0."""
+    count = F.expr(f"CAST((size(`{tokens}`) - 1) DIV 4 AS INT)")
+    return F.when(F.array_join(F.col(tokens), "|").rlike(pattern), count).otherwise(0)
 
 
-def with_result(
-    df: DataFrame, tokens: str = "predicted", table: str | None = None, out: str = "result"
-) -> DataFrame:
-    """Add ``out``: ``struct<invalid, num, txt>`` of running ``tokens`` over ``table``."""
-    df = df.withColumn(
-        _temp("n"),
-        F.when(
-            F.array_join(F.col(tokens), "|").rlike(_PLAIN_PROGRAM),
-            F.floor((F.size(F.col(tokens)) - 1) / 4).cast("int"),
-        ).otherwise(0),
-    )
+def _token(tokens: str, step: int, place: int) -> str:
+    return f"get(`{tokens}`, {4 * step + place})"
 
-    def argument(step: int, place: int) -> Column:
-        token = _token(tokens, step, place)
-        number = F.when(
-            token.startswith(CONST_PREFIX),
-            F.substring(token, len(CONST_PREFIX) + 1, 400).try_cast("double"),
-        ).otherwise(token.try_cast("double"))
-        earlier = F.lit(None).cast("double")
-        for k in reversed(range(step)):
-            earlier = F.when(token == f"#{k}", F.col(_temp("v", k))).otherwise(earlier)
-        return F.when(
-            F.col(_temp("n")) > step, F.when(token.startswith("#"), earlier).otherwise(number)
-        )
 
-    for step in range(UNROLLED_STEPS):
-        df = df.withColumns(
-            {_temp("x", step): argument(step, 1), _temp("y", step): argument(step, 2)}
-        )
-        op, x, y = _token(tokens, step, 0), F.col(_temp("x", step)), F.col(_temp("y", step))
-        value = (
-            F.when(op == "add(", x + y)
-            .when(op == "subtract(", x - y)
-            .when(op == "multiply(", x * y)
-            .when(op == "divide(", F.try_divide(x, y))
-            .when(op == "exp(", F.pow(x, y))
-            .when(op == "greater(", F.when(x > y, 1.0).otherwise(x - x + y - y))
-        )
-        df = df.withColumn(_temp("v", step), value)
+def _settle(df: DataFrame, out: str, value: Column) -> DataFrame:
+    """Put ``value`` behind a generator of one row and drop the temporary columns.
 
-    # Any missing or infinite value (bad reference, zero divisor, overflow) is left to the fold.
-    count = F.col(_temp("n"))
-    values = [F.col(_temp("v", k)) for k in range(UNROLLED_STEPS)]
-    sound = reduce(
-        lambda a, b: a & b,
-        [(count <= k) | (F.abs(v) <= 1.7e308) for k, v in enumerate(values)],
-    )
-    last = F.coalesce(*reversed(values))
-    last_op = F.element_at(F.col(tokens), -5)
-    df = df.withColumns(
-        {
-            _temp("last"): F.when((count > 0) & F.coalesce(sound, F.lit(False)), last),
-            _temp("compares"): F.when(count > 0, last_op == "greater("),
-        }
-    )
-    final = F.col(_temp("last"))
-    df = df.withColumn(_temp("num"), round_compiled(final))
-    compares = F.col(_temp("compares"))
-    plain = F.struct(
-        F.lit(0).alias("invalid"),
-        F.when(~compares, F.col(_temp("num"))).alias("num"),
-        F.when(compares, F.when(final == 1.0, "yes").otherwise("no")).alias("txt"),
-    )
-    grid = None if table is None else F.col(table)
-    folded = eval_program(F.col(tokens), grid)
-    return _drop_temps(df.withColumn(out, F.when(final.isNotNull(), plain).otherwise(folded)))
+    A filter on the result would otherwise be rewritten in terms of the first input columns, and
+    its size multiplies with every step on the way down. Through a generator it does not pass.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if not c.startswith(_TEMP)]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(out))
 
 
 def round_compiled(value: Column) -> Column:
@@ -126,6 +72,53 @@ def round_compiled(value: Column) -> Column:
     return F.when(clear, nearest / 100000.0).otherwise(round_exact(value))
 
 
+def with_result(
+    df: DataFrame, tokens: str = "predicted", table: str | None = None, out: str = "result"
+) -> DataFrame:
+    """Add ``out``: ``struct<invalid, num, txt>`` of running ``tokens`` over ``table``."""
+    run = df.withColumn(f"{_TEMP}n", _matches(tokens, _PLAIN_PROGRAM))
+
+    def argument(step: int, place: int) -> str:
+        token = _token(tokens, step, place)
+        earlier = " ".join(f"WHEN '#{k}' THEN {_TEMP}v{k}" for k in range(step))
+        reference = f"CASE {token} {earlier} END" if step else "CAST(NULL AS DOUBLE)"
+        return f"""CASE WHEN {_TEMP}n <= {step} THEN NULL
+            WHEN startswith({token}, '#') THEN {reference}
+            WHEN startswith({token}, 'const_') THEN try_cast(substring({token}, 7) AS DOUBLE)
+            ELSE try_cast({token} AS DOUBLE) END"""
+
+    for step in _STEPS:
+        x, y = f"{_TEMP}x{step}", f"{_TEMP}y{step}"
+        run = _project(run, **{f"x{step}": argument(step, 1), f"y{step}": argument(step, 2)})
+        run = _project(
+            run,
+            **{
+                f"v{step}": f"""CASE {_token(tokens, step, 0)}
+                    WHEN 'add(' THEN {x} + {y} WHEN 'subtract(' THEN {x} - {y}
+                    WHEN 'multiply(' THEN {x} * {y} WHEN 'divide(' THEN try_divide({x}, {y})
+                    WHEN 'exp(' THEN power({x}, {y})
+                    WHEN 'greater(' THEN CASE WHEN {x} > {y} THEN 1D WHEN {x} <= {y} THEN 0D END
+                    END"""
+            },
+        )
+    # Any missing or infinite value (bad reference, zero divisor, overflow) is left to the fold.
+    sound = " AND ".join(f"({_TEMP}n <= {k} OR abs({_TEMP}v{k}) <= 1.7e308D)" for k in _STEPS)
+    last = ", ".join(f"{_TEMP}v{k}" for k in reversed(_STEPS))
+    run = _project(
+        run,
+        last=f"CASE WHEN {_TEMP}n > 0 AND {sound} THEN coalesce({last}) END",
+        compares=f"{_TEMP}n > 0 AND try_element_at(`{tokens}`, -5) = 'greater('",
+    )
+    final, compares = F.col(f"{_TEMP}last"), F.col(f"{_TEMP}compares")
+    plain = F.struct(
+        F.lit(0).alias("invalid"),
+        F.when(~compares, round_compiled(final)).alias("num"),
+        F.when(compares, F.when(final == 1.0, "yes").otherwise("no")).alias("txt"),
+    )
+    folded = eval_program(F.col(tokens), None if table is None else F.col(table))
+    return _settle(run, out, F.when(final.isNotNull(), plain).otherwise(folded))
+
+
 def with_equality(
     df: DataFrame,
     gold: str = "gold",
@@ -133,103 +126,94 @@ def with_equality(
     out: str = "equal",
     positional_tables: bool = False,
 ) -> DataFrame:
-    """Add ``out``: whether the ``pred`` program is the same expression as the ``gold`` program."""
+    """Add ``out``: whether the ``pred`` program is the same expression as the ``gold`` program.
+
+    Compiled: literals and references are checked; one random point refutes; the same text up to
+    the order of commuting operands confirms. What is left takes the fold at several points.
+    """
     sides = {"g": gold, "p": pred}
-    df = df.withColumns(
-        {
-            _temp("n", side): F.when(
-                F.array_join(F.col(tokens), "|").rlike(_RATIONAL_PROGRAM),
-                F.floor((F.size(F.col(tokens)) - 1) / 4).cast("int"),
-            ).otherwise(0)
-            for side, tokens in sides.items()
-        }
+    slots = [(step, place) for step in _STEPS for place in (1, 2)]
+    run = df.withColumns(
+        {f"{_TEMP}n_{side}": _matches(tokens, _RATIONAL_PROGRAM) for side, tokens in sides.items()}
     )
-    both = (F.col(_temp("n", "g")) > 0) & (F.col(_temp("n", "p")) > 0)
-    identical = F.array_join(F.col(gold), "|") == F.array_join(F.col(pred), "|")
-    df = df.withColumns({_temp("both"): both, _temp("same"): both & identical})
-    # An identical program needs no arithmetic but the check of its references.
-    used = F.col(_temp("both"))
 
-    def literal(side: str, step: int, place: int) -> Column:
+    def literal(side: str, step: int, place: int) -> str:
         token = _token(sides[side], step, place)
-        return F.when((F.col(_temp("n", side)) > step) & ~token.startswith("#"), token)
+        return f"CASE WHEN {_TEMP}n_{side} > {step} AND NOT startswith({token}, '#') THEN {token} END"
 
-    def reference_ok(side: str, step: int, place: int) -> Column:
+    def reference_ok(side: str, step: int, place: int) -> str:
         token = _token(sides[side], step, place)
-        in_range = (
-            F.substring(token, 2, 1).try_cast("int") < step if step else F.lit(False)
+        return (
+            f"({_TEMP}n_{side} <= {step} OR NOT startswith({token}, '#') "
+            f"OR try_cast(substring({token}, 2) AS INT) < {step})"
         )
-        return (F.col(_temp("n", side)) <= step) | ~token.startswith("#") | in_range
 
-    slots = [(step, place) for step in range(UNROLLED_STEPS) for place in (1, 2)]
-    gold_names = F.array(F.lit(None).cast("string"), *[literal("g", *slot) for slot in slots])
-    pred_names = F.array(*[literal("p", *slot) for slot in slots])
-    references = reduce(
-        lambda a, b: a & b, [reference_ok(side, *slot) for side in sides for slot in slots]
-    )
-    df = df.withColumn(
-        _temp("ok"),
-        F.when(used, references & (F.size(F.array_except(pred_names, gold_names)) == 0)),
+    names = {side: ", ".join(literal(side, *slot) for slot in slots) for side in sides}
+    references = " AND ".join(reference_ok(side, *slot) for side in sides for slot in slots)
+    run = _project(run, plain=f"{_TEMP}n_g > 0 AND {_TEMP}n_p > 0")
+    run = _project(
+        run,
+        same=f"{_TEMP}plain AND array_join(`{gold}`, '|') = array_join(`{pred}`, '|')",
+        ok=f"""{_TEMP}plain AND {references}
+            AND size(array_except(array({names["p"]}), array(NULL, {names["g"]}))) = 0""",
     )
-    tested = F.col(_temp("ok")) & ~F.col(_temp("same"))
+    run = _project(run, tested=f"{_TEMP}ok AND NOT {_TEMP}same")
 
-    def mod(value: Column) -> Column:
-        return F.pmod(value, F.lit(PRIME).cast("bigint"))
-
-    # One random point refutes; the same text up to the order of commuting operands confirms.
-    one = F.lit(1).cast("bigint")
-    for step in range(UNROLLED_STEPS):
-        operands, results = {}, {}
-        for side, tokens in sides.items():
-            active = tested & (F.col(_temp("n", side)) > step)
-            for place in (1, 2):
-                token = _token(tokens, step, place)
-                parts = {
-                    "n": mod(F.xxhash64(F.concat(F.lit("lit|"), token), F.lit(SEEDS[0]))),
-                    "d": one,
-                    "text": token,
-                }
-                for part, fresh in parts.items():
-                    for k in range(step):
-                        fresh = F.when(token == f"#{k}", F.col(_temp(side, k, part))).otherwise(
-                            fresh
-                        )
-                    operands[_temp(side, step, place, part)] = F.when(active, fresh)
-            op = _token(tokens, step, 0)
-            xn, xd, x, yn, yd, y = (
-                F.col(_temp(side, step, place, part))
+    def operand(side: str, step: int, place: int, part: str) -> str:
+        token = _token(sides[side], step, place)
+        fresh = {
+            "n": f"pmod(xxhash64(concat('lit|', {token}), {SEEDS[0]}), {PRIME}L)",
+            "d": "1L",
+            "text": token,
+        }[part]
+        earlier = " ".join(f"WHEN {token} = '#{k}' THEN {_TEMP}{side}{k}_{part}" for k in range(step))
+        return f"""CASE WHEN NOT ({_TEMP}tested AND {_TEMP}n_{side} > {step}) THEN NULL
+            {earlier} ELSE {fresh} END"""
+
+    for step in _STEPS:
+        run = _project(
+            run,
+            **{
+                f"{side}{step}_{place}{part}": operand(side, step, place, part)
+                for side in sides
                 for place in (1, 2)
                 for part in ("n", "d", "text")
+            },
+        )
+        results = {}
+        for side, tokens in sides.items():
+            op, at = _token(tokens, step, 0), f"{_TEMP}{side}{step}_"
+            left = f"pmod({at}1n * {at}2d, {PRIME}L)"
+            right = f"pmod({at}2n * {at}1d, {PRIME}L)"
+            results[f"{side}{step}_n"] = f"""CASE {op}
+                WHEN 'add(' THEN pmod({left} + {right}, {PRIME}L)
+                WHEN 'subtract(' THEN pmod({left} - {right}, {PRIME}L)
+                WHEN 'multiply(' THEN pmod({at}1n * {at}2n, {PRIME}L) ELSE {left} END"""
+            results[f"{side}{step}_d"] = (
+                f"pmod({at}1d * IF({op} = 'divide(', {at}2n, {at}2d), {PRIME}L)"
             )
-            commutes = op.isin("add(", "multiply(")
-            results[_temp(side, step, "n")] = (
-                F.when(op == "add(", mod(mod(xn * yd) + mod(yn * xd)))
-                .when(op == "subtract(", mod(mod(xn * yd) - mod(yn * xd)))
-                .when(op == "multiply(", mod(xn * yn))
-                .otherwise(mod(xn * yd))
-            )
-            results[_temp(side, step, "d")] = mod(xd * F.when(op == "divide(", yn).otherwise(yd))
-            results[_temp(side, step, "text")] = F.concat(
-                op,
-                F.when(commutes, F.least(x, y)).otherwise(x),
-                F.lit("|"),
-                F.when(commutes, F.greatest(x, y)).otherwise(y),
-                F.lit(")"),
-            )
-        df = df.withColumns(operands).withColumns(results)
-
-    def last(side: str, part: str) -> Column:
-        return F.coalesce(*[F.col(_temp(side, k, part)) for k in reversed(range(UNROLLED_STEPS))])
-
-    defined = (last("g", "d") != 0) & (last("p", "d") != 0)
-    agree = mod(last("g", "n") * last("p", "d")) == mod(last("p", "n") * last("g", "d"))
-    verdict = (
-        F.when(~used, None)
-        .when(~F.col(_temp("ok")), False)
-        .when(F.col(_temp("same")), True)
-        .when(defined & ~agree, False)
-        .when(defined & (last("g", "text") == last("p", "text")), True)
+            results[f"{side}{step}_text"] = f"""CASE WHEN {op} IN ('add(', 'multiply(')
+                THEN concat({op}, least({at}1text, {at}2text), '|', greatest({at}1text, {at}2text), ')')
+                ELSE concat({op}, {at}1text, '|', {at}2text, ')') END"""
+        run = _project(run, **results)
+
+    run = _project(
+        run,
+        **{
+            f"{side}_{part}": "coalesce("
+            + ", ".join(f"{_TEMP}{side}{k}_{part}" for k in reversed(_STEPS))
+            + ")"
+            for side in sides
+            for part in ("n", "d", "text")
+        },
+    )
+    t = _TEMP
+    run = _project(
+        run,
+        verdict=f"""CASE WHEN NOT {t}plain THEN NULL WHEN NOT {t}ok THEN FALSE
+            WHEN {t}same THEN TRUE WHEN {t}g_d = 0 OR {t}p_d = 0 THEN NULL
+            WHEN pmod({t}g_n * {t}p_d, {PRIME}L) <> pmod({t}p_n * {t}g_d, {PRIME}L) THEN FALSE
+            WHEN {t}g_text = {t}p_text THEN TRUE END""",
     )
-    df = df.withColumn(_temp("verdict"), verdict)
     folded = equal_program(F.col(gold), F.col(pred), positional_tables)
-    return _drop_temps(df.withColumn(out, F.coalesce(F.col(_temp("verdict")), folded)))
+    return _settle(run, out, F.coalesce(F.col(f"{_TEMP}verdict"), folded))

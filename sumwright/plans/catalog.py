@@ -190,7 +190,7 @@ def str_to_num_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "row_to_nums",
-    f"""SELECT {SQL_ID} AS id, CASE WHEN ok THEN 3 END::INTEGER AS n,
+    f"""SELECT {SQL_ID} AS id, CAST(CASE WHEN ok THEN 3 ELSE -1 END AS INTEGER) AS n,
         CASE WHEN ok THEN round(l_extendedprice + l_quantity + round(l_discount * 100) / 100.0, 4)
         END AS total FROM (SELECT *, {sql_variant(3)} <> 0 AS ok FROM lineitem)""",
 )
@@ -200,7 +200,7 @@ def row_to_nums_query(spark: SparkSession, folder: str) -> DataFrame:
         row_id().alias("id"), row_to_nums(F.slice(row, 2, 3)).alias("nums")
     )
     total = F.aggregate("nums", F.lit(0.0), lambda acc, x: acc + x)
-    n = F.when(F.col("nums").isNotNull(), F.size("nums"))
+    n = F.when(F.col("nums").isNotNull(), F.size("nums")).otherwise(-1)
     return rows.select("id", n.alias("n"), F.round(total, 4).alias("total"))
 
 

@@ -29,6 +29,8 @@ def local_session(cpus: int | str = 8, name: str = "sumwright") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        # Call sites are recorded at several JVM round trips per column otherwise.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
