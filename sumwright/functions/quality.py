@@ -42,6 +42,10 @@ def rouge_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def _power_of_two(exponent: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent)
+
+
 def _lcs_bits(short: Column, long: Column) -> Column:
     """LCS length of a side of at most 62 tokens with one of any length, one bit per token.
 
@@ -49,14 +53,14 @@ def _lcs_bits(short: Column, long: Column) -> Column:
     common subsequence so far (Crochemore et al. 2001, Hyyro 2004).
     """
     size = F.size(short)
-    power = F.shiftleft(F.lit(1).cast("bigint"), size)
+    power = _power_of_two(size)
     full = power - 1
 
     def mask(token: Column) -> Column:
         return F.aggregate(
             F.transform(
                 short,
-                lambda t, i: F.when(t == token, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(
+                lambda t, i: F.when(t == token, _power_of_two(i)).otherwise(
                     F.lit(0).cast("bigint")
                 ),
             ),

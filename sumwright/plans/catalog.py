@@ -52,7 +52,7 @@ def r5(expression: str) -> str:
 
 
 def sql_words(text: str) -> str:
-    return f"list_filter(string_split_regex(lower({text}), '[\\s\\x0b\\x{{85}}\\x{{a0}}]+'), w -> w <> '')"
+    return f"list_filter(string_split_regex(lower({text}), '[\\s\\x0b\\x{{85}}\\x{{a0}}]+'), lambda w: w <> '')"
 
 
 def sql_choose(index: str, *options: str) -> str:
@@ -415,7 +415,7 @@ def select_candidate(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "render_table",
     f"""SELECT {SQL_ID} AS id, 'item | value' || chr(10) || 'price | ' || {SQL_P} || chr(10) ||
-        'note | None' || chr(10) || 'units: ' || {SQL_Q} || ' | rate: ' || {SQL_D} AS rendered
+        'note | None' || chr(10) || 'units: ' || {SQL_Q} || ' | rate: ' || CAST(l_discount AS VARCHAR) AS rendered
         FROM lineitem""",
 )
 def render_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -660,8 +660,8 @@ def assemble_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "chunk_fixed",
-    """SELECT doc_id, CAST((at - 1) / 150 AS INTEGER) AS chunk_no, substr(text, at, 200) AS text
-       FROM (SELECT doc_id, text, unnest(generate_series(1, length(text), 150)) AS at
+    """SELECT doc_id, CAST((pos - 1) / 150 AS INTEGER) AS chunk_no, substr(text, pos, 200) AS text
+       FROM (SELECT doc_id, text, unnest(generate_series(1, length(text), 150)) AS pos
              FROM documents WHERE length(text) > 0)""",
 )
 def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
@@ -676,9 +676,9 @@ def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "chunk_collection",
     """SELECT DISTINCT sha256(doc_id || '|' || chunk_no || '|' || text) AS id, text, source FROM (
-         SELECT doc_id, CAST((at - 1) / 150 AS INTEGER) AS chunk_no, substr(text, at, 200) AS text,
+         SELECT doc_id, CAST((pos - 1) / 150 AS INTEGER) AS chunk_no, substr(text, pos, 200) AS text,
            CAST(doc_id AS VARCHAR) AS source
-         FROM (SELECT doc_id, text, unnest(generate_series(1, length(text), 150)) AS at
+         FROM (SELECT doc_id, text, unnest(generate_series(1, length(text), 150)) AS pos
                FROM documents WHERE length(text) > 0))""",
 )
 def chunk_collection(spark: SparkSession, folder: str) -> DataFrame:
@@ -747,10 +747,10 @@ SQL_SCORES = f"""{SQL_PAIRS},
     list_distinct({sql_words("answer")}) AS aw, list_distinct({sql_words("source")}) AS sw
     FROM pairs),
   masked AS (SELECT *, (1::HUGEINT << len(s)) - 1 AS full_mask,
-    list_transform(a, t -> list_sum(list_transform(range(len(s)), i ->
+    list_transform(a, lambda t: list_sum(list_transform(range(len(s)), lambda i:
       CASE WHEN s[i + 1] = t THEN 1::HUGEINT << i::INTEGER ELSE 0::HUGEINT END))::HUGEINT) AS masks
     FROM toks),
-  folded AS (SELECT *, list_reduce(list_concat([full_mask], masks), (v, m) ->
+  folded AS (SELECT *, list_reduce(list_concat([full_mask], masks), lambda v, m:
       ((v + (v & m)) | (v & (full_mask - m))) & full_mask) AS v FROM masked),
   scores AS (SELECT *,
     CASE WHEN len(a) = 0 OR len(s) = 0 THEN 0.0
@@ -865,7 +865,7 @@ def vocab(spark: SparkSession, folder: str) -> DataFrame:
     "pack",
     f"""WITH {SQL_ENCODED} SELECT id, array_to_string(ids, ' ') AS input_ids,
         CAST(len(ids) AS INTEGER) AS mask_sum,
-        array_to_string(list_concat(list_transform(prompt_ids, x -> -100), target_ids), ' ') AS labels
+        array_to_string(list_concat(list_transform(prompt_ids, lambda x: -100), target_ids), ' ') AS labels
         FROM packed""",
 )
 def pack(spark: SparkSession, folder: str) -> DataFrame:
@@ -882,7 +882,7 @@ def pack(spark: SparkSession, folder: str) -> DataFrame:
     "pad",
     f"""WITH {SQL_ENCODED} SELECT id,
         array_to_string(list_concat(ids[1:256], list_transform(range(greatest(256 - len(ids), 0)),
-          i -> 0)), ' ') AS input_ids,
+          lambda i: 0)), ' ') AS input_ids,
         CAST(least(len(ids), 256) AS INTEGER) AS mask_sum, CAST(256 AS INTEGER) AS length,
         CAST(least(len(ids), 2048) AS INTEGER) AS cut FROM packed""",
 )
@@ -906,10 +906,10 @@ def pad(spark: SparkSession, folder: str) -> DataFrame:
           FROM packed),
         sized AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_no) AS longest FROM placed)
         SELECT id, batch_no,
-          array_to_string(list_concat(ids, list_transform(range(longest - len(ids)), i -> 0)), ' ')
+          array_to_string(list_concat(ids, list_transform(range(longest - len(ids)), lambda i: 0)), ' ')
             AS input_ids,
           CAST(len(ids) AS INTEGER) AS mask_sum,
-          array_to_string(list_concat(ids, list_transform(range(longest - len(ids)), i -> -100)), ' ')
+          array_to_string(list_concat(ids, list_transform(range(longest - len(ids)), lambda i: -100)), ' ')
             AS labels FROM sized""",
 )
 def collate(spark: SparkSession, folder: str) -> DataFrame:
