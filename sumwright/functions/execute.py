@@ -31,7 +31,9 @@ def table_lookup(table: Column, key: Column) -> Column:
     return bind(row, lambda r: F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))))
 
 
-def _table_value(op: Column, key: Column, table: Column) -> Column:
+def table_value(op: Column, key: Column, table: Column) -> Column:
+    """Maximum, minimum, sum or average of a table row; null when there is no such row of numbers."""
+
     def total(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -102,7 +104,7 @@ def _parse(step: Column, index: Column, table: Column | None) -> Column:
             & ~F.concat(step["a"], step["b"]).rlike(r"[()|]")
             & ~step["a"].contains("#")
         )
-        value = F.lit(None) if table is None else _table_value(op, strip(step["a"]), table)
+        value = F.lit(None) if table is None else table_value(op, strip(step["a"]), table)
         return bind(
             F.struct(
                 F.when(usable, value).cast("double").alias("num"),

@@ -35,11 +35,12 @@ def _best_in_partition(
         step = max(1, 4_000_000 // max(len(ids), 1))
         for at in range(0, len(batch), step):
             part = batch.iloc[at : at + step]
-            scores = np.round(queries @ _unit_rows(part["vector"]).T, SCORE_DIGITS)
+            scores = queries @ _unit_rows(part["vector"]).T
             neighbours = part["neighbour_id"].to_numpy()
             if skip_self:
                 scores[ids[:, None] == neighbours[None, :]] = np.nan
-            order = np.lexsort((np.broadcast_to(neighbours, scores.shape), -scores), axis=1)[:, :k]
+            keys = np.round(scores, SCORE_DIGITS)
+            order = np.lexsort((np.broadcast_to(neighbours, keys.shape), -keys), axis=1)[:, :k]
             rows = np.repeat(np.arange(len(ids)), order.shape[1])
             cols = order.ravel()
             found.append(
@@ -48,12 +49,13 @@ def _best_in_partition(
                         "query_id": ids[rows],
                         "neighbour_id": neighbours[cols],
                         "score": scores[rows, cols],
+                        "sort_key": keys[rows, cols],
                     }
                 ).dropna()
             )
         merged = pd.concat(([] if best is None else [best]) + found)
         ordered = merged.sort_values(
-            ["query_id", "score", "neighbour_id"], ascending=[True, False, True]
+            ["query_id", "sort_key", "neighbour_id"], ascending=[True, False, True]
         )
         best = ordered.groupby("query_id").head(k)
     if best is not None:
@@ -79,7 +81,7 @@ def nearest(
     shape = queries.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
     blocks = max(1, -(-2 * shape["n"] * (shape["d"] or 0) * 8 // broadcast_bytes))
     id_type = corpus.schema[id_col].dataType.simpleString()
-    schema = f"query_id {id_type}, neighbour_id {id_type}, score double"
+    schema = f"query_id {id_type}, neighbour_id {id_type}, score double, sort_key double"
     side = corpus.select(F.col(id_col).alias("neighbour_id"), F.col(vector).alias("vector"))
 
     def one_pass(block: int) -> DataFrame:
@@ -96,5 +98,8 @@ def nearest(
         return side.mapInPandas(scan, schema)
 
     partial = reduce(DataFrame.unionByName, [one_pass(b) for b in range(blocks)])
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
-    return partial.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    by_query = Window.partitionBy("query_id").orderBy(
+        F.desc("sort_key"), "neighbour_id"
+    )
+    ranked = partial.withColumn("rank", F.row_number().over(by_query))
+    return ranked.where(F.col("rank") <= k).drop("sort_key")

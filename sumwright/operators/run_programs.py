@@ -2,7 +2,7 @@
 
 The column functions of ``functions.execute`` and ``functions.equivalence`` handle every program,
 but a fold over an array is interpreted. Nearly all real programs are one to three plain
-arithmetic steps, so these operators lay such programs out as ordinary columns, one projection per
+arithmetic or table steps, so these operators lay such programs out as ordinary columns, one projection per
 step, which Spark compiles; every other program takes the fold. Both are maps: nothing shuffles.
 """
 
@@ -12,18 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwright.functions.equivalence import PRIME, SEEDS, equal_program
-from sumwright.functions.execute import eval_program
+from sumwright.functions.execute import eval_program, table_value
 from sumwright.functions.numbers import round_exact
-from sumwright.functions.program_text import EOF
+from sumwright.functions.program_text import EOF, TABLE_PREFIX
+from sumwright.functions.text import strip
 
 UNROLLED_STEPS = 3
 
 _ARG = r"(?:-?\d+(?:\.\d+)?|const_\d+|#\d)"
 _CALC = r"(?:add|subtract|multiply|divide|exp)"
 # Joined with '|': up to UNROLLED_STEPS calls with plain arguments; only the last may compare.
+_TABLE_CALL = r"table_(?:max|min|sum|average)\(\|[^|()#]+\|[^|()#]+"
 _PLAIN_PROGRAM = (
-    rf"\A(?:{_CALC}\(\|{_ARG}\|{_ARG}\|\)\|){{0,{UNROLLED_STEPS - 1}}}"
-    rf"(?:{_CALC}|greater)\(\|{_ARG}\|{_ARG}\|\)\|{EOF}\z"
+    rf"\A(?:(?:{_CALC}\(\|{_ARG}\|{_ARG}|{_TABLE_CALL})\|\)\|){{0,{UNROLLED_STEPS - 1}}}"
+    rf"(?:(?:{_CALC}|greater)\(\|{_ARG}\|{_ARG}|{_TABLE_CALL})\|\)\|{EOF}\z"
 )
 _RATIONAL = r"(?:add|subtract|multiply|divide)"
 _LITERAL = r"[^|#()\s]+"
@@ -89,6 +91,15 @@ def with_result(
 
     for step in _STEPS:
         x, y = f"{_TEMP}x{step}", f"{_TEMP}y{step}"
+        op, key = F.expr(_token(tokens, step, 0)), F.expr(_token(tokens, step, 1))
+        looked_up = F.lit(None).cast("double")
+        if table is not None:
+            name = F.substring_index(op, "(", 1)
+            looked_up = F.when(
+                (F.col(f"{_TEMP}n") > step) & op.startswith(TABLE_PREFIX),
+                table_value(name, strip(key), F.col(table)),
+            )
+        run = run.withColumn(f"{_TEMP}t{step}", looked_up)
         run = _project(run, **{f"x{step}": argument(step, 1), f"y{step}": argument(step, 2)})
         run = _project(
             run,
@@ -98,7 +109,7 @@ def with_result(
                     WHEN 'multiply(' THEN {x} * {y} WHEN 'divide(' THEN try_divide({x}, {y})
                     WHEN 'exp(' THEN power({x}, {y})
                     WHEN 'greater(' THEN CASE WHEN {x} > {y} THEN 1D WHEN {x} <= {y} THEN 0D END
-                    END"""
+                    ELSE {_TEMP}t{step} END"""
             },
         )
     # Any missing or infinite value (bad reference, zero divisor, overflow) is left to the fold.

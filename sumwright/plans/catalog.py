@@ -22,6 +22,7 @@ from sumwright.functions.program_text import (
 )
 from sumwright.functions.text import words
 from sumwright.operators import corpus, decode, evaluate, retrieve, sample, tokens
+from sumwright.operators.partition import spread
 from sumwright.operators.run_programs import with_equality, with_result
 from sumwright.plans import derive as d
 from sumwright.plans import workflows
@@ -373,7 +374,7 @@ def error_rows(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey HAVING COUNT(*) > 1",
 )
 def gold_dupes(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.duplicate_ids(d.lines(spark, folder), "l_orderkey")
+    return evaluate.duplicate_ids(table(spark, folder, "lineitem"), "l_orderkey")
 
 
 @query(
@@ -575,7 +576,7 @@ def sql_clean(text: str, scaled: str = "t") -> str:
     "SELECT doc_id, t AS text FROM (" + sql_clean("text").format(source="documents") + ")",
 )
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     cleaned = cleaning.clean_text(F.col("text"), unicode_classes=False)
     return docs.select("doc_id", cleaned.alias("text"))
 
@@ -670,7 +671,7 @@ def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("chunk_recursive")
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.chunk_recursive(table(spark, folder, "documents"))
+    return corpus.chunk_recursive(spread(table(spark, folder, "documents")))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sumwright.functions.numbers import round_exact
 from sumwright.functions.program_text import tokenize_program
+from sumwright.operators.partition import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -92,7 +93,7 @@ BROKEN_VARIANTS = (
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem")
+    return spread(table(spark, folder, "lineitem"))
 
 
 def variant(count: int) -> Column:
