@@ -66,12 +66,12 @@ def _settle(df: DataFrame, out: str, value: Column) -> DataFrame:
 def round_compiled(value: Column) -> Column:
     """``round_exact`` to 5 decimals for ordinary magnitudes, as one compiled expression.
 
-    A product whose fraction is well away from one half needs no error term.
+    A product whose fraction is well away from one half needs no error term. Zero has no sign.
     """
     product = value * 100000.0
     nearest = F.rint(product)
     clear = (F.abs(product) < 2.0**40) & (F.abs(F.abs(product - nearest) - 0.5) > 1e-3)
-    return F.when(clear, nearest / 100000.0).otherwise(round_exact(value))
+    return F.when(clear, nearest / 100000.0 + 0.0).otherwise(round_exact(value))
 
 
 def with_result(
