@@ -53,33 +53,44 @@ def _symbol(*parts: Column) -> Column:
 def _steps(tokens: Column, positional_tables: bool) -> Column:
     """Steps with their symbol names and references; a null op marks a malformed step."""
 
+    def ref(arg: Column) -> Column:
+        bare = F.replace(arg, F.lit("#"), F.lit(""))
+        # -1 is out of range, so a reference that is no number is never admissible.
+        number = F.when(bare.rlike(_REFERENCE), strip(bare).try_cast("int"))
+        return F.when(arg.contains("#"), F.coalesce(number, F.lit(-1)))
+
+    def literal(arg: Column) -> Column:
+        return F.when(~arg.contains("#"), F.concat(F.lit("lit|"), arg))
+
+    def fields(op: Column, is_table: bool, a: Column, b: Column, refs: tuple) -> Column:
+        nothing = F.lit(None)
+        a_ref, b_ref = refs or (nothing, nothing)
+        return F.struct(
+            op.alias("op"),
+            F.lit(is_table).alias("is_table"),
+            a.cast("string").alias("a"),
+            b.cast("string").alias("b"),
+            a_ref.cast("int").alias("a_ref"),
+            b_ref.cast("int").alias("b_ref"),
+        )
+
     def step(s: Column, i: Column) -> Column:
-        op = F.btrim(s["op"], F.lit("("))
-        a, b = strip(s["a"]), strip(s["b"])
-        is_table = op.startswith(TABLE_PREFIX)
-        clean = (a != "") & (b != "") & ~F.concat(a, b).rlike(r"[()|]")
-        place = (i == 0).cast("string") if positional_tables else F.lit("")
-
-        def ref(arg: Column) -> Column:
-            bare = F.replace(arg, F.lit("#"), F.lit(""))
-            # -1 is out of range, so a reference that is no number is never admissible.
+        def named(v: Column) -> Column:
+            op, a, b = v["op"], v["a"], v["b"]
+            clean = (a != "") & (b != "") & ~F.concat(a, b).rlike(r"[()|]")
+            good_op = F.when((s["op"] == F.concat(op, F.lit("("))) & clean, op)
+            place = (i == 0).cast("string") if positional_tables else F.lit("")
+            row = F.concat_ws("|", F.lit("row"), op, a, b, place)
             return F.when(
-                ~is_table & arg.contains("#"),
-                F.coalesce(
-                    F.when(bare.rlike(_REFERENCE), strip(bare).try_cast("int")), F.lit(-1)
-                ),
-            )
+                op.startswith(TABLE_PREFIX), fields(good_op, True, row, F.lit(None), ())
+            ).otherwise(fields(good_op, False, literal(a), literal(b), (ref(a), ref(b))))
 
-        return F.struct(
-            F.when((s["op"] == F.concat(op, F.lit("("))) & clean, op).alias("op"),
-            is_table.alias("is_table"),
-            F.when(is_table, F.concat_ws("|", F.lit("row"), op, a, b, place))
-            .when(~a.contains("#"), F.concat(F.lit("lit|"), a))
-            .alias("a"),
-            F.when(~is_table & ~b.contains("#"), F.concat(F.lit("lit|"), b)).alias("b"),
-            ref(a).alias("a_ref"),
-            ref(b).alias("b_ref"),
+        parts = F.struct(
+            F.btrim(s["op"], F.lit("(")).alias("op"),
+            strip(s["a"]).alias("a"),
+            strip(s["b"]).alias("b"),
         )
+        return bind(parts, named)
 
     return F.transform(raw_token_steps(tokens), step)
 

@@ -57,8 +57,12 @@ def row_to_nums(cells: Column) -> Column:
     """
 
     def cell(text: Column) -> Column:
-        bare = strip(F.replace(text, F.lit("$"), F.lit("")))
-        return str_to_num(strip(F.substring_index(bare, "(", 1)))
+        return bind(
+            F.replace(text, F.lit("$"), F.lit("")),
+            lambda bare: F.when(bare.rlike(NUMBER), bare.try_cast("double")).otherwise(
+                str_to_num(strip(F.substring_index(bare, "(", 1)))
+            ),
+        )
 
     nums = F.transform(cells, cell)
     return bind(nums, lambda xs: F.when(~F.exists(xs, F.isnull), xs))

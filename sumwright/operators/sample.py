@@ -2,7 +2,7 @@
 
 Positions come from hash buckets: rows are counted per bucket of the hashed id, at most 65,536
 counts, and only these are accumulated in one task. No sort of the whole data, no sampling, and the
-same result for every partitioning. Ids must be unique.
+same result for every partitioning. Positions need unique ids.
 """
 
 from __future__ import annotations
@@ -47,19 +47,22 @@ def with_split(
 ) -> DataFrame:
     """Add ``split``: exactly ceil(fraction * rows) rows are ``test``, the others ``train``.
 
-    The bucket that holds the border is the only one sorted; every row is then compared with the
-    border, so the data itself is not shuffled.
+    The bucket that holds the border is the only one sorted, by distinct id; every row is then
+    compared with the border, so the data itself is not shuffled. Rows with the same id stay on one
+    side: where ids repeat, the test side ends with the group that reaches its size.
     """
     keyed = _keyed(df, id_col, seed)
     narrow = keyed.select("__bucket", "__key", F.col(id_col).alias("__id"))
     wanted = F.ceil(F.col("total") * F.lit(test_fraction))
     buckets = _bucket_counts(narrow).withColumn("need", wanted - F.col("below"))
     border = buckets.where((F.col("need") > 0) & (F.col("need") <= F.col("n")))
-    in_bucket = Window.partitionBy("__bucket").orderBy("__key", "__id")
+    up_to_id = Window.partitionBy("__bucket").orderBy("__key", "__id")
     last_test = (
         narrow.join(F.broadcast(border.select("__bucket", "need")), "__bucket")
-        .withColumn("rn", F.row_number().over(in_bucket))
-        .where(F.col("rn") == F.col("need"))
+        .groupBy("__bucket", "need", "__key", "__id")
+        .agg(F.count("*").alias("copies"))
+        .withColumn("reached", F.sum("copies").over(up_to_id))
+        .where((F.col("reached") >= F.col("need")) & (F.col("reached") - F.col("copies") < F.col("need")))
         .select("__bucket", F.struct("__key", "__id").alias("last"))
     )
     plan = buckets.join(last_test, "__bucket", "left").select("__bucket", "n", "need", "last")

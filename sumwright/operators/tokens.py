@@ -55,15 +55,19 @@ def encode(
     unknown: int | None = None,
     reserved: int = 0,
     head: int = HEAD_TERMS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id, ids``: token arrays as id arrays; terms outside the vocabulary become ``unknown``.
+    """``id, *keep, ids``: token arrays as id arrays; terms outside the vocabulary become ``unknown``.
 
     Frequent terms, which make up nearly all words, are looked up in a broadcast of at most
     ``head`` short keys (ids from ``reserved`` on) and never shuffle by term; only rare terms do, and no rare term is hot. A
-    word array is rebuilt per row id, so a group is one input row. Ids must be unique.
+    word array is rebuilt per row id, so a group is one input row. Ids must be unique. ``keep`` names
+    short columns to carry along, which saves a join afterwards. A vocabulary that is costly to
+    compute should be checkpointed first: it is read twice.
     """
-    words = df.select(F.col(id_col), F.posexplode(tokens).alias("pos", "term")).select(
-        id_col, "pos", _join_key(F.col("term")).alias("key")
+    row = (id_col, *keep)
+    words = df.select(*row, F.posexplode(tokens).alias("pos", "term")).select(
+        *row, "pos", _join_key(F.col("term")).alias("key")
     )
     terms = vocab.select(_join_key(F.col("term")).alias("key"), F.col("token_id").cast("int"))
     frequent = terms.where(F.col("token_id") < reserved + head)
@@ -75,10 +79,8 @@ def encode(
     if unknown is not None:
         resolved = resolved.fillna({"token_id": unknown})
     ordered = F.array_sort(F.collect_list(F.struct("pos", "token_id")))
-    ids = resolved.groupBy(id_col).agg(
-        F.transform(ordered, lambda w: w["token_id"]).alias(out)
-    )
-    empty = df.where(F.size(tokens) == 0).select(id_col, F.array().cast("array<int>").alias(out))
+    ids = resolved.groupBy(*row).agg(F.transform(ordered, lambda w: w["token_id"]).alias(out))
+    empty = df.where(F.size(tokens) == 0).select(*row, F.array().cast("array<int>").alias(out))
     return ids.unionByName(empty)
 
 

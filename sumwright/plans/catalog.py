@@ -27,6 +27,7 @@ from sumwright.operators.run_programs import with_equality, with_result
 from sumwright.plans import derive as d
 from sumwright.plans import workflows
 from sumwright.plans.derive import fill, row_id, table
+from sumwright.session import checkpointed
 from sumwright.sources.corpora import best_run
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -848,8 +849,8 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
         words(F.col("answer"), lower=True).alias("target"),
     )
     sized = rows.select("id", F.concat("prompt", "target").alias("all"), F.size("prompt").alias("p"))
-    ids = tokens.encode(sized, "id", F.col("all"), _vocab(spark, folder), reserved=1)
-    both = ids.join(sized.select("id", "p"), "id")
+    terms = checkpointed(_vocab(spark, folder))
+    both = tokens.encode(sized, "id", F.col("all"), terms, reserved=1, keep=("p",))
     packed = packing.pack(
         F.slice("ids", F.lit(1), F.col("p")),
         F.slice("ids", F.col("p") + 1, F.size("ids") - F.col("p")),

@@ -53,7 +53,7 @@ def prepare(prompted: DataFrame, vocab: DataFrame | None = None, max_len: int |
         counts = counted.groupBy("term").agg(F.count("*").alias("n"))
         vocab = checkpointed(build_vocab(checkpointed(counts)))
     sized = texts.select("id", F.concat("prompt", "target").alias("all"), F.size("prompt").alias("p"))
-    ids = encode(sized, "id", F.col("all"), vocab).join(sized.select("id", "p"), "id")
+    ids = encode(sized, "id", F.col("all"), vocab, keep=("p",))
     prompt = F.slice("ids", F.lit(1), F.col("p"))
     target = F.slice("ids", F.col("p") + 1, F.size("ids") - F.col("p"))
     packed = pack(prompt if max_len is None else truncate(prompt, max_len), target)

@@ -265,6 +265,11 @@ def test_split_and_position(spark, parts):
     placed = {r.k: r.position for r in sample.with_position(df, "k", 42).collect()}
     assert [placed[k] for k in order] == list(range(1003))
     assert [r.k for r in sample.first_rows(df, 3, F.desc("k")).collect()] == [1002, 1001, 1000]
+    copies = df.select((F.col("k") % 4).alias("k"))
+    sides = sample.with_split(copies, "k", 0.3).groupBy("k").agg(F.count_distinct("split").alias("n"))
+    assert {r.n for r in sides.collect()} == {1}
+    tested = sample.with_split(copies, "k", 0.3).where("split = 'test'").count()
+    assert 301 <= tested < 301 + 251
     for fraction, size in ((0.0, 0), (1.0, 1003)):
         assert sample.with_split(df, "k", fraction).where("split = 'test'").count() == size
 
