@@ -546,6 +546,12 @@ def split_train(spark: SparkSession, folder: str) -> DataFrame:
     return _split(spark, folder, "train")
 
 
+@query("split_sizes", f"SELECT split, COUNT(*) AS rows FROM ({SQL_SPLIT}) GROUP BY split")
+def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id")
+    return sample.with_split(docs, "doc_id").groupBy("split").agg(F.count("*").alias("rows"))
+
+
 # Cleaning and chunks
 
 SQL_SPACES = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)"
@@ -670,6 +676,19 @@ def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.chunk_fixed(table(spark, folder, "documents"))
 
 
+@query(
+    "first_chunks",
+    """SELECT doc_id, chunk_no, text FROM (
+         SELECT doc_id, CAST((pos - 1) / 150 AS INTEGER) AS chunk_no, substr(text, pos, 200) AS text
+         FROM (SELECT doc_id, text, unnest(generate_series(1, length(text), 150)) AS pos
+               FROM documents WHERE length(text) > 0))
+       ORDER BY doc_id, chunk_no LIMIT 50""",
+)
+def first_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = corpus.chunk_fixed(table(spark, folder, "documents"))
+    return sample.first_rows(chunks, 50, "doc_id", "chunk_no")
+
+
 @query("chunk_recursive")
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.chunk_recursive(spread(table(spark, folder, "documents")))
