@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sumwright.functions.prompts import excerpt
 from sumwright.functions.quality import terms
+from sumwright.functions.text import bind
 
 CHUNK_SIZE, CHUNK_OVERLAP = 200, 50
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -36,12 +37,24 @@ def chunk_fixed(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Windows of ``size`` characters every ``size - overlap``; ``doc, chunk_no, text``."""
-    starts = F.sequence(F.lit(1), F.length(text), F.lit(size - overlap))
-    windows = F.when(
-        F.length(text) > 0, F.transform(starts, lambda at: F.substring(F.col(text), at, F.lit(size)))
-    )
-    return docs.select(doc, F.posexplode(windows).alias("chunk_no", "text"))
+    """Windows of ``size`` characters every ``size - overlap``; ``doc, chunk_no, text``.
+
+    The text is cut into steps in one pass and each window is a step plus the start of the next, so
+    the cost is linear in the length of a document; taking substrings by position is not.
+    """
+    step = size - overlap
+    if not 0 <= overlap <= step:
+        raise ValueError("overlap must be at most half of size")
+
+    def windows(steps: Column) -> Column:
+        def window(piece: Column, i: Column) -> Column:
+            following = F.substring(F.get(steps, i + 1), 1, overlap)
+            return F.concat(piece, F.coalesce(following, F.lit("")))
+
+        return F.transform(steps, window)
+
+    steps = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return docs.select(doc, F.posexplode(bind(steps, windows)).alias("chunk_no", "text"))
 
 
 def _cut_points(text: str, separators: tuple[str, ...], size: int) -> list[list[int]]:

@@ -673,7 +673,7 @@ def assemble_pages(spark: SparkSession, folder: str) -> DataFrame:
              FROM documents WHERE length(text) > 0)""",
 )
 def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.chunk_fixed(table(spark, folder, "documents"))
+    return corpus.chunk_fixed(spread(table(spark, folder, "documents")))
 
 
 @query(

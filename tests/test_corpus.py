@@ -149,7 +149,7 @@ def test_recursive_chunks(spark):
 
 
 def test_fixed_chunks_and_collection(spark, tmp_path):
-    text = "".join(chr(97 + i % 26) for i in range(400))
+    text = "\n\U0001f600" + "".join(chr(97 + i % 26) for i in range(398))
     docs = spark.createDataFrame([(1, text), (2, "")], "doc_id int, text string")
     chunks = corpus.chunk_fixed(docs)
     assert [r.text for r in chunks.orderBy("chunk_no").collect()] == [text[0:200], text[150:350], text[300:]]
