@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +22,14 @@ def write_texts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def upsert_records(records: DataFrame, path: str) -> None:
     """Append the chunk records whose id the collection at ``path`` does not hold yet."""
-    spark = records.sparkSession
-    fresh = records
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(hadoop_path):
-        fresh = records.join(spark.read.parquet(path).select("id"), "id", "left_anti")
+    try:
+        held = records.sparkSession.read.parquet(path).select("id")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        fresh = records
+    else:
+        fresh = records.join(held, "id", "left_anti")
     fresh.write.mode("append").parquet(path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sumwright.functions.program_text import linearize_program, linearize_tokens
 from sumwright.functions.prompts import join_sentences, table_or_fallback
@@ -24,19 +25,13 @@ def read_json(spark: SparkSession, path: str, schema: str, layout: str = "lines"
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}")
     if layout == "wrapped":
-        wrapped = spark.read.schema(f"data array<struct<{_as_fields(schema)}>>").option(
-            "multiLine", True
-        )
-        return wrapped.json(path).select(F.explode("data").alias("r")).select("r.*")
+        record = T.StructType.fromDDL(schema)
+        wrapper = T.StructType([T.StructField("data", T.ArrayType(record))])
+        wrapped = spark.read.schema(wrapper).option("multiLine", True).json(path)
+        return wrapped.select(F.explode("data").alias("r")).select("r.*")
     return spark.read.schema(schema).option("multiLine", layout == "list").json(path)
 
 
-def _as_fields(schema: str) -> str:
-    """``name type`` list → the ``name: type`` list of a struct."""
-    parsed = SparkSession.getActiveSession().createDataFrame([], schema).schema
-    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in parsed)
-
-
 def read_examples(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """Examples with variable fields still as text; see ``typed_examples``."""
     return read_json(spark, path, RAW_EXAMPLE, layout)
