@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumwright.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from sumwright.llm.shared import held_out
+from sumwright.llm import (
+    decontaminate,
+    line_dedup,
+    mixing,
+    pii,
+    quality,
+    simhash,
+    token_counts,
+    topk,
+    toxicity,
+    url_filter,
+)
+from sumwright.llm.shared import held_out, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +39,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Verdicts given by hand.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+#: Words between dots and hyphens of a host that mark its URLs as bad for training.
+BAD_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+
+
+@query("op1_url_filter")
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables hold no labels of URLs; hosts with one of :data:`BAD_WORDS` stand for them."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    words = F.split(url_filter.host_of(F.col("url")), "[.-]")
+    bad = F.arrays_overlap(words, F.array(*[F.lit(w) for w in BAD_WORDS]))
+    labelled = pages.select("url", F.coalesce(bad, F.lit(False)).cast("int").alias("label"))
+    return url_filter.judge(pages, url_filter.train(pages, labelled), URL_RULES).drop("url")
+
+
 SQL_MIX = r"""
     sized AS (SELECT doc_id, source,
         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
@@ -77,6 +104,17 @@ def toxic_lexicon(docs: DataFrame, spark: SparkSession, folder: str) -> toxicity
     return toxicity.learn(training_rows(docs, table(spark, folder, "labels"), "toxic"))
 
 
+@query("op4_quality")
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    described = materialize(quality.described(table(spark, folder, "documents")), "statistics")
+    marked = table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
+    marked = marked.select("doc_id", F.col("quality").alias("label")).where("label is not null")
+    rules = quality.learn(described.join(marked, "doc_id"))
+    scores = quality.score_documents(described, rules)
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -90,6 +128,12 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op7_pseudonyms")
+def op7_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, key="a key for examples only")
+
+
 SQL_LINES = r"""
     paged AS (SELECT rowid AS page, doc_id, source, text FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
     lines AS (SELECT page, source, unnest(string_split(text, chr(10))) AS line,
@@ -117,3 +161,28 @@ SQL_LINES = r"""
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs, ratio=0.1, min_pages=10).drop("source")
+
+
+SQL_VECTORS = """usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+@query(
+    "op9_top_k",
+    f"""WITH {SQL_VECTORS}, scored AS (SELECT q.vec_id AS query_id, c.vec_id,
+        CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+        FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+      ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+        FROM scored)
+      SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+)
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """A new cache for every run, so that each distinct text is encoded once."""
+    return token_counts.count_tokens(table(spark, folder, "documents"), "byte_bpe_50k.json", limit=512)
