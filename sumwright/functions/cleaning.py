@@ -24,7 +24,7 @@ _UNICODE = "(?U)"
 def scale_currency(text: Column, unicode_classes: bool = True) -> Column:
     """``r3.4 billion`` → ``3,400,000,000 ZAR``; the product is truncated to an integer.
 
-    Amounts that are no number (``r1.2.3 million``) or exceed 64 bits stay as they are.
+    Amounts that are no number (``r1.2.3 million``) or have more than 38 digits stay as they are.
     """
     pattern = ("(?iU)" if unicode_classes else "(?i)") + SCALED_AMOUNT
 
@@ -34,12 +34,14 @@ def scale_currency(text: Column, unicode_classes: bool = True) -> Column:
         factor = F.lit(None).cast("double")
         for name, value in SCALES.items():
             factor = F.when(scale == name, value).otherwise(factor)
-        return F.coalesce(
-            F.concat(
-                F.format_number((number * factor).try_cast("bigint"), 0), F.lit(" " + CURRENCY)
-            ),
-            match,
-        )
+        # The whole part of a double, exactly: both halves fit into 64 bits.
+        product = number * factor
+        high = F.floor(product / 2.0**40)
+        low = product - high.cast("double") * 2.0**40
+        digits = high.cast("decimal(18,0)") * F.lit(2**40).cast("decimal(13,0)")
+        whole = (digits + F.floor(low).cast("decimal(13,0)")).cast("decimal(38,0)")
+        amount = F.concat(F.format_number(whole, 0), F.lit(" " + CURRENCY))
+        return F.coalesce(F.when(product < 1e30, amount), match)
 
     gaps = F.split(text, pattern, -1)
     matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), amount)

@@ -73,15 +73,17 @@ def round_exact(value: Column, digits: int = 5) -> Column:
 
     SQL ``round`` works on the shortest decimal text instead, so 2.675 gives 2.68 there and 2.67
     here. The product with 10^digits is split into a rounded part and its exact error; the error
-    settles what the rounded part cannot.
+    settles what the rounded part cannot. From 2^51 / 10^digits on the whole part is set aside
+    first and joined again in decimal arithmetic; from 2^53 on every number is whole.
     """
     scale = float(10**digits)
     # 27-bit split (2^27 + 1): ``high * scale`` and ``low * scale`` are exact for scale < 2^26.
     splitter = 134217729.0
     # Above this the product has no spare fraction bits; below it everything is exact.
-    exact_below = 2.0**51 / scale
+    exact_below, whole_from = 2.0**51 / scale, 2.0**53
 
-    def rounded(x: Column) -> Column:
+    def counted(x: Column) -> Column:
+        """``x`` in units of the last decimal, rounded."""
         product = x * scale
         high = x * splitter - (x * splitter - x)
         error = (high * scale - product) + (x - high) * scale
@@ -92,15 +94,28 @@ def round_exact(value: Column, digits: int = 5) -> Column:
             up = (above_half > 0) | (
                 (above_half == 0) & ((parts["error"] > 0) | ((parts["error"] == 0) & odd))
             )
-            return (base + F.when(up, 1.0).otherwise(0.0)) / scale
+            return base + F.when(up, 1.0).otherwise(0.0)
 
         floor = F.floor(product).cast("double")
-        exact = bind(
+        return bind(
             F.struct(
                 floor.alias("base"), (product - floor).alias("frac"), error.alias("error")
             ),
             settle,
         )
-        return F.when(F.abs(x) < exact_below, exact).otherwise(F.bround(x, digits))
+
+    def apart(x: Column) -> Column:
+        size = F.abs(x)
+        whole = F.floor(size)
+        units = counted(size - whole.cast("double")).cast("bigint").cast("decimal(10,0)")
+        joined = whole.cast("decimal(20,0)") + units * F.lit(1).cast("decimal(1,0)") / F.lit(10**digits)
+        return F.signum(x) * joined.cast("double")
+
+    def rounded(x: Column) -> Column:
+        return (
+            F.when(F.abs(x) < exact_below, counted(x) / scale)
+            .when(F.abs(x) < whole_from, apart(x))
+            .otherwise(x)
+        )
 
     return bind(value, rounded)

@@ -27,6 +27,7 @@ _KNOWN_CALL = (
     r"(?i)(?:" + "|".join(ARITHMETIC_OPS) + r"|table_[a-z_]+)"
     r"\s*\(\s*[^,)]+\s*,\s*[^,)]+\s*\)"
 )
+_OPENING = r"(?i)(?:" + "|".join(ARITHMETIC_OPS) + r"|table_[a-z_]+)\s*\("
 _ANY_CALL = r"[a-zA-Z_][a-zA-Z0-9_]*\s*\(\s*[^,)]+\s*,\s*[^,)]+\s*\)"
 
 
@@ -68,6 +69,16 @@ def _render_call(call: Column) -> Column:
     )
 
 
+def dropped_steps(program: Column) -> Column:
+    """How many openings of a known operation ``linearize_program`` finds no call for; 0 for null.
+
+    ``divide(1,000, 50)`` is one: a comma inside a number leaves no two arguments.
+    """
+    flat = squeeze(program)
+    openings = F.regexp_count(flat, F.lit(_OPENING)) - F.regexp_count(flat, F.lit(_KNOWN_CALL))
+    return F.coalesce(openings, F.lit(0))
+
+
 def linearize_tokens(tokens: Column) -> Column:
     """Same for a program given as a token list."""
     calls = F.regexp_extract_all(F.array_join(tokens, " "), F.lit(_KNOWN_CALL), F.lit(0))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sumwright.functions.text import bind
+from sumwright.functions.shapes import LIST, OBJECT, STRING, entries, items, python_text
 
 # Prompt wording. Training and inference differ in the sentence about '#k'.
 _INTRO = (
@@ -61,11 +61,6 @@ def _fill(template: str, **slots: Column) -> Column:
     return F.concat(*[slots[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
 
 
-def question_of(qa: Column) -> Column:
-    """``qa.question`` with a missing ``qa`` or question read as empty."""
-    return F.coalesce(qa["question"], F.lit(""))
-
-
 def table_or_fallback(table: Column, fallback: Column) -> Column:
     """The example's table, or the one under the alternative name."""
     return F.coalesce(table, fallback)
@@ -82,35 +77,34 @@ def render_table(rows: Column) -> Column:
     return F.coalesce(F.array_join(lines, "\n", "None"), F.lit(""))
 
 
-def render_table_json(raw: Column) -> Column:
-    """Same for a table kept as JSON text, whatever its shape.
+def render_table_json(text: Column, kind: Column) -> Column:
+    """Same for a table kept as text of a JSON value of that kind.
 
     A list holds lists, objects (``key: value`` cells) or scalars; an object gives one
-    ``key: value`` line per entry; any other text stands for itself.
+    ``key: value`` line per entry; a string stands for itself, other kinds for nothing. Values are
+    written as Python's ``str`` does.
     """
 
-    def pairs(text: Column, glue: str) -> Column:
-        entries = F.map_entries(F.from_json(text, "map<string,string>"))
+    def pairs(of: Column, glue: str) -> Column:
         lines = F.transform(
-            entries,
-            lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None"))),
+            entries(of), lambda e: F.concat(e["key"], F.lit(": "), python_text(e["kind"], e["text"]))
         )
         return F.array_join(lines, glue)
 
     def line(row: Column) -> Column:
-        cells = F.array_join(F.from_json(row, "array<string>"), " | ", "None")
-        rendered = F.when(row.startswith("["), cells).when(row.startswith("{"), pairs(row, " | "))
-        return F.coalesce(rendered, row, F.lit("None"))
+        cells = F.transform(items(row["text"]), lambda c: python_text(c["kind"], c["text"]))
+        return (
+            F.when(row["kind"] == LIST, F.array_join(cells, " | "))
+            .when(row["kind"] == OBJECT, pairs(row["text"], " | "))
+            .otherwise(python_text(row["kind"], row["text"]))
+        )
 
-    listed = bind(
-        F.from_json(raw, "array<string>"),
-        lambda rows: F.array_join(F.transform(rows, line), "\n"),
-    )
-    return F.coalesce(
-        F.when(raw.startswith("["), listed).when(raw.startswith("{"), pairs(raw, "\n")),
-        raw,
-        F.lit(""),
+    rendered = (
+        F.when(kind == LIST, F.array_join(F.transform(items(text), line), "\n"))
+        .when(kind == OBJECT, pairs(text, "\n"))
+        .when(kind == STRING, text)
     )
+    return F.coalesce(rendered, F.lit(""))
 
 
 def user_prompt(

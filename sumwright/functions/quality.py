@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sumwright.functions.text import bind, words
+from sumwright.functions.stem import stem
+from sumwright.functions.text import words
 
 # Weights of the reading-ease formula.
 READING_BASE, READING_SENTENCE, READING_SYLLABLE = 206.835, 1.015, 84.6
 
-# Bits of a positive bigint that leave room for the carry of one addition.
-_WORD_BITS = 62
-
 
 def reading_ease(text: Column) -> Column:
     """Flesch reading ease; 0 for a text without words.
@@ -37,92 +38,61 @@ def clarity(question: Column, answer: Column) -> Column:
     return (reading_ease(question) + reading_ease(answer)) / 2
 
 
-def rouge_tokens(text: Column) -> Column:
-    """Lowercase runs of ``a-z0-9``."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-
-
-def _power_of_two(exponent: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent)
-
-
-def _lcs_bits(short: Column, long: Column) -> Column:
-    """LCS length of a side of at most 62 tokens with one of any length, one bit per token.
+def _lcs(a: list[str], b: list[str]) -> int:
+    """LCS length, one bit of a whole number per token of ``b``.
 
     The bit-parallel recurrence V' = (V + (V & M)) | (V & ~M): the zero bits of V count the
     common subsequence so far (Crochemore et al. 2001, Hyyro 2004).
     """
-    size = F.size(short)
-    power = _power_of_two(size)
-    full = power - 1
-
-    def mask(token: Column) -> Column:
-        return F.aggregate(
-            F.transform(
-                short,
-                lambda t, i: F.when(t == token, _power_of_two(i)).otherwise(
-                    F.lit(0).cast("bigint")
-                ),
-            ),
-            F.lit(0).cast("bigint"),
-            lambda acc, bit: acc.bitwiseOR(bit),
-        )
-
-    def advance(v: Column, token: Column) -> Column:
-        return bind(
-            F.struct(v.alias("v"), mask(token).alias("m")),
-            lambda s: (s["v"] + s["v"].bitwiseAND(s["m"]))
-            .bitwiseOR(s["v"].bitwiseAND(F.bitwise_not(s["m"])))
-            .bitwiseAND(full),
-        )
-
-    # Tokens that occur nowhere in the short side leave V as it is.
-    present = F.filter(long, lambda t: F.array_contains(short, t))
-    return size - F.bit_count(F.aggregate(present, full, advance))
-
-
-def _lcs_rows(a: Column, b: Column) -> Column:
-    """LCS length by row-wise dynamic programming, for two long sides."""
-    zeros = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def next_row(row: Column, token: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.array(F.lit(0)),
-            lambda out, j: F.array_append(
-                out,
-                F.when(F.get(b, j - 1) == token, F.get(row, j - 1) + 1).otherwise(
-                    F.greatest(F.get(row, j), F.get(out, j - 1))
-                ),
-            ),
-        )
-
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(
-        F.aggregate(a, zeros, next_row), -1
-    )).otherwise(0)
+    masks: dict[str, int] = {}
+    for i, token in enumerate(b):
+        masks[token] = masks.get(token, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    v = full
+    for token in a:
+        mask = masks.get(token)
+        if mask:
+            hit = v & mask
+            v = ((v + hit) | (v - hit)) & full
+    return len(b) - v.bit_count()
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two token arrays of any length."""
-    return (
-        F.when(F.size(b) <= _WORD_BITS, _lcs_bits(b, a))
-        .when(F.size(a) <= _WORD_BITS, _lcs_bits(a, b))
-        .otherwise(_lcs_rows(a, b))
-    )
+    """Length of the longest common subsequence of two token arrays of any length.
 
+    Whole numbers of any size do the work of a row of the table at once; column functions would
+    need a step for every cell or every 62 tokens.
+    """
 
-def rouge_l(target: Column, prediction: Column) -> Column:
-    """ROUGE-L F-measure of two texts, without stemming; 0 when nothing is shared."""
+    @F.pandas_udf("int")
+    def of(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([_lcs(list(x), list(y)) for x, y in zip(left, right, strict=True)], dtype="int32")
 
-    def measure(tokens: Column) -> Column:
-        total = F.size(tokens["a"]) + F.size(tokens["b"])
-        return F.coalesce(
-            F.try_divide(2.0 * lcs_length(tokens["a"], tokens["b"]), total), F.lit(0.0)
-        )
+    return of(a, b)
 
-    return bind(
-        F.struct(rouge_tokens(target).alias("a"), rouge_tokens(prediction).alias("b")), measure
-    )
+
+ROUGE_TOKEN = re.compile("[a-z0-9]+")
+
+
+def rouge_l(target: Column, prediction: Column, stemmed: bool = False) -> Column:
+    """ROUGE-L F-measure of two whole texts; 0 when nothing is shared or a text is null.
+
+    ``stemmed`` compares Porter stems of tokens of more than three letters.
+    """
+
+    def tokens(text: str | None) -> list[str]:
+        found = ROUGE_TOKEN.findall((text or "").lower())
+        return [stem(t) if len(t) > 3 else t for t in found] if stemmed else found
+
+    @F.pandas_udf("double")
+    def of(left: pd.Series, right: pd.Series) -> pd.Series:
+        scores = []
+        for x, y in zip(left, right, strict=True):
+            a, b = tokens(x), tokens(y)
+            scores.append(2.0 * _lcs(a, b) / (len(a) + len(b)) if a or b else 0.0)
+        return pd.Series(scores, dtype=float)
+
+    return of(target, prediction)
 
 
 def terms(*texts: Column) -> Column:

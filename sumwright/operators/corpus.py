@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumwright.functions.prompts import excerpt
 from sumwright.functions.quality import terms
 from sumwright.functions.text import bind
+from sumwright.session import checkpointed
 
 CHUNK_SIZE, CHUNK_OVERLAP = 200, 50
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -59,8 +60,8 @@ def chunk_fixed(
 
 def _cut_points(text: str, separators: tuple[str, ...], size: int) -> list[list[int]]:
     """Runs of piece borders. Pieces in one run may be merged; runs are never merged together."""
-    separator = next(s for s in separators if s == "" or s in text)
-    rest = separators[separators.index(separator) + 1 :]
+    separator = next((s for s in separators if s == "" or s in text), "")
+    rest = separators[separators.index(separator) + 1 :] if separator in separators else ()
     if separator == "":
         return [list(range(len(text) + 1))]
     borders = [0]
@@ -138,14 +139,46 @@ def chunk_recursive(
 
 
 def chunk_records(chunks: DataFrame, doc: str = "doc_id", source: str | None = None) -> DataFrame:
-    """Chunks as collection records ``id, text, metadata``; equal chunks get equal ids."""
+    """Chunks as collection records ``id, text, metadata``; equal chunks get equal ids and one record.
+
+    Only ids are shuffled, to find those that repeat; their records, usually none, are then
+    reduced to one each.
+    """
     origin = F.col(doc).cast("string") if source is None else F.lit(source)
     key = F.concat_ws("|", F.col(doc).cast("string"), F.col("chunk_no").cast("string"), "text")
-    return chunks.select(
+    records = chunks.select(
         F.sha2(key, 256).alias("id"),
         "text",
         F.create_map(F.lit("source"), origin).alias("metadata"),
-    ).dropDuplicates(["id"])
+    )
+    repeated = records.groupBy("id").agg(F.count("*").alias("__n")).where("__n > 1").select("id")
+    repeated = checkpointed(repeated)
+    once = records.join(repeated, "id", "left_anti")
+    return once.unionByName(records.join(repeated, "id", "left_semi").dropDuplicates(["id"]))
+
+
+def following(turns: DataFrame, conv: str, turn: str, role: str) -> DataFrame:
+    """``conv, turn, role`` with ``next_turn`` and ``next_role`` of the same conversation.
+
+    Turns are sorted over all conversations and cut into ranges of rows, so a conversation of any
+    size is spread over many tasks. The last turn of a range continues with the first of the next
+    range that has rows; there is one such row for each range.
+    """
+    ranges = turns.select(conv, turn, role).repartitionByRange(conv, turn, role)
+    ranges = checkpointed(ranges.withColumn("__range", F.spark_partition_id()))
+    order = [F.col(c) for c in (conv, turn, role)]
+    inside = Window.partitionBy("__range").orderBy(*order)
+    here = ranges.withColumn("__next", F.lead(F.struct(*order)).over(inside))
+    firsts = ranges.groupBy("__range").agg(F.min(F.struct(*order)).alias("__first"))
+    later = firsts.select("__range", F.lead("__first").over(Window.orderBy("__range")).alias("__later"))
+    joined = here.join(F.broadcast(later), "__range")
+    after = F.coalesce("__next", "__later")
+    same = after[conv].eqNullSafe(F.col(conv))
+    return joined.select(
+        *order,
+        F.when(same, after[turn]).alias("next_turn"),
+        F.when(same, after[role]).alias("next_role"),
+    )
 
 
 def conversation_pairs(
@@ -154,22 +187,25 @@ def conversation_pairs(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
+    length: int = 100,
 ) -> DataFrame:
-    """User turns with the assistant turn that follows: ``question, answer, source``.
+    """User turns whose next turn is an assistant's: ``conv, turn, question, answer, context, source``.
 
-    Turns are numbered without gaps, so the next turn is an equi-join on (conversation, turn + 1).
-    The join key is as fine as the rows: one huge conversation spreads like many small ones, which
-    a window per conversation would not.
+    Turn numbers order a conversation and may have gaps. Only they are sorted; texts shuffle once,
+    to meet by conversation and turn, a key as fine as the rows. ``context`` is the whole text asked
+    about, ``source`` its first ``length`` characters, kept as a reference.
     """
-    asked = turns.where(F.col(role) == "user").select(
-        conv, (F.col(turn) + 1).alias("__at"), F.col(turn), F.col(text).alias("question")
-    )
+    after = following(turns, conv, turn, role)
+    wanted = after.where((F.col(role) == "user") & (F.col("next_role") == "assistant"))
+    wanted = wanted.select(conv, turn, F.col("next_turn").alias("__at"))
+    asked = turns.where(F.col(role) == "user").select(conv, turn, F.col(text).alias("question"))
     answered = turns.where(F.col(role) == "assistant").select(
         conv, F.col(turn).alias("__at"), F.col(text).alias("answer")
     )
-    return asked.join(answered, [conv, "__at"]).select(
-        conv, turn, "question", "answer", excerpt(F.col("question")).alias("source")
-    )
+    met = asked.join(wanted, [conv, turn]).join(answered, [conv, "__at"])
+    context = F.col("question").alias("context")
+    source = excerpt(F.col("question"), length).alias("source")
+    return met.select(conv, turn, "question", "answer", context, source)
 
 
 def term_counts(df: DataFrame, *texts: str | Column) -> DataFrame:

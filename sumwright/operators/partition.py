@@ -1,15 +1,17 @@
-"""Partition counts of small inputs."""
+"""Partition counts of scans."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SETTING = "sumwright.scan.partitions"
+
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Use every core on a table that comes in fewer partitions than there are cores.
+    """The scan as it is, or dealt out over as many partitions as the session asks for.
 
-    One small file is one task, which matters where each row is costly. A large table has more
-    partitions than cores and is returned as it is, without a shuffle.
+    A file with one large row group is one task. Who knows the inputs to be such files sets
+    ``sumwright.scan.partitions``; nothing here looks at the data or the machine.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    wanted = scan.sparkSession.conf.get(SETTING, None)
+    return scan.repartition(int(wanted)) if wanted else scan

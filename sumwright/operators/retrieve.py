@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query vectors sent to every executor at once.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Queries and corpus vectors that meet in one group.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 8192
 
 # Scores are ranked at this precision so that the order of summation cannot decide a tie.
 SCORE_DIGITS = 9
@@ -23,43 +20,15 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return matrix / np.where(norms == 0, np.nan, norms)
 
 
-def _best_in_partition(
-    batches: Iterator[pd.DataFrame], ids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool
-) -> Iterator[pd.DataFrame]:
-    """Running top k of every query over one partition's vectors; nothing but the top k is kept."""
-    best: pd.DataFrame | None = None
-    for batch in batches:
-        if batch.empty:
-            continue
-        found = []
-        step = max(1, 4_000_000 // max(len(ids), 1))
-        for at in range(0, len(batch), step):
-            part = batch.iloc[at : at + step]
-            scores = queries @ _unit_rows(part["vector"]).T
-            neighbours = part["neighbour_id"].to_numpy()
-            if skip_self:
-                scores[ids[:, None] == neighbours[None, :]] = np.nan
-            keys = np.round(scores, SCORE_DIGITS)
-            order = np.lexsort((np.broadcast_to(neighbours, keys.shape), -keys), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            cols = order.ravel()
-            found.append(
-                pd.DataFrame(
-                    {
-                        "query_id": ids[rows],
-                        "neighbour_id": neighbours[cols],
-                        "score": scores[rows, cols],
-                        "sort_key": keys[rows, cols],
-                    }
-                ).dropna()
-            )
-        merged = pd.concat(([] if best is None else [best]) + found)
-        ordered = merged.sort_values(
-            ["query_id", "sort_key", "neighbour_id"], ascending=[True, False, True]
-        )
-        best = ordered.groupby("query_id").head(k)
-    if best is not None:
-        yield best
+def _best(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` highest finite keys of each row; ties go to the first columns."""
+    keys = np.where(np.isnan(keys), -np.inf, keys)
+    if keys.shape[1] <= k:
+        return np.nonzero(keys > -np.inf)
+    edge = np.partition(keys, -k, axis=1)[:, -k][:, None]
+    above, level = keys > edge, keys == edge
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero((above | (level & (np.cumsum(level, axis=1) <= room))) & (keys > -np.inf))
 
 
 def nearest(
@@ -69,37 +38,51 @@ def nearest(
     id_col: str = "vec_id",
     vector: str = "embedding",
     skip_self: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    query_block: int = QUERY_BLOCK,
+    corpus_block: int = CORPUS_BLOCK,
 ) -> DataFrame:
     """``query_id, neighbour_id, score, rank`` of the ``k`` most similar corpus vectors per query.
 
-    The queries are the small side. They go to the executors in blocks of checked size and each
-    block takes one pass over the corpus, which never moves: a partition sends only its own top k
-    per query to the final ranking. Exact; queries beyond one block cost further passes.
+    Both sides are cut into blocks of bounded size and each pair of blocks meets in one task, which
+    keeps ``k`` candidates per query; these are ranked per query at the end. Nothing passes through
+    the driver but two counts. Every query is compared with every vector, so recall is 1 and the
+    work is queries times corpus: meant for a query set much smaller than the corpus.
     """
-    spark = corpus.sparkSession
-    shape = queries.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
-    blocks = max(1, -(-2 * shape["n"] * (shape["d"] or 0) * 8 // broadcast_bytes))
+    q_blocks = max(1, -(-queries.count() // query_block))
+    c_blocks = max(1, -(-corpus.count() // corpus_block))
     id_type = corpus.schema[id_col].dataType.simpleString()
-    schema = f"query_id {id_type}, neighbour_id {id_type}, score double, sort_key double"
-    side = corpus.select(F.col(id_col).alias("neighbour_id"), F.col(vector).alias("vector"))
 
-    def one_pass(block: int) -> DataFrame:
-        in_block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks).cast("bigint")) == block
-        held = queries.where(in_block).select(id_col, vector).toPandas()
-        if held.empty:
-            return spark.createDataFrame([], schema)
-        shared = spark.sparkContext.broadcast((held[id_col].to_numpy(), _unit_rows(held[vector])))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            return _best_in_partition(batches, ids, matrix, k, skip_self)
+    def side(df: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
+        return df.select(
+            F.col(id_col).alias("id"),
+            F.col(vector).alias("vector"),
+            F.pmod(F.xxhash64(id_col), F.lit(own_blocks)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other),
+        )
 
-        return side.mapInPandas(scan, schema)
+    left = side(queries, "q_block", q_blocks, "c_block", c_blocks)
+    right = side(corpus, "c_block", c_blocks, "q_block", q_blocks)
+
+    def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "neighbour_id", "score", "sort_key"]
+        if asked.empty or held.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        held = held.sort_values("id")
+        ids, matrix, found = held["id"].to_numpy(), _unit_rows(held["vector"]).T, []
+        for at in range(0, len(asked), 256):
+            part = asked.iloc[at : at + 256]
+            own = part["id"].to_numpy()
+            scores = _unit_rows(part["vector"]) @ matrix
+            if skip_self:
+                scores[own[:, None] == ids[None, :]] = np.nan
+            keys = np.round(scores, SCORE_DIGITS)
+            rows, cols = _best(keys, k)
+            values = (own[rows], ids[cols], scores[rows, cols], keys[rows, cols])
+            found.append(pd.DataFrame(dict(zip(columns, values, strict=True))))
+        return pd.concat(found)
 
-    partial = reduce(DataFrame.unionByName, [one_pass(b) for b in range(blocks)])
-    by_query = Window.partitionBy("query_id").orderBy(
-        F.desc("sort_key"), "neighbour_id"
-    )
-    ranked = partial.withColumn("rank", F.row_number().over(by_query))
+    blocks = left.groupBy("q_block", "c_block").cogroup(right.groupBy("q_block", "c_block"))
+    schema = f"query_id {id_type}, neighbour_id {id_type}, score double, sort_key double"
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("sort_key"), "neighbour_id")
+    ranked = blocks.applyInPandas(meet, schema).withColumn("rank", F.row_number().over(by_query))
     return ranked.where(F.col("rank") <= k).drop("sort_key")

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumwright.functions.packing import IGNORE_LABEL, bad_input_ids, bad_labels, pad_ids
 from sumwright.operators.sample import with_position
+from sumwright.session import checkpointed
+
+# Ids that no term gets: padding, and words outside the vocabulary.
+PAD_ID, UNKNOWN_ID, RESERVED = 0, 1, 2
 
-# Ids below this are broadcast to all executors when texts are encoded.
+# Most frequent terms, of at most this many characters each, that all executors hold.
 HEAD_TERMS = 50_000
 _LONGEST_KEY = 64
 
 
-def build_vocab(counts: DataFrame, reserved: int = 0) -> DataFrame:
+def build_vocab(counts: DataFrame, reserved: int = RESERVED) -> DataFrame:
     """Term counts → ``term, n, token_id``: dense ids by falling count, ties in hash order.
 
     Ranks are offsets plus row numbers: terms are counted per (count, hash bucket), the offsets
@@ -46,70 +53,90 @@ def _join_key(term: Column) -> Column:
     )
 
 
+def _key_of(term: str) -> str:
+    """``_join_key`` of one term."""
+    return term if len(term) <= _LONGEST_KEY else "\x00" + hashlib.sha256(term.encode()).hexdigest()
+
+
 def encode(
     df: DataFrame,
     id_col: str,
     tokens: Column,
     vocab: DataFrame,
     out: str = "ids",
-    unknown: int | None = None,
-    reserved: int = 0,
+    unknown: int = UNKNOWN_ID,
+    reserved: int = RESERVED,
     head: int = HEAD_TERMS,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id, *keep, ids``: token arrays as id arrays; terms outside the vocabulary become ``unknown``.
+    """``id, *keep, ids`` of every row: token arrays as id arrays; terms outside the vocabulary
+    become ``unknown``.
 
-    Frequent terms, which make up nearly all words, are looked up in a broadcast of at most
-    ``head`` short keys (ids from ``reserved`` on) and never shuffle by term; only rare terms do, and no rare term is hot. A
-    word array is rebuilt per row id, so a group is one input row. Ids must be unique. ``keep`` names
-    short columns to carry along, which saves a join afterwards. A vocabulary that is costly to
-    compute should be checkpointed first: it is read twice.
+    Rows stay rows, whatever their ids are. Frequent terms, at most ``head`` short keys with ids
+    from ``reserved`` on, are looked up inside the row. Only the distinct other terms of a row
+    shuffle, to meet the rest of the vocabulary, and come back as one small list.
     """
-    row = (id_col, *keep)
-    words = df.select(*row, F.posexplode(tokens).alias("pos", "term")).select(
-        *row, "pos", _join_key(F.col("term")).alias("key")
-    )
-    terms = vocab.select(_join_key(F.col("term")).alias("key"), F.col("token_id").cast("int"))
-    frequent = terms.where(F.col("token_id") < reserved + head)
-    rare = terms.where(F.col("token_id") >= reserved + head)
-    looked_up = words.join(F.broadcast(frequent), "key", "left")
-    known = looked_up.where(F.col("token_id").isNotNull())
-    others = looked_up.where(F.col("token_id").isNull()).drop("token_id").join(rare, "key", "left")
-    resolved = known.unionByName(others)
-    if unknown is not None:
-        resolved = resolved.fillna({"token_id": unknown})
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token_id")))
-    ids = resolved.groupBy(*row).agg(F.transform(ordered, lambda w: w["token_id"]).alias(out))
-    empty = df.where(F.size(tokens) == 0).select(*row, F.array().cast("array<int>").alias(out))
-    return ids.unionByName(empty)
+    keys = vocab.select(_join_key(F.col("term")).alias("key"), F.col("token_id").cast("int").alias("token_id"))
+    frequent = keys.where(F.col("token_id") < reserved + head).collect()
+    known = df.sparkSession.sparkContext.broadcast({r.key: r.token_id for r in frequent})
+
+    @F.pandas_udf("ids array<int>, missing array<string>")
+    def look_up(rows: pd.Series) -> pd.DataFrame:
+        ids, missing = [], []
+        for terms in rows:
+            row = [known.value.get(_key_of(t), -1) for t in terms] if terms is not None else []
+            ids.append(row)
+            missing.append(list({_key_of(t) for t, i in zip(terms, row, strict=True) if i < 0}) if row else [])
+        return pd.DataFrame({"ids": ids, "missing": missing})
+
+    own = (id_col, *keep)
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), *own, tokens.alias("__terms"))
+    rows = checkpointed(rows.withColumn("__found", look_up("__terms")))
+    asked = rows.select("__row", F.explode("__found.missing").alias("key"))
+    others = keys.where(F.col("token_id") >= reserved + head)
+    answers = asked.join(others, "key").groupBy("__row")
+    answers = answers.agg(F.collect_list(F.struct("key", "token_id")).alias("__rare"))
+
+    @F.pandas_udf("array<int>")
+    def fill(ids: pd.Series, terms: pd.Series, rare: pd.Series) -> pd.Series:
+        filled = []
+        for row, words, answer in zip(ids, terms, rare, strict=True):
+            found = {a["key"]: a["token_id"] for a in answer} if answer is not None else {}
+            filled.append(
+                [int(i) if i >= 0 else found.get(_key_of(t), unknown) for i, t in zip(row, words if words is not None else (), strict=True)]
+            )
+        return pd.Series(filled, dtype=object)
+
+    whole = rows.join(answers, "__row", "left")
+    return whole.select(*own, fill("__found.ids", "__terms", "__rare").alias(out))
 
 
 def collate(
-    df: DataFrame, id_col: str, batch_size: int, pad_id: int = 0, seed: int = 42
+    df: DataFrame, id_col: str, batch_size: int, pad_id: int = PAD_ID, seed: int = 42
 ) -> DataFrame:
     """``id, batch_no, input_ids, attention_mask, labels`` padded to the batch's longest member.
 
-    Batches are consecutive rows of the seeded shuffle order. Labels repeat the input ids with
-    padding ignored. Lengths alone are ranked and grouped, so the arrays shuffle once, to meet
-    their batch.
+    Batches are consecutive rows of the seeded shuffle order. Labels repeat the input ids; what is
+    ignored is the padding by its position, whatever ids the row holds. Lengths alone are ranked
+    and grouped, so the arrays shuffle once, to meet their batch. Rows may repeat ids.
     """
-    lengths = df.select(id_col, F.size("input_ids").alias("length"))
+    df = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+    lengths = df.select(id_col, "__row", F.size("input_ids").alias("length"))
     placed = with_position(lengths, id_col, seed).withColumn(
         "batch_no", F.floor(F.col("position") / batch_size)
     )
     longest = placed.withColumn(
         "longest", F.max("length").over(Window.partitionBy("batch_no"))
-    ).select(id_col, "batch_no", "longest")
+    ).select("__row", "batch_no", "longest")
     ids = pad_ids(F.col("input_ids"), F.col("longest"), pad_id)
     mask = pad_ids(F.col("attention_mask").cast("array<int>"), F.col("longest"), 0)
-    return df.join(longest, id_col).select(
+    labels = pad_ids(F.col("input_ids"), F.col("longest"), IGNORE_LABEL)
+    return df.join(longest, "__row").select(
         id_col,
         "batch_no",
         ids.alias("input_ids"),
         mask.cast("array<tinyint>").alias("attention_mask"),
-        F.transform(
-            ids, lambda x: F.when(x == pad_id, F.lit(IGNORE_LABEL)).otherwise(x)
-        ).cast("array<bigint>").alias("labels"),
+        labels.cast("array<bigint>").alias("labels"),
     )
 
 

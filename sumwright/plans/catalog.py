@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumwright.functions import cleaning, packing, prompts, quality, similarity
-from sumwright.functions.execute import screen_steps
-from sumwright.functions.numbers import row_to_nums, str_to_num
+from sumwright.functions import cleaning, packing, prompts, quality, shapes, similarity
+from sumwright.functions.execute import eval_program, screen_steps
+from sumwright.functions.numbers import round_exact, row_to_nums, str_to_num
 from sumwright.functions.program_text import (
+    dropped_steps,
     linearize_program,
     linearize_tokens,
     parse_raw_to_steps,
@@ -29,6 +30,7 @@ from sumwright.plans import workflows
 from sumwright.plans.derive import fill, row_id, table
 from sumwright.session import checkpointed
 from sumwright.sources.corpora import best_run
+from sumwright.sources.examples import typed_examples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,7 +41,7 @@ SQL_P = "CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR)"
 SQL_Q = "CAST(CAST(l_quantity AS DECIMAL(15,2)) AS VARCHAR)"
 SQL_D = "CAST(CAST(l_discount AS DECIMAL(15,2)) AS VARCHAR)"
 SQL_ID = f"concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {SQL_P})"
-# Whitespace as Python strips it, and words as runs of anything else.
+# A user turn and the assistant turn that comes next.
 SQL_PAIRS = """pairs AS (
   SELECT conv_id, turn, question, answer, substr(question, 1, 100) AS source FROM (
     SELECT conv_id, turn, role, text AS question,
@@ -57,11 +59,6 @@ def sql_words(text: str) -> str:
     return f"list_filter(string_split_regex(lower({text}), '[\\s\\x0b\\x{{85}}\\x{{a0}}]+'), lambda w: w <> '')"
 
 
-def sql_choose(index: str, *options: str) -> str:
-    whens = " ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(options[:-1]))
-    return f"CASE {index} {whens} ELSE {options[-1]} END"
-
-
 def sql_variant(count: int) -> str:
     return f"((l_orderkey + l_linenumber) % {count})"
 
@@ -89,6 +86,41 @@ def _run(spark: SparkSession, folder: str, program: Column, grid: Column | None
 # Execution of programs
 
 
+@query(
+    "exec_long",
+    f"""SELECT {SQL_ID} AS id, CAST(0 AS INTEGER) AS invalid,
+        {r5("(((l_extendedprice - l_quantity) / l_quantity * 2 + 1) - l_extendedprice) / l_quantity")} AS num,
+        CAST(NULL AS VARCHAR) AS txt FROM lineitem""",
+)
+def exec_long(spark: SparkSession, folder: str) -> DataFrame:
+    steps = "subtract({P}, {Q}), divide(#0, {Q}), multiply(#1, 2), add(#2, 1), subtract(#3, {P}), divide(#4, {Q})"
+    return _run(spark, folder, fill(steps))
+
+
+@query(
+    "exec_both_ways",
+    f"""SELECT {SQL_ID} AS id, {r5("(l_extendedprice - l_quantity) / l_quantity * l_discount")} AS compiled,
+        {r5("(l_extendedprice - l_quantity) / l_quantity * l_discount")} AS folded FROM lineitem""",
+)
+def exec_both_ways(spark: SparkSession, folder: str) -> DataFrame:
+    """The same programs laid out as columns and folded over their steps."""
+    program = tokenize_program(fill("subtract({P}, {Q}), divide(#0, {Q}), multiply(#1, {D})"))
+    rows = d.lines(spark, folder).select(row_id().alias("id"), program.alias("predicted"))
+    done = with_result(rows, "predicted").withColumn("fold", eval_program(F.col("predicted")))
+    return done.select("id", F.col("result.num").alias("compiled"), F.col("fold.num").alias("folded"))
+
+
+@query(
+    "round_large",
+    f"""SELECT {SQL_ID} AS id, CAST(printf('%.5f', x) AS DOUBLE) AS rounded
+        FROM (SELECT *, l_extendedprice * 1000000.0 + l_orderkey * 0.000225 AS x FROM lineitem)""",
+)
+def round_large(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers up to about 1e11 with many decimals."""
+    value = round_exact(F.col("l_extendedprice") * 1000000.0 + F.col("l_orderkey") * 0.000225)
+    return d.lines(spark, folder).select(row_id().alias("id"), value.alias("rounded"))
+
+
 @query(
     "exec_arith",
     f"""SELECT {SQL_ID} AS id, CAST(0 AS INTEGER) AS invalid,
@@ -222,6 +254,18 @@ def linearize(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "dropped_steps",
+    f"""SELECT {SQL_ID} AS id, CAST(CASE WHEN l_extendedprice >= 1000 THEN 1 ELSE 0 END AS INTEGER) AS dropped
+        FROM lineitem""",
+)
+def dropped_steps_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices with thousands separators, whose commas hide a step."""
+    price = F.format_number("l_extendedprice", 2)
+    text = F.concat(F.lit("modulo(1, 2), Divide("), price, F.lit(", 2), add(#0, 1), table_max (a, none)"))
+    return d.lines(spark, folder).select(row_id().alias("id"), dropped_steps(text).alias("dropped"))
+
+
 @query(
     "tokenize_gold",
     f"""SELECT {SQL_ID} AS id, 'subtract(|' || {SQL_P} || '|' || {SQL_Q} || '|)|divide(|#0|' ||
@@ -328,6 +372,31 @@ def program_equal(spark: SparkSession, folder: str) -> DataFrame:
     return with_equality(rows).select("id", "equal")
 
 
+@query(
+    "program_equal_more",
+    f"SELECT {SQL_ID} AS id, {sql_variant(8)} IN (0, 1, 4, 6) AS equal FROM lineitem",
+)
+def program_equal_more(spark: SparkSession, folder: str) -> DataFrame:
+    """Powers, comparisons and table steps."""
+    pairs = (
+        ("exp({P}, 2), greater(#0, {Q})", "exp({P}, 2), greater(#0, {Q})"),
+        ("add({P}, {Q}), exp(#0, {D})", "add({Q}, {P}), exp(#0, {D})"),
+        ("add({P}, {Q}), exp(#0, {D})", "add({Q}, {P}), exp(#0, {Q})"),
+        ("greater({P}, {Q})", "greater({Q}, {P})"),
+        ("table_max(rev, none), add(#0, {P})", "table_max(rev, none), add({P}, #0)"),
+        ("table_max(rev, none), add(#0, {P})", "table_min(rev, none), add(#0, {P})"),
+        ("table_sum(rev, none), divide(#0, {P})", "table_sum(rev, none), divide(#0, {P})"),
+        ("greater({P}, {Q})", "subtract({P}, {Q})"),
+    )
+    gold, predicted = (d.choose(d.variant(8), *[fill(p[i]) for p in pairs]) for i in (0, 1))
+    rows = d.lines(spark, folder).select(
+        row_id().alias("id"),
+        tokenize_program(gold).alias("gold"),
+        tokenize_program(predicted).alias("predicted"),
+    )
+    return with_equality(rows).select("id", "equal")
+
+
 SQL_SCORED = f"""scored AS (
   SELECT *, coalesce(num = gold, FALSE) AS exe_ok FROM (
     SELECT {SQL_ID} AS id, {sql_variant(8)} AS v,
@@ -353,14 +422,49 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
         round(COUNT(*) FILTER (exe_ok) / COUNT(*), 9) AS exe_acc,
         round(COUNT(*) FILTER (v <= 2) / COUNT(*), 9) AS prog_acc,
         COUNT(*) FILTER (v <= 2 AND NOT exe_ok) AS equal_but_mismatch,
-        COUNT(*) FILTER (v = 2) AS equal_but_different_text, CAST(0 AS BIGINT) AS missing_gold
-        FROM scored""",
+        COUNT(*) FILTER (v = 2) AS equal_but_different_text, CAST(0 AS BIGINT) AS missing_gold,
+        CAST(0 AS BIGINT) AS duplicate_gold FROM scored""",
 )
 def accuracy(spark: SparkSession, folder: str) -> DataFrame:
     report = evaluate.accuracy(_scored(spark, folder))
     return report.withColumns({c: F.round(c, 9) for c in ("exe_acc", "prog_acc")})
 
 
+@query(
+    "accuracy_repeated_gold",
+    f"""WITH {SQL_SCORED} SELECT COUNT(*) AS total, COUNT(*) FILTER (exe_ok) AS exe_correct,
+        COUNT(*) FILTER (v <= 2) AS prog_correct, CAST(0 AS BIGINT) AS missing_gold,
+        COUNT(*) FILTER (v < 4) AS duplicate_gold FROM scored""",
+)
+def accuracy_repeated_gold(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the gold ids come twice; the program that sorts first counts."""
+    gold = d.gold_examples(spark, folder)
+    again = d.lines(spark, folder).where(d.variant(8) < 4).select(
+        row_id().alias("id"), F.lit("table_sum(x, none)").alias("program"), F.lit("0").alias("exe_ans")
+    )
+    report = evaluate.accuracy(evaluate.score(d.predictions(spark, folder), gold.unionByName(again)))
+    return report.select("total", "exe_correct", "prog_correct", "missing_gold", "duplicate_gold")
+
+
+@query(
+    "attach_prediction",
+    """SELECT CAST(c_custkey AS VARCHAR) AS id, 'status ' || o_orderstatus AS question,
+         'add(|' || c_custkey || '|1|)|EOF' AS predicted
+       FROM customer LEFT JOIN orders ON c_custkey = o_orderkey""",
+)
+def attach_prediction(spark: SparkSession, folder: str) -> DataFrame:
+    predictions = table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        F.split(F.concat(F.lit("add(|"), "c_custkey", F.lit("|1|)|EOF")), r"\|").alias("predicted"),
+    )
+    question = F.concat(F.lit("status "), "o_orderstatus").alias("question")
+    gold = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.struct(question).alias("qa")
+    )
+    rows = evaluate.attach_prediction(gold, predictions)
+    return rows.select("id", "qa.question", F.array_join("qa.predicted", "|").alias("predicted"))
+
+
 @query(
     "error_rows",
     f"""WITH {SQL_SCORED} SELECT id, CAST(num IS NULL AND v <> 6 AS INTEGER) AS invalid, num
@@ -431,7 +535,7 @@ def render_table(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("}]"),
     )
     return d.lines(spark, folder).select(
-        row_id().alias("id"), prompts.render_table_json(raw).alias("rendered")
+        row_id().alias("id"), prompts.render_table_json(raw, F.lit(shapes.LIST)).alias("rendered")
     )
 
 
@@ -504,19 +608,64 @@ def _sql_fill(template: str, **slots: str) -> str:
 @query(
     "pair_prompts",
     f"""WITH {SQL_PAIRS} SELECT conv_id, turn,
-        {_sql_fill(prompts.QUESTION_PROMPT, chunk="source")} AS ask,
-        {_sql_fill(prompts.ANSWER_PROMPT, chunk="source", question="question")} AS reply
+        {_sql_fill(prompts.QUESTION_PROMPT, chunk="question")} AS ask,
+        {_sql_fill(prompts.ANSWER_PROMPT, chunk="question", question="question")} AS reply
         FROM pairs""",
 )
 def pair_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).select(
         "conv_id",
         "turn",
-        prompts.question_prompt(F.col("source")).alias("ask"),
-        prompts.answer_prompt(F.col("source"), F.col("question")).alias("reply"),
+        prompts.question_prompt(F.col("context")).alias("ask"),
+        prompts.answer_prompt(F.col("context"), F.col("question")).alias("reply"),
     )
 
 
+@query(
+    "chunk_prompts",
+    f"""SELECT doc_id, CAST((pos - 1) / 150 AS INTEGER) AS chunk_no,
+        {_sql_fill(prompts.QUESTION_PROMPT, chunk="substr(text, pos, 200)")} AS ask
+        FROM (SELECT doc_id, text, unnest(generate_series(1, length(text), 150)) AS pos
+              FROM documents WHERE length(text) > 0)""",
+)
+def chunk_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = corpus.chunk_fixed(table(spark, folder, "documents"))
+    return chunks.select("doc_id", "chunk_no", prompts.question_prompt(F.col("text")).alias("ask"))
+
+
+@query(
+    "typed_text",
+    """SELECT CAST(doc_id AS VARCHAR) AS id,
+         CASE doc_id % 3 WHEN 0 THEN '[' || text WHEN 1 THEN '["' || text || '"] ' || source
+           ELSE array_to_string(string_split(text, chr(10)), ' ') END AS pre,
+         '' AS post, CASE WHEN doc_id % 2 = 0 THEN 'lang: ' || lang || chr(10) || 'long: ' ||
+           CASE WHEN n_chars > 1500 THEN 'True' ELSE 'False' END ELSE '{' || text END AS table_text,
+         '' AS question FROM documents""",
+)
+def typed_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose texts are JSON strings or lists and often begin like JSON themselves."""
+    docs = table(spark, folder, "documents")
+
+    def record(pre: Column) -> Column:
+        keyed = F.struct("lang", (F.col("n_chars") > 1500).alias("long"))
+        id_ = F.col("doc_id").cast("string").alias("id")
+        with_table = F.to_json(F.struct(id_, pre.alias("pre_text"), keyed.alias("table_ori")))
+        brace = F.concat(F.lit("{"), "text").alias("table")
+        return F.when(F.col("doc_id") % 2 == 0, with_table).otherwise(
+            F.to_json(F.struct(id_, pre.alias("pre_text"), brace))
+        )
+
+    rows = docs.select(
+        F.when(F.col("doc_id") % 3 == 0, record(F.concat(F.lit("["), "text")))
+        .when(F.col("doc_id") % 3 == 1, record(F.concat(F.lit('["'), "text", F.lit('"] '), "source")))
+        .otherwise(record(F.split("text", "\n")))
+        .alias("record")
+    )
+    typed = typed_examples(rows)
+    rendered = prompts.render_table_json(F.col("table_json"), F.col("table_kind"))
+    return typed.select("id", "pre", "post", rendered.alias("table_text"), "question")
+
+
 # Subsets
 
 
@@ -640,6 +789,18 @@ def currency_scaled(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "currency_trillion",
+    """SELECT o_orderkey, format('{:,}', CAST(o_orderkey AS HUGEINT) * 1500000000000) || ' ZAR of ' ||
+         format('{:,}', CAST(o_orderkey AS HUGEINT) * 17179869184 * 1000000000) || ' ZAR' AS text FROM orders""",
+)
+def currency_trillion(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole amounts far beyond 64 bits."""
+    half = (F.col("o_orderkey") * 1.5).cast("decimal(20,1)").cast("string")
+    text = F.concat(F.lit("r"), half, F.lit(" trillion of R "), (F.col("o_orderkey") * 17179869184).cast("string"), F.lit(" billion"))
+    return table(spark, folder, "orders").select("o_orderkey", cleaning.scale_currency(text).alias("text"))
+
+
 @query(
     "page_text",
     r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
@@ -717,12 +878,13 @@ def chunk_collection(spark: SparkSession, folder: str) -> DataFrame:
            ORDER BY round(score, 9) DESC, neighbour_id) AS rank
          FROM (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id,
              list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
-           FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id))
+           FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0))
        WHERE rank <= 3""",
 )
 def knn_top3(spark: SparkSession, folder: str) -> DataFrame:
+    """The query set are the ids divisible by 100; each meets every vector."""
     vectors = table(spark, folder, "embeddings")
-    found = retrieve.nearest(vectors, vectors, 3, skip_self=True)
+    found = retrieve.nearest(vectors.where("vec_id % 100 = 0"), vectors, 3, skip_self=True)
     return found.select("query_id", "neighbour_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -747,7 +909,18 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("qa_pairs", f"WITH {SQL_PAIRS} SELECT conv_id, turn, question, answer, source FROM pairs")
 def qa_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return _pairs(spark, folder)
+    return _pairs(spark, folder).drop("context")
+
+
+@query(
+    "qa_pairs_gaps",
+    f"""WITH {SQL_PAIRS} SELECT conv_id, turn * (turn + 3) AS turn, question, answer, source FROM pairs""",
+)
+def qa_pairs_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The same turns under numbers with growing gaps."""
+    turns = table(spark, folder, "conversations")
+    apart = turns.withColumn("turn", F.col("turn") * (F.col("turn") + 3))
+    return corpus.conversation_pairs(apart).drop("context")
 
 
 def sql_reading(text: str) -> str:
@@ -761,21 +934,21 @@ def sql_reading(text: str) -> str:
 
 
 SQL_CLARITY = f"({sql_reading('question')} + {sql_reading('answer')}) / 2"
-# Longest common subsequence with one bit per source token; a source has at most 50 tokens.
+# Longest common subsequence by thresholds: the k-th is the least place in the question at which a
+# common subsequence of k tokens ends; each token of the answer lowers some of them.
 SQL_SCORES = f"""{SQL_PAIRS},
   toks AS (SELECT *, regexp_extract_all(lower(answer), '[a-z0-9]+') AS a,
-    regexp_extract_all(lower(source), '[a-z0-9]+') AS s,
-    list_distinct({sql_words("answer")}) AS aw, list_distinct({sql_words("source")}) AS sw
+    regexp_extract_all(lower(question), '[a-z0-9]+') AS s,
+    list_distinct({sql_words("answer")}) AS aw, list_distinct({sql_words("question")}) AS sw
     FROM pairs),
-  masked AS (SELECT *, (1::HUGEINT << len(s)) - 1 AS full_mask,
-    list_transform(a, lambda t: list_sum(list_transform(range(len(s)), lambda i:
-      CASE WHEN s[i + 1] = t THEN 1::HUGEINT << i::INTEGER ELSE 0::HUGEINT END))::HUGEINT) AS masks
+  placed AS (SELECT *, list_transform(a, lambda t: list_filter(range(1, len(s) + 1), lambda i: s[i] = t)) AS places
     FROM toks),
-  folded AS (SELECT *, list_reduce(list_concat([full_mask], masks), lambda v, m:
-      ((v + (v & m)) | (v & (full_mask - m))) & full_mask) AS v FROM masked),
+  folded AS (SELECT *, list_reduce(list_concat([list_filter([0::BIGINT], lambda z: z > 0)], places), lambda t, p:
+      list_filter(list_transform(range(1, len(t) + 2), lambda k: least(coalesce(t[k], 1000000),
+        coalesce(list_min(list_filter(p, lambda q: q > CASE WHEN k = 1 THEN 0 ELSE t[k - 1] END)), 1000000))),
+        lambda x: x < 1000000)) AS ends FROM placed),
   scores AS (SELECT *,
-    CASE WHEN len(a) = 0 OR len(s) = 0 THEN 0.0
-      ELSE 2.0 * (len(s) - bit_count(v)) / (len(a) + len(s)) END AS rouge,
+    CASE WHEN len(a) = 0 OR len(s) = 0 THEN 0.0 ELSE 2.0 * len(ends) / (len(a) + len(s)) END AS rouge,
     coalesce(len(list_intersect(aw, sw)) / nullif(sqrt(len(aw) * len(sw)), 0), 0.0) AS faith,
     {SQL_CLARITY} AS clear FROM folded)"""
 
@@ -791,7 +964,7 @@ def readability(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("rouge_l", f"WITH {SQL_SCORES} SELECT conv_id, turn, round(rouge, 6) AS rouge_l FROM scores")
 def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
-    value = quality.rouge_l(F.col("answer"), F.col("source"))
+    value = quality.rouge_l(F.col("answer"), F.col("context"))
     return _pairs(spark, folder).select("conv_id", "turn", F.round(value, 6).alias("rouge_l"))
 
 
@@ -840,7 +1013,7 @@ def top_terms(spark: SparkSession, folder: str) -> DataFrame:
 # Token arrays
 
 SQL_VOCAB = f"""{SQL_TERMS}, vocab AS (SELECT term, n,
-  row_number() OVER (ORDER BY n DESC, md5(term), term) AS token_id FROM counts)"""
+  row_number() OVER (ORDER BY n DESC, md5(term), term) + 1 AS token_id FROM counts)"""
 SQL_ENCODED = f"""{SQL_VOCAB}, qw AS (
     SELECT conv_id, turn, unnest({sql_words("question")}) AS term,
       generate_subscripts({sql_words("question")}, 1) AS pos FROM pairs),
@@ -857,19 +1030,25 @@ SQL_ENCODED = f"""{SQL_VOCAB}, qw AS (
 
 
 def _vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.build_vocab(_term_counts(spark, folder), reserved=1)
+    return tokens.build_vocab(checkpointed(_term_counts(spark, folder)))
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
-    """``id, input_ids, attention_mask, labels`` of the pairs; id 0 is left for padding."""
-    rows = _pairs(spark, folder).select(
+    """``id, input_ids, attention_mask, labels`` of the pairs; ids 0 and 1 are no term's."""
+    return _pack(_pair_words(spark, folder), checkpointed(_vocab(spark, folder)))
+
+
+def _pair_words(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark, folder).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),
         words(F.col("question"), lower=True).alias("prompt"),
         words(F.col("answer"), lower=True).alias("target"),
     )
+
+
+def _pack(rows: DataFrame, terms: DataFrame) -> DataFrame:
     sized = rows.select("id", F.concat("prompt", "target").alias("all"), F.size("prompt").alias("p"))
-    terms = checkpointed(_vocab(spark, folder))
-    both = tokens.encode(sized, "id", F.col("all"), terms, reserved=1, keep=("p",))
+    both = checkpointed(tokens.encode(sized, "id", F.col("all"), terms, keep=("p",)))
     packed = packing.pack(
         F.slice("ids", F.lit(1), F.col("p")),
         F.slice("ids", F.col("p") + 1, F.size("ids") - F.col("p")),
@@ -899,6 +1078,28 @@ def pack(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "pack_repeated",
+    f"""WITH {SQL_ENCODED} SELECT CASE WHEN conv_id % 3 = 0 THEN '' ELSE CAST(conv_id % 7 AS VARCHAR) END AS id,
+        array_to_string(list_transform(ids, lambda i: CASE WHEN i - 2 < common THEN i ELSE 1 END), ' ') AS input_ids,
+        array_to_string(list_concat(list_transform(prompt_ids, lambda x: -100),
+          list_transform(target_ids, lambda i: CASE WHEN i - 2 < common THEN i ELSE 1 END)), ' ') AS labels
+        FROM packed JOIN pairs ON id = conv_id || '-' || turn,
+          (SELECT count(*) AS common FROM counts WHERE n >= 3)""",
+)
+def pack_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with empty and repeated ids; words of one or two occurrences are not in the vocabulary."""
+    rows = _pair_words(spark, folder).withColumn("conv", F.split_part("id", F.lit("-"), F.lit(1)).cast("long"))
+    key = F.when(F.col("conv") % 3 == 0, "").otherwise((F.col("conv") % 7).cast("string"))
+    known = checkpointed(_vocab(spark, folder).where("n >= 3"))
+    packed = _pack(rows.withColumn("id", key).drop("conv"), known)
+    return packed.select(
+        "id",
+        F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
+        F.array_join(F.col("labels").cast("array<string>"), " ").alias("labels"),
+    )
+
+
 @query(
     "pad",
     f"""WITH {SQL_ENCODED} SELECT id,

@@ -63,6 +63,7 @@ def row_id() -> Column:
     """(l_orderkey, l_linenumber) repeats; with these five columns a row is identified."""
     return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price())
 
+
 PRED_VARIANTS = (
     "subtract({P}, {Q}), divide(#0, {Q})",
     "subtract({P}, {Q}), divide(#0, {Q})",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,15 +41,38 @@ def local_session(cpus: int | str = 8, name: str = "sumwright") -> SparkSession:
     return tune(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    A folder of this machine is used only in a local session where nothing is set, as in tests.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="sumwright-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the cluster's shared checkpoint folder.
+    """``df`` written to the shared folder and read back.
 
-    The folder comes from ``spark.checkpoint.dir``; a folder of this machine is used only where
-    nothing is set, as in tests.
+    This cuts lineage, outlives lost executors and tells the planner the real size, so that small
+    tables are broadcast and others not. The files belong to the caller of the job.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sumwright-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, for clusters where it is not installed."""
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="sumwright-ship-")) / "sumwright.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for module in sorted(root.rglob("*.py")):
+            file.write(module, module.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    return spark

@@ -7,63 +7,106 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sumwright.functions.program_text import linearize_program, linearize_tokens
-from sumwright.functions.prompts import join_sentences, table_or_fallback
+from sumwright.functions.prompts import join_sentences
+from sumwright.functions.shapes import LIST, STRING, kind_at
 
-# Fields whose JSON shape varies are read as JSON text; plain JSON strings arrive unquoted.
+# Fields whose JSON shape varies arrive as text; ``typed_examples`` reads their kind as well.
 RAW_EXAMPLE = (
     "id string, pre_text string, post_text string, table string, table_ori string, "
     "qa struct<question: string, program: string, exe_ans: string>"
 )
 PREDICTION = "id string, predicted array<string>"
 
-LAYOUTS = ("list", "wrapped", "lines")
+LAYOUTS = ("auto", "list", "wrapped", "lines")
 
 
-def read_json(spark: SparkSession, path: str, schema: str, layout: str = "lines") -> DataFrame:
-    """JSON records as ``lines`` (splittable, blank lines skipped), one ``list`` per file, or a
-    ``wrapped`` ``{"data": [...]}`` per file. The last two parse a file in one task each."""
+def file_layout(whole: Column) -> Column:
+    """``list``, ``wrapped`` or ``lines`` of a file's whole text.
+
+    A file that is one JSON list or one JSON object is read as such; an object holds its records
+    under ``data``. Anything else holds one record a line.
+    """
+    # A parser of one value stops after the first; inside a list, more than one is an error.
+    single = F.json_array_length(F.concat(F.lit("["), whole, F.lit("]"))) == 1
+    kind = F.when(single, F.schema_of_variant(F.try_parse_json(whole)))
+    return F.when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "wrapped").otherwise("lines")
+
+
+def read_records(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """``record``, the JSON text of every record.
+
+    ``lines`` is splittable and skips blank lines. One ``list`` per file, or a ``wrapped``
+    ``{"data": [...]}``, is parsed in one task each; so is every file where the layout has to be
+    found out (``auto``).
+    """
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}")
-    if layout == "wrapped":
-        record = T.StructType.fromDDL(schema)
-        wrapper = T.StructType([T.StructField("data", T.ArrayType(record))])
-        wrapped = spark.read.schema(wrapper).option("multiLine", True).json(path)
-        return wrapped.select(F.explode("data").alias("r")).select("r.*")
-    return spark.read.schema(schema).option("multiLine", layout == "list").json(path)
+    if layout == "lines":
+        lines = spark.read.text(path).select(F.col("value").alias("record"))
+        return lines.where(F.trim("record") != "")
+    whole = spark.read.text(path, wholetext=True)
+    found = F.lit(layout) if layout != "auto" else file_layout(F.col("value"))
+    listed = F.from_json("value", "array<string>")
+    wrapped = F.coalesce(F.from_json("value", "data array<string>")["data"], F.array().cast("array<string>"))
+    lines = F.split("value", "\r?\n")
+    records = F.when(F.col("found") == "list", listed).when(F.col("found") == "wrapped", wrapped).otherwise(lines)
+    rows = whole.select("value", found.alias("found")).select(F.explode(records).alias("record"))
+    return rows.where(F.trim("record") != "")
+
+
+def read_json(spark: SparkSession, path: str, schema: str, layout: str = "lines") -> DataFrame:
+    """The fields of ``schema`` of every record; see ``read_records``."""
+    records = read_records(spark, path, layout)
+    return records.select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
 def read_examples(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """Examples with variable fields still as text; see ``typed_examples``."""
-    return read_json(spark, path, RAW_EXAMPLE, layout)
+    """Examples as ``record``; see ``typed_examples``."""
+    return read_records(spark, path, layout)
 
 
-def sentences(raw: Column) -> Column:
-    """A JSON list of sentences joined by a space, or the text itself; null gives ``''``."""
-    joined = join_sentences(F.from_json(raw, "array<string>"))
-    return F.coalesce(F.when(raw.startswith("["), joined), raw, F.lit(""))
+def sentences(text: Column, kind: Column) -> Column:
+    """A JSON list of sentences joined by a space, or a JSON string as it is; null gives ``''``."""
+    joined = join_sentences(F.from_json(text, "array<string>"))
+    return F.coalesce(F.when(kind == LIST, joined), text, F.lit(""))
 
 
-def linear_program(raw: Column) -> Column:
+def program_text(text: Column, kind: Column) -> Column:
+    """Program text, that of a JSON token list with its tokens joined by a space."""
+    return F.when(kind == LIST, F.array_join(F.from_json(text, "array<string>"), " ")).otherwise(text)
+
+
+def linear_program(text: Column, kind: Column) -> Column:
     """Linearized program from program text or a JSON token list."""
-    tokens = linearize_tokens(F.from_json(raw, "array<string>"))
-    return F.when(raw.startswith("["), tokens).otherwise(linearize_program(raw))
+    tokens = linearize_tokens(F.from_json(text, "array<string>"))
+    return F.when(kind == LIST, tokens).otherwise(linearize_program(text))
 
 
-def typed_examples(raw: DataFrame) -> DataFrame:
-    """``id, pre, post, table_json, table, question, program, exe_ans``; missing text is empty.
+def typed_examples(records: DataFrame) -> DataFrame:
+    """``id, pre, post, table_json, table_kind, table, question, program, program_kind, exe_ans,
+    exe_ans_kind`` of ``record`` rows; missing text and ids are empty.
 
-    A table that is null falls back to ``table_ori`` just like a missing one.
+    What a field holds is read from its JSON kind, never guessed from its first character. A table
+    that is null falls back to ``table_ori`` just like a missing one.
     """
-    table = table_or_fallback(F.col("table"), F.col("table_ori"))
-    return raw.select(
-        F.coalesce("id", F.lit("")).alias("id"),
-        sentences(F.col("pre_text")).alias("pre"),
-        sentences(F.col("post_text")).alias("post"),
+    parsed = records.select(
+        F.from_json("record", RAW_EXAMPLE).alias("r"), F.try_parse_json("record").alias("v")
+    )
+    own = F.col("r.table").isNotNull()
+    table = F.when(own, F.col("r.table")).otherwise(F.col("r.table_ori"))
+    kind = F.when(own, kind_at(F.col("v"), "$.table")).otherwise(kind_at(F.col("v"), "$.table_ori"))
+    return parsed.select(
+        F.coalesce("r.id", F.lit("")).alias("id"),
+        sentences(F.col("r.pre_text"), kind_at(F.col("v"), "$.pre_text")).alias("pre"),
+        sentences(F.col("r.post_text"), kind_at(F.col("v"), "$.post_text")).alias("post"),
         table.alias("table_json"),
-        F.from_json(table, "array<array<string>>").alias("table"),
-        F.coalesce("qa.question", F.lit("")).alias("question"),
-        F.coalesce("qa.program", F.lit("")).alias("program"),
-        F.col("qa.exe_ans").alias("exe_ans"),
+        kind.alias("table_kind"),
+        F.when(kind != STRING, F.from_json(table, "array<array<string>>")).alias("table"),
+        F.coalesce("r.qa.question", F.lit("")).alias("question"),
+        F.coalesce("r.qa.program", F.lit("")).alias("program"),
+        kind_at(F.col("v"), "$.qa.program").alias("program_kind"),
+        F.col("r.qa.exe_ans").alias("exe_ans"),
+        kind_at(F.col("v"), "$.qa.exe_ans").alias("exe_ans_kind"),
     )
 
 

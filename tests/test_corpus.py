@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sumwright.functions import cleaning, packing, prompts, quality, similarity
+from sumwright.functions.stem import stem
 from sumwright.functions.text import WHITESPACE, squeeze, strip, words
 from sumwright.operators import corpus, retrieve, sample, tokens
 from sumwright.plans import workflows
@@ -27,15 +28,17 @@ EXAMPLES = [
 ]
 
 
-@pytest.mark.parametrize("layout", examples.LAYOUTS)
-def test_examples_and_prompts(spark, tmp_path, layout):
+@pytest.mark.parametrize(
+    ("layout", "named"), [(x, n) for x in examples.LAYOUTS[1:] for n in (x, "auto")]
+)
+def test_examples_and_prompts(spark, tmp_path, layout, named):
     text = {
         "list": json.dumps(EXAMPLES),
         "wrapped": json.dumps({"data": EXAMPLES}),
         "lines": "\n\n".join(json.dumps(e) for e in EXAMPLES) + "\n",
     }[layout]
     (tmp_path / "e.json").write_text(text)
-    raw = examples.read_examples(spark, str(tmp_path / "e.json"), layout)
+    raw = examples.read_examples(spark, str(tmp_path / "e.json"), named)
     typed = {r.id: r for r in examples.typed_examples(raw).collect()}
     assert (typed["x"].pre, typed["x"].post, typed["x"].exe_ans) == ("a . b .", "c .", "0.5")
     assert typed["x"].table == EXAMPLES[0]["table"] and typed["y"].exe_ans == "yes"
@@ -50,6 +53,32 @@ def test_examples_and_prompts(spark, tmp_path, layout):
     assert "End with EOF." in rendered["x"].prompt_text
 
 
+def test_files_of_several_layouts(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(EXAMPLES[:1]))
+    (tmp_path / "b.json").write_text("\n" + json.dumps(EXAMPLES[3]) + "\r\n \n" + json.dumps(EXAMPLES[1]))
+    (tmp_path / "c.json").write_text(json.dumps({"other": 1}))
+    raw = examples.read_examples(spark, str(tmp_path), "auto")
+    assert sorted(r.id for r in examples.typed_examples(raw).collect()) == ["x", "y", "z"]
+
+
+def test_text_stays_text(spark):
+    records = [
+        {"id": "1", "pre_text": "[1] The company sold 5 .", "post_text": "[a] b", "table": '["x"] tail', "qa": {"program": "[add(1, 2)]"}},
+        {"id": "2", "pre_text": ["[1] a", "b"], "table": ["[1]", ["[x]", True, None, 1.50, {"k": [1, "a'b"]}], {"z": False, "a": "[q]"}, 2, None]},
+        {"id": "3", "pre_text": None, "table": {"z": [True, "x"], "a": None}},
+        {"id": "4", "table": True},
+    ]
+    raw = spark.createDataFrame([(json.dumps(r),) for r in records], "record string")
+    typed = {r.id: r for r in examples.typed_examples(raw).collect()}
+    assert (typed["1"].pre, typed["1"].post, typed["2"].pre, typed["3"].pre) == ("[1] The company sold 5 .", "[a] b", "[1] a b", "")
+    prompted = {r.id: r for r in workflows.prompts(raw).collect()}
+    table = {i: r.prompt_text.split("\n\nTable:\n")[1].split("\n\nContext (after")[0] for i, r in prompted.items()}
+    assert table["1"] == '["x"] tail' and table["4"] == ""
+    assert table["2"].split("\n") == ["[1]", "[x] | True | None | 1.5 | " + str({"k": [1, "a'b"]}).replace("[1, \"a'b\"]", '[1,"a\'b"]'), "z: False | a: [q]", "2", "None"]
+    assert table["3"] == "z: [True, 'x']\na: None"
+    assert prompted["1"].program_text == "add(1, 2)"
+
+
 def test_prepare_round_trip(spark, tmp_path):
     rows = [("a", "x y x", "add(1, 2)"), ("b", "y", ""), ("c", "", "z")]
     prompted = spark.createDataFrame(rows, "id string, prompt_text string, program_text string")
@@ -182,14 +211,14 @@ def test_collection_workflow(spark):
     assert len(records) > 1 and all(len(r.text) <= 200 for r in records)
 
 
-@pytest.mark.parametrize("limit", [retrieve.BROADCAST_BYTES, 2000])
-def test_nearest(spark, limit):
+@pytest.mark.parametrize("blocks", [(retrieve.QUERY_BLOCK, retrieve.CORPUS_BLOCK), (7, 11)])
+def test_nearest(spark, blocks):
     rng = random.Random(1)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
     vectors += [(100, vectors[5][1]), (101, [0.0] * 8)]
     df = spark.createDataFrame(vectors, "vec_id int, embedding array<double>").repartition(3)
     got = {}
-    for r in retrieve.nearest(df, df, 3, skip_self=True, broadcast_bytes=limit).collect():
+    for r in retrieve.nearest(df, df, 3, skip_self=True, query_block=blocks[0], corpus_block=blocks[1]).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.neighbour_id))
 
     def cos(a, b):
@@ -238,6 +267,71 @@ def test_scores(one):
     ]
 
 
+def test_long_sides_are_fast(spark):
+    rng = random.Random(7)
+    a, b = ([rng.choice("abcdefgh") for _ in range(800)] for _ in range(2))
+    df = spark.createDataFrame([(" ".join(a), " ".join(b))], "a string, b string")
+    value = df.select(quality.rouge_l(F.col("a"), F.col("b")).alias("r")).first().r
+    assert value == pytest.approx(2 * lcs(a, b) / 1600)
+
+
+@pytest.mark.parametrize(
+    ("word", "stemmed"),
+    [
+        ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"),
+        ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"),
+        ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"),
+        ("relational", "relat"), ("rational", "ration"), ("triplicate", "triplic"), ("hopeful", "hope"),
+        ("revival", "reviv"), ("adoption", "adopt"), ("controlling", "control"), ("roll", "roll"),
+        ("rate", "rate"), ("cease", "ceas"), ("generalizations", "gener"), ("oscillators", "oscil"),
+    ],
+)
+def test_porter_stems(word, stemmed):
+    assert stem(word) == stemmed
+
+
+def test_stemmed_scores(one):
+    value = quality.rouge_l(F.col("v"), F.lit("motors were running"), stemmed=True)
+    assert one(value, "motoring runs", "the") == [pytest.approx(4 / 5), 0.0]
+
+
+def test_gaps_and_ranges_of_turns(spark):
+    rows = [(c, t * t, ("user", "assistant")[t % 2], f"{c}.{t}") for c in (1, 2, None) for t in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    pairs = corpus.conversation_pairs(turns.where("conv_id is not null").repartition(9)).collect()
+    assert sorted((r.question, r.answer) for r in pairs) == sorted((f"{c}.{t}", f"{c}.{t + 1}") for c in (1, 2) for t in range(0, 40, 2))
+
+
+def test_rows_stay_rows(spark):
+    rows = [("", "a b", "x"), ("", "a c", "x"), ("k", "b b", "x y"), ("k", "b b", "x y"), (None, "", "")]
+    prompted = spark.createDataFrame(rows, "id string, prompt_text string, program_text string")
+    packed = workflows.prepare(prompted)
+    assert packed.count() == 5
+    assert all(min(r.input_ids) >= tokens.RESERVED for r in packed.collect())
+    vocab = spark.createDataFrame([("a", 1, 2)], "term string, n int, token_id int")
+    known = workflows.prepare(prompted, vocab).collect()
+    assert sorted(i for r in known for i in r.input_ids) == [1] * 17 + [2] * 2
+    batches = tokens.collate(packed, "id", 2).collect()
+    assert len(batches) == 5 and sum(x == -100 for r in batches for x in r.labels) == sum(x == 0 for r in batches for x in r.attention_mask)
+
+
+def test_repeated_documents_give_one_record(spark):
+    docs = spark.createDataFrame([(1, "x" * 300), (1, "x" * 300), (2, "x" * 300)], "doc_id int, text string")
+    records = corpus.chunk_records(corpus.chunk_fixed(docs))
+    assert records.count() == 4 and records.select("id").distinct().count() == 4
+
+
+def test_package_goes_to_the_executors(spark):
+    import zipfile
+
+    from sumwright.session import ship
+
+    from pyspark import SparkFiles
+
+    ship(spark)
+    assert "sumwright/operators/corpus.py" in zipfile.ZipFile(SparkFiles.get("sumwright.zip")).namelist()
+
+
 def test_pairs(spark):
     rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (2, 0, "system", "s"), (2, 1, "assistant", "a"), (1, 3, "user", "q3")]
     turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")

@@ -1,6 +1,7 @@
 """Joins, accuracy, decoding and candidate choice."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sumwright.operators import decode, evaluate
 from sumwright.plans import workflows
@@ -98,7 +99,23 @@ def test_decoding_accepts_a_stream(spark, tmp_path):
 def test_attach_prediction(spark, predictions):
     nested = spark.createDataFrame([("b", ("q",))], "id string, qa struct<question string>")
     rows = evaluate.attach_prediction(nested, predictions).collect()
-    assert sorted(len(r.qa.predicted) for r in rows) == [1, 5]
+    assert sorted(len(r.qa.predicted) for r in rows if r.qa.question) == [1, 5]
+    assert len(rows) == len(PRED)  # predictions without an example stay
+
+
+def test_repeated_gold_counts_once(spark, gold, predictions):
+    twice = gold.union(gold).union(gold.where("id = 'b'").withColumn("program", F.lit("add(9, 9)")))
+    row = evaluate.accuracy(evaluate.score(predictions, twice)).first()
+    assert (row.total, row.exe_correct, row.prog_correct) == (7, 4, 5)
+    assert (row.missing_gold, row.duplicate_gold) == (1, 6)
+
+
+def test_answers_are_compared_by_kind(spark):
+    pred = spark.createDataFrame([(i, ["divide(", "1", "2", ")", "EOF"]) for i in "nt"], "id string, predicted array<string>")
+    rows = [("n", "divide(1, 2)", "0.5", "number"), ("t", "divide(1, 2)", "0.5", "string")]
+    gold = spark.createDataFrame(rows, "id string, program string, exe_ans string, exe_ans_kind string")
+    assert {r.id: r.exe_ok for r in evaluate.score(pred, gold).collect()} == {"n": True, "t": False}
+    assert all(r.exe_ok for r in evaluate.score(pred, gold.drop("exe_ans_kind")).collect())
 
 
 def test_predictions_on_disk(spark, predictions, tmp_path):
