@@ -19,9 +19,9 @@ def first_rows(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
 
 
 def shuffle_key(id_col: str | Column, seed: int) -> Column:
-    """Uniform order of the ids for a seed."""
+    """Uniform order of the ids for a seed; a null id counts as empty."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(F.lit(f"{seed}:"), col.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(col.cast("string"), F.lit(""))))
 
 
 def _bucket_counts(keyed: DataFrame) -> DataFrame:
