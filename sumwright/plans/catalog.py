@@ -21,7 +21,7 @@ from sumwright.functions.program_text import (
     tokens_to_steps,
     verify_tokens,
 )
-from sumwright.functions.text import words
+from sumwright.functions.text import WHITESPACE, words
 from sumwright.operators import corpus, decode, evaluate, retrieve, sample, tokens
 from sumwright.operators.partition import spread
 from sumwright.operators.run_programs import with_equality, with_result
@@ -850,7 +850,49 @@ def first_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return sample.first_rows(chunks, 50, "doc_id", "chunk_no")
 
 
-@query("chunk_recursive")
+def _sql_recursive() -> str:
+    """Chunks cut at separators: segments level by level, runs of short pieces, greedy merging.
+
+    A segment is cut at the coarsest of the remaining separators that it holds; long pieces are
+    segments of the next level. ``marks`` are the borders of a run; a chunk goes from one mark to
+    the last that keeps it within the size, the next one starts where at most the overlap repeats.
+    """
+    levels, runs = [], []
+    for k in range(4):
+        source = (
+            "SELECT doc_id, text, 0::BIGINT AS s, length(text) AS e, 0 AS lvl FROM documents WHERE length(text) > 0"
+            if k == 0
+            else f"SELECT doc_id, text, ps AS s, pe AS e, idx + 1 AS lvl FROM piece{k - 1} WHERE long"
+        )
+        levels.append(f"""seg{k} AS (SELECT *, substr(text, s + 1, e - s) AS t FROM ({source})),
+  cut{k} AS (SELECT *, CASE idx WHEN 0 THEN chr(10) || chr(10) WHEN 1 THEN chr(10) ELSE ' ' END AS sep FROM (
+    SELECT *, CASE WHEN lvl <= 0 AND contains(t, chr(10) || chr(10)) THEN 0
+      WHEN lvl <= 1 AND contains(t, chr(10)) THEN 1 WHEN lvl <= 2 AND contains(t, ' ') THEN 2 ELSE 3 END AS idx
+    FROM seg{k})),
+  part{k} AS (SELECT doc_id, text, s, e, idx, length(sep) AS w, unnest(string_split(t, sep)) AS part,
+      generate_subscripts(string_split(t, sep), 1) AS nth FROM cut{k} WHERE idx < 3),
+  border{k} AS (SELECT DISTINCT doc_id, text, s, e, idx, CAST(s + sum(length(part)) OVER upto + (nth - 1) * w AS BIGINT) AS pe
+    FROM part{k} WINDOW upto AS (PARTITION BY doc_id, s ORDER BY nth)),
+  piece{k} AS (SELECT *, pe - ps >= 200 AS long FROM (
+    SELECT *, lag(pe, 1, s) OVER (PARTITION BY doc_id, s ORDER BY pe) AS ps FROM border{k} WHERE pe > s)),
+  island{k} AS (SELECT *, count(*) FILTER (long) OVER (PARTITION BY doc_id, s ORDER BY pe) AS island FROM piece{k})""")
+        runs.append(f"""SELECT doc_id, text, list_concat([min(ps)], list(pe ORDER BY pe)) AS marks FROM island{k}
+      WHERE NOT long GROUP BY doc_id, text, s, island
+    UNION ALL SELECT doc_id, text, range(s, e + 1) FROM cut{k} WHERE idx = 3""")
+    last = "greatest({f} + 1, len(list_filter(marks, lambda m: m <= marks[{f}] + 200)))"
+    return f"""WITH RECURSIVE {", ".join(levels)},
+  run AS (SELECT doc_id, text, list_transform(marks, lambda m: CAST(m AS BIGINT)) AS marks FROM ({" UNION ALL ".join(runs)})),
+  merged AS (SELECT *, 1::BIGINT AS f, {last.format(f="1")}::BIGINT AS l FROM run
+    UNION ALL SELECT doc_id, text, marks, g, {last.format(f="g")}::BIGINT FROM (
+      SELECT doc_id, text, marks, least(l, len(list_filter(marks, lambda m:
+        m < greatest(marks[l] - 50, marks[l + 1] - 200))) + 1)::BIGINT AS g FROM merged WHERE l < len(marks))),
+  chunk AS (SELECT doc_id, marks[f] AS start, trim(substr(text, marks[f] + 1, marks[l] - marks[f]),
+      {_sql_literal(WHITESPACE)}) AS text FROM merged)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS chunk_no, text
+  FROM chunk WHERE text <> ''"""
+
+
+@query("chunk_recursive", _sql_recursive())
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.chunk_recursive(spread(table(spark, folder, "documents")))
 
