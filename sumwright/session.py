@@ -56,17 +56,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+_written: list[str] = []
+
+
+def checkpointed(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     This cuts lineage, outlives lost executors and tells the planner the real size, so that small
-    tables are broadcast and others not. The files belong to the caller of the job.
+    tables are broadcast and others not. Results may read the files until :func:`delete_written`.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_written(spark: SparkSession) -> int:
+    """Deletes what :func:`checkpointed` has written in this process; results that are still to be
+    computed from it are lost. Returns the number of tables."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    gone = len(_written)
+    while _written:
+        path = paths(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, for clusters where it is not installed."""
     root = pathlib.Path(__file__).resolve().parent

@@ -321,6 +321,15 @@ def test_repeated_documents_give_one_record(spark):
     assert records.count() == 4 and records.select("id").distinct().count() == 4
 
 
+def test_written_tables_can_be_deleted(spark):
+    from sumwright.session import checkpointed, delete_written
+
+    kept = checkpointed(spark.range(3))
+    assert kept.count() == 3 and delete_written(spark) >= 1 and delete_written(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        kept.select("id").collect()
+
+
 def test_package_goes_to_the_executors(spark):
     import zipfile
 
