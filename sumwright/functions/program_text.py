@@ -23,6 +23,7 @@ STOP_MARKS = ["\n\nQuestion:", "\n\nContext:", "\n\nAnswer:", "\n\nFinal", "Expl
 
 STEP_TYPE = "array<struct<op:string,a:string,b:string>>"
 
+# How a call is written.
 _KNOWN_CALL = (
     r"(?i)(?:" + "|".join(ARITHMETIC_OPS) + r"|table_[a-z_]+)"
     r"\s*\(\s*[^,)]+\s*,\s*[^,)]+\s*\)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -58,12 +58,12 @@ def chunk_fixed(
     return docs.select(doc, F.posexplode(bind(steps, windows)).alias("chunk_no", "text"))
 
 
-def _cut_points(text: str, separators: tuple[str, ...], size: int) -> list[list[int]]:
+def _cut_points(text: str, separators: tuple[str, ...], size: int) -> list[Sequence[int]]:
     """Runs of piece borders. Pieces in one run may be merged; runs are never merged together."""
     separator = next((s for s in separators if s == "" or s in text), "")
     rest = separators[separators.index(separator) + 1 :] if separator in separators else ()
     if separator == "":
-        return [list(range(len(text) + 1))]
+        return [range(len(text) + 1)]
     borders = [0]
     at = text.find(separator)
     while at >= 0:
@@ -86,7 +86,7 @@ def _cut_points(text: str, separators: tuple[str, ...], size: int) -> list[list[
     return runs
 
 
-def _merge_run(borders: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+def _merge_run(borders: Sequence[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
     """Greedy chunks over one run: as many pieces as fit, then back up to ``overlap``."""
     marks = np.asarray(borders)
     first, end = 0, len(marks) - 1

@@ -30,7 +30,7 @@ from sumwright.plans import workflows
 from sumwright.plans.derive import fill, row_id, table
 from sumwright.session import checkpointed
 from sumwright.sources.corpora import best_run
-from sumwright.sources.examples import typed_examples
+from sumwright.sources.examples import linear_program, program_text, tensor_columns, typed_examples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -666,6 +666,41 @@ def typed_text(spark: SparkSession, folder: str) -> DataFrame:
     return typed.select("id", "pre", "post", rendered.alias("table_text"), "question")
 
 
+@query(
+    "typed_programs",
+    """SELECT CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS id,
+         CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'total ' || o_orderkey || ' ?' END AS question,
+         CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'add(' || o_orderkey || ', 1) divide(#0, 2)' END AS program_text,
+         CAST(CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE 0 END AS INTEGER) AS dropped_steps,
+         CASE o_orderkey % 3 WHEN 1 THEN 'yes' WHEN 2 THEN CAST(o_orderkey AS VARCHAR) END AS exe_ans,
+         CASE o_orderkey % 3 WHEN 1 THEN 'string' WHEN 2 THEN 'number' ELSE 'null' END AS exe_ans_kind FROM orders""",
+)
+def typed_programs(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose program is text, a token list or missing, some without an id."""
+    key = F.col("o_orderkey").cast("string")
+    third = F.col("o_orderkey") % 3
+    question = F.concat(F.lit("total "), key, F.lit(" ?")).alias("question")
+    text = F.concat(F.lit("ADD( "), key, F.lit(",1), exp(1,000, 2), divide(#0, 2)")).alias("program")
+    tokens_ = F.concat(F.lit("add|(|"), key, F.lit("|,|1|)|divide|(|#0|,|2|)"))
+    listed = F.split(tokens_, r"\|").alias("program")
+    id_ = F.when(F.col("o_orderkey") % 5 != 0, key).alias("id")
+    record = (
+        F.when(third == 1, F.to_json(F.struct(id_, F.struct(question, text, F.lit("yes").alias("exe_ans")).alias("qa"))))
+        .when(third == 2, F.to_json(F.struct(id_, F.struct(question, listed, F.col("o_orderkey").alias("exe_ans")).alias("qa"))))
+        .otherwise(F.to_json(F.struct(id_, F.lit("x").alias("other"))))
+    )
+    typed = typed_examples(table(spark, folder, "orders").select(record.alias("record")))
+    program, kind = F.col("program"), F.col("program_kind")
+    return typed.select(
+        "id",
+        "question",
+        linear_program(program, kind).alias("program_text"),
+        dropped_steps(program_text(program, kind)).alias("dropped_steps"),
+        "exe_ans",
+        "exe_ans_kind",
+    )
+
+
 # Subsets
 
 
@@ -1253,6 +1288,17 @@ def issue_sample(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "tensor_columns",
+    f"""WITH {SQL_TOKENS} SELECT l_linenumber || ' ' || i AS input_ids, '1 1' AS attention_mask, '-100 ' || l AS labels
+        FROM (SELECT toks.*, l_linenumber FROM toks JOIN (SELECT {SQL_ID} AS id, l_linenumber FROM lineitem) USING (id))""",
+)
+def tensor_columns_query(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _token_rows(spark, folder).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+    kept = tensor_columns(rows)
+    return kept.select(*[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in kept.columns])
+
+
 # Run metrics
 
 

@@ -99,6 +99,20 @@ def test_whitespace(one):
     assert one(words(F.col("v"), lower=True), odd + "B", "") == [["a", "b", "b"], []]
 
 
+def test_prompt_wording(one):
+    """The whole wording, written out."""
+    intro = (
+        "You are a program synthesis model for financial question answering.\n"
+        "Given the context (before/after text) and a table, write a reasoning Program as a sequence of operations.\n"
+        "Each step must look like: op(arg1, arg2). "
+    )
+    rest = "Context (before table):\nA\n\nTable:\nT\n\nContext (after table):\nB\n\nQuestion: Q\n\nProgram:"
+    parts = [F.lit(x) for x in "ABTQ"]
+    train, infer = (one(prompts.user_prompt(*parts, wording=w), "x")[0] for w in ("train", "infer"))
+    assert train == intro + "Use #k to reference the result of step k (starting at #0 after first step).\n\n" + rest
+    assert infer == intro + "Use #k to reference prior step results (#0 is the first step's result). End with EOF.\n\n" + rest
+
+
 def test_templates(one):
     assert one(prompts.qa_template(F.col("v"), F.lit(None)), "q") == ["### Question:\nq\n\n### Answer:\nNone"]
     text = one(prompts.answer_prompt(F.col("v"), F.lit("why?")), "chunk")[0]
