@@ -94,25 +94,15 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``doc_id, text, label`` of the labelled rows that may be learned from."""
-    marked = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
-    return docs.select("doc_id", "text").join(marked.where("label is not null"), "doc_id")
-
-
 def toxic_lexicon(docs: DataFrame, spark: SparkSession, folder: str) -> toxicity.Lexicon:
-    return toxicity.learn(training_rows(docs, table(spark, folder, "labels"), "toxic"))
-
-
-@query("op4_quality")
-def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
-    described = materialize(quality.described(table(spark, folder, "documents")), "statistics")
-    marked = table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
-    marked = marked.select("doc_id", F.col("quality").alias("label")).where("label is not null")
-    rules = quality.learn(described.join(marked, "doc_id"))
-    scores = quality.score_documents(described, rules)
-    predicted = (F.col("score") >= 0.3).cast("int")
-    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+    """Learned from labelled rows that are not held out; of either label a bounded sample.
+
+    The sample of ids is drawn first and is small enough to be sent to all executors, so that no
+    text moves but those of the sample.
+    """
+    labels = table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
+    chosen = toxicity.sample(labels.select("doc_id", F.col("toxic").alias("label")))
+    return toxicity.learn(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
 
 
 @query("op5_toxicity")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sumwright.llm.shared import col, materialize
 
 #: Most labelled rows of either label that the lexicon is learned from.
-MOST_ROWS = 20_000
+MOST_ROWS = 10_000
 #: Most terms of a lexicon.
 MOST_TERMS = 50_000
 #: A term's log odds, and the log of how improbable its counts are by chance, at least.
@@ -140,14 +140,15 @@ def scored(lexicon: Lexicon, text: Column) -> Column:
 # Learning
 
 
-def sample(labelled: DataFrame, most: int) -> DataFrame:
-    """At most about ``most`` rows of either label, chosen by a hash of the text."""
-    sizes = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
-    place = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(2**20))
+def sample(labels: DataFrame, most: int = MOST_ROWS, by: str = "doc_id") -> DataFrame:
+    """The rows with label 0 or 1, of either about ``most`` at most, chosen by a hash of column ``by``."""
+    labels = labels.where("label in (0, 1)")
+    sizes = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
+    place = F.pmod(F.xxhash64(F.lit(5), col(by)), F.lit(2**20))
     share = F.lit(0.0)
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, most / n) * 2**20)).otherwise(share)
-    return labelled.where(place < share)
+    return labels.where(place < share)
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -185,8 +186,8 @@ def learn(labelled: DataFrame, most: int = MOST_ROWS, exceptions: tuple[str, ...
     whose counts chance could explain are left out. At most about ``most`` rows of either label
     and :data:`MOST_TERMS` terms are used. Without toxic rows nothing is toxic.
     """
-    rows = labelled.where("text is not null and label in (0, 1)").select("text", "label")
-    rows = materialize(sample(rows, most), "toxic-sample")
+    rows = labelled.where("text is not null").select("text", "label")
+    rows = materialize(sample(rows, most, "text"), "toxic-sample")
     counts = term_counts(rows)
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
