@@ -23,7 +23,7 @@ from sumwright.llm.shared import col, materialize, packed, unpacked
 
 WINDOW = 10
 #: Characters of benchmark text that the driver holds and sends out at a time.
-BLOCK_CHARS = 16 * 2**20
+BLOCK_CHARS = 2 * 2**20
 #: Bytes of text that are taken apart at a time; a longer document is taken alone.
 CHUNK = 2**20
 #: Candidates that are checked at a time.

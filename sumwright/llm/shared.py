@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumwright.session import checkpointed, shared_folder
+
 #: Rows whose ``crc32`` of the id leaves this remainder are held out from every fit.
 FOLDS = 5
 
@@ -17,31 +18,12 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only in a local session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="sumwright-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
-
-    Cuts lineage like a checkpoint, survives lost executors, and gives the planner the real size.
-    """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+materialize = checkpointed
 
 
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
