@@ -289,7 +289,8 @@ def near_duplicates(
     """
     rows = docs.select(col(doc_id).alias("doc_id"), fingerprint(col(text), words).alias("fp"))
     rows = materialize(rows, "fingerprints")
-    ids = components(rows, radius, F.col("doc_id")).withColumnRenamed("c0", "component_id")
+    # Written, so that both sides of the join are plain and a fingerprint of many rows is split.
+    ids = materialize(components(rows, radius, F.col("doc_id")).withColumnRenamed("c0", "component_id"), "ids")
     found = rows.join(ids, F.col("fp") == F.col("of"))
     return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
