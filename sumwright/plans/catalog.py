@@ -1106,23 +1106,24 @@ SQL_ENCODED = f"""{SQL_VOCAB}, qw AS (
     FROM pairs LEFT JOIN q USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn))"""
 
 
-def _vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.build_vocab(checkpointed(_term_counts(spark, folder)))
+def _vocab(pairs: DataFrame) -> DataFrame:
+    return tokens.build_vocab(checkpointed(corpus.term_counts(pairs, "answer", "question")))
 
 
-def _packed(spark: SparkSession, folder: str) -> DataFrame:
-    """``id, input_ids, attention_mask, labels`` of the pairs; ids 0 and 1 are no term's."""
-    return _pack(_pair_words(spark, folder), checkpointed(_vocab(spark, folder)))
-
-
-def _pair_words(spark: SparkSession, folder: str) -> DataFrame:
-    return _pairs(spark, folder).select(
+def _pair_words(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),
         words(F.col("question"), lower=True).alias("prompt"),
         words(F.col("answer"), lower=True).alias("target"),
     )
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, input_ids, attention_mask, labels`` of the pairs; ids 0 and 1 are no term's."""
+    pairs = checkpointed(_pairs(spark, folder))
+    return _pack(_pair_words(pairs), checkpointed(_vocab(pairs)))
+
+
 def _pack(rows: DataFrame, terms: DataFrame) -> DataFrame:
     sized = rows.select("id", F.concat("prompt", "target").alias("all"), F.size("prompt").alias("p"))
     both = checkpointed(tokens.encode(sized, "id", F.col("all"), terms, keep=("p",)))
@@ -1135,7 +1136,7 @@ def _pack(rows: DataFrame, terms: DataFrame) -> DataFrame:
 
 @query("vocab", f"WITH {SQL_VOCAB} SELECT term, n, CAST(token_id AS BIGINT) AS token_id FROM vocab")
 def vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return _vocab(spark, folder)
+    return _vocab(_pairs(spark, folder))
 
 
 @query(
@@ -1166,9 +1167,10 @@ def pack(spark: SparkSession, folder: str) -> DataFrame:
 )
 def pack_repeated(spark: SparkSession, folder: str) -> DataFrame:
     """Rows with empty and repeated ids; words of one or two occurrences are not in the vocabulary."""
-    rows = _pair_words(spark, folder).withColumn("conv", F.split_part("id", F.lit("-"), F.lit(1)).cast("long"))
+    pairs = checkpointed(_pairs(spark, folder))
+    rows = _pair_words(pairs).withColumn("conv", F.split_part("id", F.lit("-"), F.lit(1)).cast("long"))
     key = F.when(F.col("conv") % 3 == 0, "").otherwise((F.col("conv") % 7).cast("string"))
-    known = checkpointed(_vocab(spark, folder).where("n >= 3"))
+    known = checkpointed(_vocab(pairs).where("n >= 3"))
     packed = _pack(rows.withColumn("id", key).drop("conv"), known)
     return packed.select(
         "id",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sumwright.functions.program_text import linearize_program, linearize_tokens
 from sumwright.functions.prompts import join_sentences
