@@ -9,7 +9,6 @@ block are searched block by block.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
