@@ -307,15 +307,17 @@ def keep_one(
     The smallest id stays, a null one only if there is no other; among rows of that id the text
     with the smallest hash, and one of rows that agree in both.
     """
-    key = F.coalesce(line_key(col(text)), F.lit(""))
-    rows = docs.select(
-        F.struct(col(doc_id).isNull().alias("none"), col(doc_id).alias("id"), key.alias("key")).alias("name"),
-        fingerprint(col(text), words).alias("fp"),
+    name = F.struct(
+        col(doc_id).isNull().alias("none"),
+        col(doc_id).alias("id"),
+        F.coalesce(line_key(col(text)), F.lit("")).alias("key"),
     )
+    rows = docs.select(name.alias("name"), fingerprint(col(text), words).alias("fp"))
     rows = materialize(rows, "fingerprints")
-    first = components(rows, radius, F.col("name")).select("c0.*").distinct()
-    first = first.select(F.col("id").alias("first"), F.col("key").alias("first_key"))
-    all_rows = packed(docs, id=col(doc_id), key=key)
-    same = F.col("id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("first_key"))
-    kept = all_rows.join(first, same, "left_semi")
-    return unpacked(kept.groupBy("id", "key").agg(F.min("row").alias("row")), docs)
+    first = components(rows, radius, F.col("name")).select(F.col("c0").alias("name"))
+    # One aggregate instead of a join and an aggregate: texts move once, and rows that repeat id and
+    # text are one before they do.
+    both = packed(docs, name=name).withColumn("stays", F.lit(False))
+    both = both.unionByName(first.withColumn("stays", F.lit(True)), allowMissingColumns=True)
+    single = both.groupBy("name").agg(F.min("row").alias("row"), F.max("stays").alias("stays"))
+    return unpacked(single.where("stays"), docs)
