@@ -9,7 +9,7 @@ depend on the sample it is built from.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -256,16 +256,17 @@ def connected(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(rows: DataFrame, radius: int, *names: Column) -> DataFrame:
+def components(rows: DataFrame, find: Callable[[DataFrame], DataFrame], *names: Column) -> DataFrame:
     """Fingerprint ``of`` with aggregates over its whole component.
 
+    ``find`` gives the links ``a, b`` of the distinct fingerprints ``fp``.
     They are the minima of ``names`` as columns ``c0``, ``c1`` and so on, taken first per
     fingerprint and then per component.
     """
     made = [f"c{i}" for i in range(len(names))]
     groups = rows.groupBy("fp").agg(*[F.min(x).alias(c) for c, x in zip(made, names, strict=True)])
     groups = materialize(groups, "distinct")
-    member = materialize(connected(links(groups.select("fp"), radius)), "members")
+    member = materialize(connected(find(groups.select("fp"))), "members")
     linked = groups.join(member, F.col("fp") == F.col("node"))
     tops = linked.groupBy(F.col("root").alias("top")).agg(*[F.min(c).alias(f"t_{c}") for c in made])
     named = linked.select("node", "root").join(tops, F.col("root") == F.col("top"))
@@ -290,7 +291,7 @@ def near_duplicates(
     rows = docs.select(col(doc_id).alias("doc_id"), fingerprint(col(text), words).alias("fp"))
     rows = materialize(rows, "fingerprints")
     # Written, so that both sides of the join are plain and a fingerprint of many rows is split.
-    ids = materialize(components(rows, radius, F.col("doc_id")).withColumnRenamed("c0", "component_id"), "ids")
+    ids = materialize(components(rows, lambda fps: links(fps, radius), F.col("doc_id")).withColumnRenamed("c0", "component_id"), "ids")
     found = rows.join(ids, F.col("fp") == F.col("of"))
     return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -307,14 +308,24 @@ def keep_one(
     The smallest id stays, a null one only if there is no other; among rows of that id the text
     with the smallest hash, and one of rows that agree in both.
     """
-    name = F.struct(
+    name = name_of(doc_id, text)
+    rows = docs.select(name.alias("name"), fingerprint(col(text), words).alias("fp"))
+    rows = materialize(rows, "fingerprints")
+    first = components(rows, lambda fps: links(fps, radius), F.col("name")).select(F.col("c0").alias("name"))
+    return one_of_each(docs, name, first)
+
+
+def name_of(doc_id: str, text: str) -> Column:
+    """What rows are chosen by: null ids last, then the id and the hash of the text."""
+    return F.struct(
         col(doc_id).isNull().alias("none"),
         col(doc_id).alias("id"),
         F.coalesce(line_key(col(text)), F.lit("")).alias("key"),
     )
-    rows = docs.select(name.alias("name"), fingerprint(col(text), words).alias("fp"))
-    rows = materialize(rows, "fingerprints")
-    first = components(rows, radius, F.col("name")).select(F.col("c0").alias("name"))
+
+
+def one_of_each(docs: DataFrame, name: Column, first: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``name`` in ``first``."""
     # One aggregate instead of a join and an aggregate: texts move once, and rows that repeat id and
     # text are one before they do.
     both = packed(docs, name=name).withColumn("stays", F.lit(False))

@@ -1,0 +1,88 @@
+import random
+
+from sumwright.llm import jaccard
+
+SCHEMA = "doc_id long, text string, fp string, h string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, "own", "own") for r in rows], SCHEMA)
+
+
+def shingles(text, words):
+    parts = (text or "").lower().split()
+    return {tuple(parts[i : i + words]) for i in range(max(len(parts) - words + 1, min(len(parts), 1)))}
+
+
+def brute(rows, words=5, similarity=0.8):
+    """The smallest id of each component."""
+    sets = [shingles(t, words) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            t = sets[j]
+            if s == t or s and t and len(s & t) / len(s | t) >= similarity:
+                root[top(i)] = top(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[top(i)] = min(doc, least.get(top(i), doc))
+    return set(least.values())
+
+
+def texts(seed):
+    """Texts with copies that differ in up to a tenth of their words, all with one passage or none."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    passage = rng.choices(words, k=15)
+    bases = [rng.choices(words, k=rng.choice([1, 3, 5, 9, 40, 120, 300])) + (passage if i % 3 else []) for i in range(50)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(bases)]
+    for i in range(50, 250):
+        w = list(rng.choice(bases[:20] if i % 2 else bases[:2]))
+        for _ in range(rng.randrange(max(len(w) // 20, 2))):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_against_brute_force(spark):
+    rows = texts(1) + [(900, None), (901, " \n"), (902, "one"), (903, "ONE")]
+    kept = jaccard.keep_one(docs(spark, rows))
+    assert kept.columns == ["doc_id", "text", "fp", "h"]
+    got = [r.doc_id for r in kept.collect()]
+    assert sorted(got) == sorted(brute(rows)) and 30 < len(got) < 200
+
+
+def test_few_frequent_elements_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 5)
+    monkeypatch.setattr(jaccard, "SAMPLE", 20)
+    rows = texts(2)
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs(spark, rows)).collect()) == sorted(brute(rows))
+
+
+def test_the_stage_finds_pairs_far_apart_in_simhash(spark):
+    import corpus_pipeline
+    from sumwright.llm import simhash
+
+    rng = random.Random(4)
+    pairs = []
+    for i in range(40):
+        a = [f"u{rng.randrange(5000)}" for _ in range(200)]
+        b = list(a)
+        for at in (30, 90, 150):
+            b[at] = "changed"
+        pairs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    far = [bin(simhash.simhash(a) ^ simhash.simhash(b)).count("1") for (_, a), (_, b) in zip(pairs[::2], pairs[1::2])]
+    assert max(far) > 2
+    got = corpus_pipeline.drop_copies(spark, docs(spark, pairs), "")
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 80, 2))
+
+
+def test_empty_table(spark):
+    assert jaccard.keep_one(docs(spark, [])).count() == 0
