@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from sumwright.llm.shared import col, materialize, packed, unpacked
 
-RATIO = 0.1
-MIN_PAGES = 10
+RATIO = 0.05
+#: Pages that make a line a repeated one; beyond that the ratio alone decides.
+MIN_PAGES = 2
 
 
 def lines_of(text: Column) -> Column:

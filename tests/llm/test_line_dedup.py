@@ -55,3 +55,15 @@ def test_a_line_at_the_ratio_stays(spark):
 
 def test_empty_table(spark):
     assert line_dedup.drop_boilerplate(docs(spark, [])).count() == 0
+
+
+def test_small_sites_lose_lines_by_the_ratio_alone(spark):
+    import corpus_pipeline
+
+    for pages in (3, 9, 40):
+        rows = [(i, "a", f"own {i}\nmenu" if i < max(pages // 15, 2) + 1 else f"own {i}") for i in range(pages)]
+        want = sorted((d, t, k) for d, t, _, k in brute(rows, 0.05, 2))
+        assert sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(docs(spark, rows)).collect()) == want
+        assert sum(k for *_, k in want) > 1
+        frame = docs(spark, rows).selectExpr("doc_id", "text", "source", "0L AS n_chars")
+        assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_lines(spark, frame, "").collect()) == [(d, t) for d, t, _ in want]
