@@ -154,7 +154,7 @@ def sample(labels: DataFrame, most: int = MOST_ROWS, by: str = "doc_id") -> Data
 def term_counts(rows: DataFrame) -> DataFrame:
     """``term, toxic, clean``: different texts of either label that hold a folded word.
 
-    Texts that share their least shingle hash count once, so copies of one text do not make its
+    Texts that share their least shingle hash count once, shorter ones if all words agree, so copies of one text do not make its
     words look toxic.
     """
 
@@ -163,8 +163,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
             terms, sketches, labels = [], [], []
             for text, label in zip(*(batch.column(c).to_pylist() for c in ("text", "label")), strict=True):
                 found = WORD.findall(fold(text or ""))
-                threes = zip(found, found[1:], found[2:], strict=False)
-                sketch = min((xxhash.xxh64_intdigest(" ".join(t)) for t in threes), default=0) >> 1
+                threes = zip(found, found[1:], found[2:], strict=False) if len(found) > 2 else [found]
+                sketch = min(xxhash.xxh64_intdigest(" ".join(t)) for t in threes) >> 1
                 own = [t for t in set(found) if len(t) <= 64]
                 terms += own
                 sketches += [sketch] * len(own)

@@ -66,3 +66,13 @@ def test_toxic_rows_go_and_columns_stay(spark):
     kept = toxicity.drop_toxic(docs, lexicon)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
     assert toxicity.drop_toxic(docs.limit(0), lexicon).count() == 0
+
+
+def test_words_of_short_texts_are_learned(spark):
+    plain = [a + b for a in "ba du ke lo mi".split() for b in "ban del kor lin mur pes".split()]
+    rows = [(i, f"{'grubsch' if i % 2 else plain[-i % 29]} {plain[i % 30]}", i % 2) for i in range(60)]
+    rows += [(100 + i, "grubsch", 0) for i in range(2)] + [(200 + i, plain[0], 0) for i in range(40)]
+    counts = {r.term: (r.toxic, r.clean) for r in toxicity.term_counts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert counts[toxicity.fold("grubsch")] == (15, 1)
+    lexicon = toxicity.learn(spark.createDataFrame(rows, SCHEMA))
+    assert toxicity.fold("grubsch") in lexicon.weights
