@@ -7,12 +7,15 @@ key can turn them back.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
 import re
 import string
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,6 +84,13 @@ def refilled(shape: str, digits: str) -> str:
     return "".join(next(own) if c.isdigit() else c for c in shape)
 
 
+@lru_cache(maxsize=1)
+def other_codes() -> array:
+    """Area and exchange as one number, in order, where one of them does not exist."""
+    real = [n >= 200 and n % 100 != 11 for n in range(1000)]
+    return array("l", (n for n in range(10**6) if not (real[n // 1000] and real[n % 1000])))
+
+
 class Pseudonyms:
     """Replaces what it finds in a text under a key."""
 
@@ -119,17 +129,26 @@ class Pseudonyms:
         return refilled(match[0], digits)
 
     def phone(self, match: re.Match, back: bool) -> str | None:
-        """Ten digits with area and exchange codes that exist; a country code of 1 stays."""
+        """Ten digits with area and exchange codes that exist; a country code of 1 stays.
+
+        Written as ``+1 (ddd) ddd-dddd``, any codes do.
+        """
         area, exchange, line = match["area"] or match["bare"], match["exchange"], match["line"]
+        country = "".join(c for c in match["country"] or "" if c.isdigit())
         if area[0] < "2" or exchange[0] < "2" or area[1:] == "11" or exchange[1:] == "11":
-            return None
+            if not (match["area"] and (match["country"] or "").startswith("+")):
+                return None
+            # Written as a phone without doubt: permuted among the numbers with other codes.
+            others = other_codes()
+            x = bisect.bisect_left(others, int(area) * 1000 + int(exchange)) * 10**4 + int(line)
+            x, four = divmod(self.permuted("other phone", len(others) * 10**4, x, back), 10**4)
+            return refilled(match[0], f"{country}{others[x]:06d}{four:04d}")
         codes = [n for n in range(200, 1000) if n % 100 != 11]
         place = {n: i for i, n in enumerate(codes)}
         x = (place[int(area)] * len(codes) + place[int(exchange)]) * 10**4 + int(line)
         x, four = divmod(self.permuted("phone", len(codes) ** 2 * 10**4, x, back), 10**4)
         first, second = divmod(x, len(codes))
         number = f"{codes[first]}{codes[second]}{four:04d}"
-        country = "".join(c for c in match["country"] or "" if c.isdigit())
         return refilled(match[0], country + number)
 
     def social(self, match: re.Match, back: bool) -> str | None:
@@ -188,14 +207,65 @@ class Pseudonyms:
         """The text with pseudonyms, and how many of each of :data:`KINDS`."""
         counts = [0] * len(KINDS)
         pieces, done = [], 0
-        for match in found(text or ""):
-            made = getattr(self, match.lastgroup)(match, back)
-            if made is not None:
-                counts[KINDS.index(match.lastgroup)] += 1
-                pieces += [text[done : match.start()], made]
-                done = match.end()
+        for match, made in self.found(text or "", back):
+            counts[KINDS.index(match.lastgroup)] += 1
+            pieces += [text[done : match.start()], made]
+            done = match.end()
         return "".join([*pieces, text[done:]]) if pieces else text, counts
 
+    def made(self, match: re.Match, back: bool) -> str | None:
+        return getattr(self, match.lastgroup)(match, back)
+
+    def number(self, text: str, begin: int, stop: int, back: bool) -> tuple[re.Match, str] | None:
+        """The first valid number from ``begin`` on, with its pseudonym.
+
+        A start whose matches are all invalid is left by one character.
+        """
+        failed = []
+        while first := NUMBER.search(text, begin, stop):
+            for match in extents(first, text):
+                made = self.made(match, back)
+                # What was invalid before must not become valid, or it could not be turned back.
+                while made is not None and self.opens(text, failed, match, made):
+                    again = text[: match.start()] + made + text[match.end() :]
+                    made = self.made(ONE[match.lastgroup].match(again, match.start(), match.end()), back)
+                if made is not None:
+                    return match, made
+                failed.append(match)
+            begin = first.start() + 1
+        return None
+
+    def opens(self, text: str, failed: list[re.Match], match: re.Match, made: str) -> bool:
+        """Whether the pseudonym makes valid what was not and overlaps it."""
+        near = [m for m in failed if m.end() > match.start() and m.lastgroup in SHORTENED]
+        if not near:
+            return False
+        again = text[: match.start()] + made + text[match.end() :]
+        now = (ONE[m.lastgroup].match(again, m.start(), m.end()) for m in near)
+        return any(m and self.made(m, False) is not None for m in now)
+
+    def found(self, text: str, back: bool) -> Iterator[tuple[re.Match, str]]:
+        """Valid matches in order, without overlaps; addresses of mail before numbers."""
+        matches, at = [], text.find("@")
+        while at >= 0:
+            # The longest local parts of mail addresses have 64 characters.
+            local = LOCAL.search(text, max(at - 64, 0), at)
+            match = EMAIL.match(text, local.start()) if local else None
+            if match:
+                matches.append((match, self.made(match, back)))
+            at = text.find("@", match.end() if match else at + 1)
+        done = 0
+        for run in RUN.finditer(text):
+            while one := self.number(text, max(run.start() - 3, done), run.end() + 2, back):
+                matches.append(one)
+                done = one[0].end()
+        matches.sort(key=lambda m: (m[0].start(), -m[0].end()))
+        end = 0
+        for match, made in matches:
+            if match.start() >= end:
+                yield match, made
+                end = match.end()
+
 
 CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
 KINDS = ("email", "iban", "date", "address", "social", "phone", "card")
@@ -208,37 +278,32 @@ PATTERNS: dict[str, str] = {
         r"(?<![0-9+])(?P<country>\+?1[ .-]?)?(?:\((?P<area>[0-9]{3})\) ?|(?P<bare>[0-9]{3})[ .-])"
         r"(?P<exchange>[0-9]{3})[ .-](?P<line>[0-9]{4})(?![0-9-])"
     ),
-    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])(?<![0-9]-)[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 
 # Every number starts within three characters before a digit and goes on in such characters.
 RUN = re.compile(r"[0-9][0-9A-Z ()./+-]{6,}")
 NUMBER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+ONE = {kind: re.compile(f"(?P<{kind}>{pattern})") for kind, pattern in PATTERNS.items()}
+#: Kinds that have no length of their own, so that a match can run on into what follows.
+SHORTENED = ("iban", "card")
 EMAIL = re.compile(r"(?P<email>(?P<local>[\w.%+-]+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 LOCAL = re.compile(r"[\w.%+-]+\Z")
 
 
-def found(text: str) -> Iterator[re.Match]:
-    """Matches in order, without overlaps; addresses of mail before numbers."""
-    matches, at = [], text.find("@")
-    while at >= 0:
-        # The longest local parts of mail addresses have 64 characters.
-        local = LOCAL.search(text, max(at - 64, 0), at)
-        match = EMAIL.match(text, local.start()) if local else None
-        if match:
-            matches.append(match)
-        at = text.find("@", match.end() if match else at + 1)
-    done = 0
-    for run in RUN.finditer(text):
-        for match in NUMBER.finditer(text, max(run.start() - 3, done), run.end() + 2):
-            matches.append(match)
-            done = match.end()
-    matches.sort(key=lambda m: (m.start(), -m.end()))
-    end = 0
-    for match in matches:
-        if match.start() >= end:
+def extents(first: re.Match, text: str) -> Iterator[re.Match]:
+    """The ways to read a match: digits without a sign between them, all of it, then ever less of it."""
+    kind = first.lastgroup
+    if kind not in SHORTENED:
+        yield first
+        return
+    ends = [first.end(), *(e for e in range(first.end() - 1, first.start(), -1) if text[e] in " -")]
+    if kind == "card" and ends[-1] - first.start() >= 13:
+        ends = [ends[-1], *ends[:-1]]
+    for end in ends:
+        match = ONE[kind].match(text, first.start(), end)
+        if match and match.end() == end:
             yield match
-            end = match.end()
 
 
 def pseudonymize(docs: DataFrame, key: str, back: bool = False, text: str = "text") -> DataFrame:

@@ -61,3 +61,25 @@ def test_rows(spark):
     back = pii.pseudonymize(got, "key", back=True).collect()
     assert [r.text for r in back] == [t for _, t, _ in rows]
     assert pii.pseudonymize(docs.limit(0), "key").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, kind, number",
+    [
+        ("4111111111111111 123", "card", 1),
+        ("4111 1111 1111 1111 12/25", "card", 1),
+        ("4111111111111111 5500000000000004", "card", 2),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", "card", 2),
+        ("no 7 4111111111111111", "card", 1),
+        ("BE68 5390 0754 7034 PAID", "iban", 1),
+        ("+1 (111) 555-0271", "phone", 1),
+        ("+1 (055) 911-0271", "phone", 1),
+    ],
+)
+def test_neighbours_do_not_hide_a_number(text, kind, number):
+    for key in "abcdefghijklmnopqrst":
+        made, counts = pii.Pseudonyms(key).replaced(text)
+        assert counts[pii.KINDS.index(kind)] == sum(counts) == number
+        assert made != text and "4111 1111 1111 1111" not in made and "4111111111111111" not in made
+        if number == 1:
+            assert pii.Pseudonyms(key).replaced(made, True)[0] == text
