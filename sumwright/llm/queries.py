@@ -13,6 +13,7 @@ from sumwright.llm import (
     mixing,
     pii,
     quality,
+    runs,
     simhash,
     token_counts,
     topk,
@@ -187,3 +188,21 @@ def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """A new cache for every run, so that each distinct text is encoded once."""
     return token_counts.count_tokens(table(spark, folder, "documents"), "byte_bpe_50k.json", limit=512)
+
+
+@query("op13_word_runs")
+def op13_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", runs.periodic(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.find_runs(docs).withColumn("best", runs.strongest(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +49,11 @@ def unpacked(df: DataFrame, source: DataFrame, **columns: Column) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept away from fitting; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
+
+
+def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """64-bit identifiers of ordered pairs of identifiers."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
