@@ -219,9 +219,15 @@ def periodic(text: Column, doc_id: Column) -> Column:
     """
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    g, n = F.floor(h / 10), F.size(words)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")
-    made = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i)))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(made, " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def made(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        whole = F.concat(F.slice(words, 1, a), F.slice(again, 1, n - a))
+        return F.when(n > 0, F.array_join(whole, " ")).otherwise(text)
+
+    # The words are an element of a row, so that they are found once and not in each of their uses.
+    return F.when(F.pmod(h, F.lit(10)) == 0, F.transform(F.array(words), made)[0]).otherwise(text)
