@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwright.llm.shared import col, mixed, packed, unpacked
+from sumwright.llm.shared import col, mixed, packed, row_blocks, unpacked
 
 #: Words of a run at least, and how often it holds its period at least.
 MIN_WORDS = 24
@@ -165,6 +165,9 @@ def find_runs(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, t
 
     @F.arrow_udf(f"struct<n_words:long,runs:{RUNS},collapsed:string>")
     def found(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part(texts.slice(at, n)) for at, n in row_blocks(texts)] or [part(texts)])
+
+    def part(texts: pa.Array) -> pa.Array:
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         text_of = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
         words = split.flatten()

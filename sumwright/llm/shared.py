@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,11 @@ def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
+
+
+def row_blocks(texts: pa.Array, most: int = 2**21) -> Iterator[tuple[int, int]]:
+    """``(first, number)`` of consecutive rows that hold about ``most`` bytes, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(sizes, dtype=np.int64) // most
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else block
+    yield from zip(first.tolist(), np.diff(np.concatenate([first, [len(texts)]])).tolist(), strict=True)
