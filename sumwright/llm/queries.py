@@ -18,6 +18,7 @@ from sumwright.llm import (
     token_counts,
     topk,
     toxicity,
+    trie,
     url_filter,
 )
 from sumwright.llm.shared import held_out, materialize
@@ -190,6 +191,53 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), "byte_bpe_50k.json", limit=512)
 
 
+# One round of the CRC-32 per byte; 3988292384 is its polynomial.
+SQL_TRIE = r"""
+    ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+    checked AS (SELECT conv_id, CAST(xor(list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])),
+            lambda a, i: xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)))), CAST(4294967295 AS BIGINT)) % 6 AS BIGINT) AS h FROM ids),
+    said AS (SELECT conv_id, turn, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations
+        WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST, md5(concat(length(t.role), ':', t.role, t.text))) AS turns
+        FROM said GROUP BY conv_id),
+    rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) AS turns
+        FROM own o JOIN checked USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+    prefixes AS (SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt),
+    members AS (SELECT conv_id, n, depth, turns[1:depth] AS prefix FROM prefixes),
+    nodes AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+        FROM members GROUP BY prefix, depth),
+    kids AS (SELECT p.prefix, p.depth, count(c.depth) AS n_children FROM nodes p
+        LEFT JOIN nodes c ON c.depth = p.depth + 1 AND c.prefix[1:p.depth] = p.prefix GROUP BY p.prefix, p.depth),
+    full_nodes AS (SELECT n.*, n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * length(n.prefix[n.depth].text) END AS own
+        FROM nodes n JOIN kids USING (prefix, depth)),
+    below AS (SELECT prefix, own, n_children, unnest(range(depth + 1)) AS up FROM full_nodes),
+    sums AS (SELECT prefix[1:up] AS prefix, up AS depth, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves,
+        CAST(sum(own) AS BIGINT) AS saved_tokens FROM below GROUP BY 1, 2)
+"""
+
+
+@query(
+    "op12_conversation_trie",
+    f"""WITH {SQL_TRIE} SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+      saved_tokens, n.ends_sha256 FROM full_nodes n JOIN sums USING (prefix, depth)
+      LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]""",
+)
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations of a block share first turns, so that there are prefixes to count."""
+    rebuilt = trie.with_common_heads(trie.paths(table(spark, folder, "conversations")))
+    nodes, ends = trie.trie(rebuilt)
+    digests = trie.ends_sha256(ends).withColumnsRenamed({"node_conv_id": "conv_id"})
+    found = nodes.join(digests, ["conv_id", "depth"], "left")
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256))
+    return found.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), digest.alias("ends_sha256"),
+    )
+
+
 @query("op13_word_runs")
 def op13_word_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
