@@ -15,6 +15,7 @@ from sumwright.llm import (
     quality,
     runs,
     simhash,
+    suffix_dedup,
     token_counts,
     topk,
     toxicity,
@@ -191,6 +192,19 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), "byte_bpe_50k.json", limit=512)
 
 
+@query("op11_suffix_dedup")
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"), length=100)
+    sizes = F.transform("removed", lambda s: s["end"] - s["begin"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 # One round of the CRC-32 per byte; 3988292384 is its polynomial.
 SQL_TRIE = r"""
     ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
