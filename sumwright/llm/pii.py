@@ -216,55 +216,60 @@ class Pseudonyms:
     def made(self, match: re.Match, back: bool) -> str | None:
         return getattr(self, match.lastgroup)(match, back)
 
-    def number(self, text: str, begin: int, stop: int, back: bool) -> tuple[re.Match, str] | None:
-        """The first valid number from ``begin`` on, with its pseudonym.
+    def settled(self, text: str, match: re.Match, done: int, back: bool) -> str | None:
+        """The pseudonym of a match after ``done``, None if it is not valid.
 
-        A start whose matches are all invalid is left by one character.
+        It must be what a search finds first in its place, or it could not be turned back: one that
+        makes what stands before it a number is put through the permutation again.
         """
-        failed = []
-        while first := NUMBER.search(text, begin, stop):
-            for match in extents(first, text):
-                made = self.made(match, back)
-                # What was invalid before must not become valid, or it could not be turned back.
-                while made is not None and self.opens(text, failed, match, made):
-                    again = text[: match.start()] + made + text[match.end() :]
-                    made = self.made(ONE[match.lastgroup].match(again, match.start(), match.end()), back)
-                if made is not None:
-                    return match, made
-                failed.append(match)
-            begin = first.start() + 1
-        return None
-
-    def opens(self, text: str, failed: list[re.Match], match: re.Match, made: str) -> bool:
-        """Whether the pseudonym makes valid what was not and overlaps it."""
-        near = [m for m in failed if m.end() > match.start() and m.lastgroup in SHORTENED]
-        if not near:
-            return False
-        again = text[: match.start()] + made + text[match.end() :]
-        now = (ONE[m.lastgroup].match(again, m.start(), m.end()) for m in near)
-        return any(m and self.made(m, False) is not None for m in now)
+        made = self.made(match, back)
+        while made is not None:
+            base = max(match.start() - LONGEST, done)
+            look = max(base - 4, 0)  # what the patterns look back at
+            again = text[look : match.start()] + made + text[match.end() : match.end() + LONGEST]
+            start = match.start() - look
+            stop = start + len(made)
+            mail = match.lastgroup == "email"
+            first = next(self.valid(again, base - look, start if mail else start + 1), None)
+            if first is None if mail else first and first.span() == (start, stop) and first.lastgroup == match.lastgroup:
+                break
+            made = self.made(ONE[match.lastgroup].match(again, start, len(again) if mail else stop), back)
+        return made
+
+    def valid(self, text: str, begin: int, before: int) -> Iterator[re.Match]:
+        """The valid readings of the numbers that start in ``text[begin:before]``, in the order they are tried."""
+        for run in RUN.finditer(text, begin, before + LONGEST):
+            at = max(run.start() - 3, begin)
+            while (first := NUMBER.search(text, at, run.end() + 2)) and first.start() < before:
+                for match in extents(first, text):
+                    if self.made(match, False) is not None:
+                        yield match
+                at = first.start() + 1
 
     def found(self, text: str, back: bool) -> Iterator[tuple[re.Match, str]]:
-        """Valid matches in order, without overlaps; addresses of mail before numbers."""
-        matches, at = [], text.find("@")
-        while at >= 0:
+        """Valid matches in order, without overlaps.
+
+        A number that starts before a mail address and reaches into it comes first, and the address
+        begins where it ends. Numbers inside of an address are part of it.
+        """
+        done, at = 0, text.find("@")
+        while True:
             # The longest local parts of mail addresses have 64 characters.
-            local = LOCAL.search(text, max(at - 64, 0), at)
-            match = EMAIL.match(text, local.start()) if local else None
-            if match:
-                matches.append((match, self.made(match, back)))
-            at = text.find("@", match.end() if match else at + 1)
-        done = 0
-        for run in RUN.finditer(text):
-            while one := self.number(text, max(run.start() - 3, done), run.end() + 2, back):
-                matches.append(one)
-                done = one[0].end()
-        matches.sort(key=lambda m: (m[0].start(), -m[0].end()))
-        end = 0
-        for match, made in matches:
-            if match.start() >= end:
-                yield match, made
-                end = match.end()
+            local = LOCAL.search(text, max(at - 64, done), at) if at >= 0 else None
+            mail = EMAIL.match(text, local.start()) if local else None
+            if at >= 0 and not mail:
+                at = text.find("@", at + 1)
+                continue
+            while one := next(self.valid(text, done, mail.start() if mail else len(text)), None):
+                yield one, self.settled(text, one, done, back)
+                done = one.end()
+            if not mail:
+                return
+            mail = EMAIL.match(text, max(mail.start(), done))
+            if mail:  # else the number was all that stood before the sign
+                yield mail, self.settled(text, mail, done, back)
+                done = mail.end()
+            at = text.find("@", max(done, at + 1))
 
 
 CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
@@ -281,14 +286,16 @@ PATTERNS: dict[str, str] = {
     "card": r"(?<![0-9])(?<![0-9]-)[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 
+#: More characters than any number has.
+LONGEST = 64
 # Every number starts within three characters before a digit and goes on in such characters.
 RUN = re.compile(r"[0-9][0-9A-Z ()./+-]{6,}")
 NUMBER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
-ONE = {kind: re.compile(f"(?P<{kind}>{pattern})") for kind, pattern in PATTERNS.items()}
 #: Kinds that have no length of their own, so that a match can run on into what follows.
 SHORTENED = ("iban", "card")
 EMAIL = re.compile(r"(?P<email>(?P<local>[\w.%+-]+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 LOCAL = re.compile(r"[\w.%+-]+\Z")
+ONE = {kind: re.compile(f"(?P<{kind}>{pattern})") for kind, pattern in PATTERNS.items()} | {"email": EMAIL}
 
 
 def extents(first: re.Match, text: str) -> Iterator[re.Match]:
@@ -310,7 +317,9 @@ def pseudonymize(docs: DataFrame, key: str, back: bool = False, text: str = "tex
     """All rows, values in the text replaced, with ``n_<kind>`` for each of :data:`KINDS`.
 
     What is not valid stays as it is: a card number without its check digit, a day that does not
-    exist. A pseudonym may by chance be the value itself. ``back`` turns pseudonyms made with the
+    exist. Left in clear are letters beyond ASCII before the ``@`` of a mail address and all that
+    follows it, IBANs in lower case and phones outside of the North American plan. A pseudonym may by
+    chance be the value itself. ``back`` turns pseudonyms made with the
     same key into the values. Null and empty texts stay, with counts of 0; the new columns replace
     those of the same name.
     """
