@@ -325,10 +325,12 @@ def name_of(doc_id: str, text: str) -> Column:
 
 
 def one_of_each(docs: DataFrame, name: Column, first: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each ``name`` in ``first``."""
+    """One row of ``docs`` for each ``name`` in ``first``; of rows that agree in it, the one whose
+    columns' hashes come first, whatever their types are."""
     # One aggregate instead of a join and an aggregate: texts move once, and rows that repeat id and
     # text are one before they do.
-    both = packed(docs, name=name).withColumn("stays", F.lit(False))
+    order = F.struct(*[F.xxhash64(col(c).cast("string")).alias(f"o{i}") for i, c in enumerate(docs.columns)])
+    both = packed(docs, name=name, order=order).withColumn("stays", F.lit(False))
     both = both.unionByName(first.withColumn("stays", F.lit(True)), allowMissingColumns=True)
-    single = both.groupBy("name").agg(F.min("row").alias("row"), F.max("stays").alias("stays"))
+    single = both.groupBy("name").agg(F.min_by("row", "order").alias("row"), F.max("stays").alias("stays"))
     return unpacked(single.where("stays"), docs)

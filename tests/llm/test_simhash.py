@@ -81,3 +81,13 @@ def test_one_of_each_group_stays(spark):
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
+def test_one_row_stays_whatever_the_columns_types_are(spark):
+    docs = spark.sql(
+        """SELECT doc_id, text, map('a', doc_id) AS m, array(map('b', n)) AS name, named_struct('x', n) AS row, n AS stays
+        FROM VALUES (1L, 'a b c d', 1), (1L, 'a b c d', 2), (2L, 'a b c d', 3), (3L, 'one two three four', 4) AS t(doc_id, text, n)"""
+    ).repartition(3)
+    got = simhash.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3] and all(r.m == {"a": r.doc_id} and r.row.x == r.stays for r in got)
+    assert {tuple(map(str, r)) for r in got} == {tuple(map(str, r)) for r in simhash.keep_one(docs.repartition(1)).collect()}
