@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumwright.llm import decontaminate, jaccard, line_dedup, mixing, queries, toxicity
+from sumwright.llm import decontaminate, line_dedup, mixing, queries, simhash, toxicity
 from sumwright.llm.shared import materialize
 
 
@@ -21,8 +21,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of documents that share five-word shingles to 0.8."""
-    return jaccard.keep_one(docs, words=5, similarity=0.8)
+    """Keeps the smallest id of each group of documents whose fingerprints link within 2 bits."""
+    return simhash.keep_one(docs, words=3, radius=2)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
