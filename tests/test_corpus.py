@@ -1,9 +1,11 @@
 """Sources, prompts, cleaning, chunks, retrieval, quality and token arrays."""
 
+import itertools
 import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,23 +227,41 @@ def test_collection_workflow(spark):
     assert len(records) > 1 and all(len(r.text) <= 200 for r in records)
 
 
-@pytest.mark.parametrize("blocks", [(retrieve.QUERY_BLOCK, retrieve.CORPUS_BLOCK), (7, 11)])
-def test_nearest(spark, blocks):
+@pytest.mark.parametrize("per_cell, blocks", [(2048, {}), (3, {}), (10, {"corpus_block": 4, "query_block": 7})])
+def test_nearest(spark, per_cell, blocks):
     rng = random.Random(1)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
-    vectors += [(100, vectors[5][1]), (101, [0.0] * 8)]
+    vectors += [(100, vectors[5][1]), (101, [0.0] * 8), (102, None), (103, [math.nan] * 8)]
     df = spark.createDataFrame(vectors, "vec_id int, embedding array<double>").repartition(3)
     got = {}
-    for r in retrieve.nearest(df, df, 3, skip_self=True, query_block=blocks[0], corpus_block=blocks[1]).collect():
+    found, _ = retrieve.search(retrieve.cell_index(df, per_cell=per_cell), df, 3, skip_self=True, **blocks)
+    for r in found.collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.neighbour_id))
 
     def cos(a, b):
         return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
 
-    for i, v in vectors[:-1]:
-        others = [(-round(cos(v, w), 9), j) for j, w in vectors[:-1] if j != i]
+    for i, v in vectors[:-3]:
+        others = [(-round(cos(v, w), 9), j) for j, w in vectors[:-3] if j != i]
         assert sorted(got[i]) == [(n + 1, j) for n, (_, j) in enumerate(sorted(others)[:3])]
-    assert 101 not in got
+    assert not {101, 102, 103} & set(got)
+
+
+def test_nearest_skips_cells(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(40, 32))
+    points = middles[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 32)) * 0.2
+    points[7] = points[8]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 10 = 0")
+    found, work = retrieve.search(retrieve.cell_index(df, per_cell=64), queries, 5)
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    for query, rows in itertools.groupby(sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])), lambda r: r.query_id):
+        keys = np.round(units @ units[query], 9)
+        assert [r.neighbour_id for r in rows] == np.lexsort((np.arange(3000), -keys))[:5].tolist()
+    assert found.count() == 300 * 5 and work.first().pairs < 0.1 * 300 * 3000
+    empty = df.limit(0)
+    assert retrieve.nearest(empty, df).count() == retrieve.nearest(queries, empty).count() == 0
 
 
 def test_similarity(one):
