@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sumwright.functions.program_text import linearize_program, linearize_tokens
 from sumwright.functions.prompts import join_sentences
 from sumwright.functions.shapes import LIST, STRING, kind_at
+from sumwright.sources.json_lists import read_any, read_lists
 
 # Fields whose JSON shape varies arrive as text; ``typed_examples`` reads their kind as well.
 RAW_EXAMPLE = (
@@ -19,38 +20,19 @@ PREDICTION = "id string, predicted array<string>"
 LAYOUTS = ("auto", "list", "wrapped", "lines")
 
 
-def file_layout(whole: Column) -> Column:
-    """``list``, ``wrapped`` or ``lines`` of a file's whole text.
-
-    A file that is one JSON list or one JSON object is read as such; an object holds its records
-    under ``data``. Anything else holds one record a line.
-    """
-    # A parser of one value stops after the first; inside a list, more than one is an error.
-    single = F.json_array_length(F.concat(F.lit("["), whole, F.lit("]"))) == 1
-    kind = F.when(single, F.schema_of_variant(F.try_parse_json(whole)))
-    return F.when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "wrapped").otherwise("lines")
-
-
 def read_records(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """``record``, the JSON text of every record.
 
-    ``lines`` is splittable and skips blank lines. One ``list`` per file, or a ``wrapped``
-    ``{"data": [...]}``, is parsed in one task each; so is every file where the layout has to be
-    found out (``auto``).
+    Every layout is read in as many tasks as files have splits: ``lines``, which skips blank ones, one
+    ``list`` per file, a ``wrapped`` ``{"data": [...]}``, or whichever a file has (``auto``). A file that
+    is one JSON list or one JSON object is read as such, anything else holds one record a line.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}")
     if layout == "lines":
         lines = spark.read.text(path).select(F.col("value").alias("record"))
         return lines.where(F.trim("record") != "")
-    whole = spark.read.text(path, wholetext=True)
-    found = F.lit(layout) if layout != "auto" else file_layout(F.col("value"))
-    listed = F.from_json("value", "array<string>")
-    wrapped = F.coalesce(F.from_json("value", "data array<string>")["data"], F.array().cast("array<string>"))
-    lines = F.split("value", "\r?\n")
-    records = F.when(F.col("found") == "list", listed).when(F.col("found") == "wrapped", wrapped).otherwise(lines)
-    rows = whole.select("value", found.alias("found")).select(F.explode(records).alias("record"))
-    return rows.where(F.trim("record") != "")
+    return read_any(spark, path) if layout == "auto" else read_lists(spark, path, layout)
 
 
 def read_json(spark: SparkSession, path: str, schema: str, layout: str = "lines") -> DataFrame:

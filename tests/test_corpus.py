@@ -55,6 +55,51 @@ def test_examples_and_prompts(spark, tmp_path, layout, named):
     assert "End with EOF." in rendered["x"].prompt_text
 
 
+NASTY = [
+    {"id": 'a"],[{"', "text": 'quote " and \\\\ and \\" , ] } [ {', "deep": [[1, [2, {"data": [3, "],"]}]], {}]},
+    {"id": "", "text": "", "deep": []},
+    {"id": "long", "text": "x, " * 30, "deep": [",", ",,", "\\", 'é"😀\n\t,']},
+    {"data": [{"data": [1, 2]}], "id": "wrapped inside", "deep": None},
+    {"id": "end\\", "n": [1.5, -2e9, True]},
+]
+
+
+@pytest.mark.parametrize("size", [61, 200, 10**7])
+def test_lists_are_read_alike_whatever_the_splits(spark, tmp_path, size):
+    for copies, name in ((1, "a"), (2, "b")):
+        records = NASTY * copies
+        text = {
+            "list": json.dumps(records, ensure_ascii=name == "a", indent=2 if name == "a" else None),
+            "wrapped": json.dumps({"first": [[1, "data"], {"data": [5]}], "data": records, "last": {"data": [6, "]"]}}, indent=1 if name == "b" else None),
+            "lines": "\n\n".join(map(json.dumps, records)),
+        }
+        for layout, own in text.items():
+            (tmp_path / layout).mkdir(exist_ok=True)
+            (tmp_path / layout / f"{name}.json").write_text(own)
+            (tmp_path / "all").mkdir(exist_ok=True)
+            (tmp_path / "all" / f"{layout}-{name}.json").write_text(own)
+    want = sorted(json.dumps(r) for r in NASTY * 3)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for layout in ("list", "wrapped", "lines"):
+            got = examples.read_records(spark, str(tmp_path / layout), layout)
+            assert sorted(json.dumps(json.loads(r.record)) for r in got.collect()) == want
+        if size > 100:
+            got = examples.read_records(spark, str(tmp_path / "all"), "auto")
+            assert sorted(json.dumps(json.loads(r.record)) for r in got.collect()) == sorted(want * 3)
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("text, layout, want", [("[]", "auto", []), ("", "auto", []), (" [ ] ", "list", []), ('{"data": []}', "auto", []), ('{"other": [1]}', "auto", []), ("[1, [2], null]", "auto", ["1", "[2]", "null"]), ("[1]\n[2]", "auto", ["[1]", "[2]"]), ("\n1\n2\n", "auto", ["1", "2"]), ('{"a": 1}\n{"a": 2}', "auto", ['{"a": 1}', '{"a": 2}'])])
+def test_small_lists(spark, tmp_path, text, layout, want):
+    (tmp_path / "x.json").write_text(text)
+    assert sorted(r.record for r in examples.read_records(spark, str(tmp_path), layout).collect()) == sorted(want)
+
+
 def test_files_of_several_layouts(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(EXAMPLES[:1]))
     (tmp_path / "b.json").write_text("\n" + json.dumps(EXAMPLES[3]) + "\r\n \n" + json.dumps(EXAMPLES[1]))
