@@ -9,6 +9,7 @@ block are searched block by block.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,7 +250,11 @@ def matches(
     spark, found, blocks = docs.sparkSession, None, 0
     docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     docs = docs.withColumn("row", F.monotonically_increasing_id())
-    for block in _blocks(items, item_id, item_text):
+    parts = _blocks(items, item_id, item_text)
+    first = list(itertools.islice(parts, 2))
+    if len(first) > 1:  # the blocks' answers are brought together by the row's number
+        docs = materialize(docs, "numbered")
+    for block in itertools.chain(first, parts):
         phrases = spark.sparkContext.broadcast(Phrases(block, window))
         postings = materialize(index(docs, phrases), "postings")
         kind = postings.schema["doc_id"].dataType.simpleString()

@@ -146,7 +146,7 @@ SQL_LINES = r"""
     totals AS (SELECT source, count(*) AS pages FROM paged GROUP BY source),
     frequent AS (SELECT b.source, key FROM bare b JOIN totals t ON b.source IS NOT DISTINCT FROM t.source
         WHERE key <> '' GROUP BY b.source, key, pages
-        HAVING count(DISTINCT page) >= 10 AND count(DISTINCT page) > pages * CAST(0.1 AS DOUBLE)),
+        HAVING count(DISTINCT page) >= 2 AND count(DISTINCT page) > pages * CAST(0.05 AS DOUBLE)),
     marked AS (SELECT b.*, f.key IS NOT NULL AS drops FROM bare b
         LEFT JOIN frequent f ON b.source IS NOT DISTINCT FROM f.source AND b.key = f.key),
     kept AS (SELECT page, count(*) AS n_lines, count(*) FILTER (drops) AS n_drops,
@@ -164,7 +164,7 @@ SQL_LINES = r"""
 )
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return line_dedup.drop_boilerplate(docs, ratio=0.1, min_pages=10).drop("source")
+    return line_dedup.drop_boilerplate(docs, ratio=0.05, min_pages=2).drop("source")
 
 
 SQL_VECTORS = """usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v

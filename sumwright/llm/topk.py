@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sumwright.llm.shared import col
+from sumwright.llm.shared import col, materialize
 
 #: Rows of a query tile and of a shard of candidates, and lists merged at a time.
-QUERY_TILE = 1024
+QUERY_TILE = 16384
 SHARD = 8192
 FAN_IN = 16
 
@@ -89,13 +89,14 @@ def top_k(
         df = df.where(F.col("id").isNotNull() & usable(F.col("v")))
         return df.select("id", quantized(F.col("v"), scale).alias("v"), F.monotonically_increasing_id().alias("row"))
 
-    queries, candidates = rows(queries), rows(candidates)
+    # Written, since two shuffles go by the row's number.
+    queries, candidates = materialize(rows(queries), "queries"), rows(candidates)
     tiles = -(-queries.count() // QUERY_TILE) or 1
     shards = -(-candidates.count() // SHARD) or 1
     # Each query meets each shard and each candidate each tile, once.
     left = queries.withColumn("tile", F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int"))
     left = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = candidates.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    right = candidates.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
     right = right.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).drop("row")
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

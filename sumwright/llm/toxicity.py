@@ -29,8 +29,6 @@ from sumwright.llm.shared import col, materialize
 
 #: Most labelled rows of either label that the lexicon is learned from.
 MOST_ROWS = 10_000
-#: Most terms of a lexicon.
-MOST_TERMS = 50_000
 #: A term's log odds, and the log of how improbable its counts are by chance, at least.
 LEAST_ODDS = 1.5
 LEAST_SURPRISE = math.log(1e4)
@@ -56,10 +54,10 @@ WORD = re.compile(r"[^\W_]+")
 def folding() -> dict[int, str]:
     """Code points to what they fold to: bases of decomposed letters, look-alikes, digits."""
     table = {}
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF5B)):
-        base = unicodedata.normalize("NFKD", chr(code))[0].lower()
-        if base.isascii() and base.isalnum():
-            table[code] = DIGITS.get(base, base)
+    for code in range(0xA0, 0x20000):  # compatibility forms and letters with marks, whatever block they are in
+        bases = [c for c in unicodedata.normalize("NFKD", chr(code)).lower() if c.isascii() and c.isalnum()]
+        if bases:
+            table[code] = "".join(DIGITS.get(c, c) for c in bases)
     for code in range(0x300, 0x370):  # combining marks
         table[code] = ""
     for letter, alike in HOMOGLYPHS.items():
@@ -110,8 +108,8 @@ class Lexicon:
             after = folded[end + 1] if end + 1 < len(folded) else " "
             if not before.isalnum() and not after.isalnum():
                 (excused if weight is None else hits).append((start, end, weight))
-        for start, end, _ in excused:
-            hits = [h for h in hits if h[0] < start or h[1] > end]
+        if excused:
+            hits = outside(hits, excused)
         return sum(h[2] for h in hits) / math.log2(2 + len(text) / 6)
 
     def score(self, text: str | None) -> float:
@@ -119,6 +117,22 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(min(z, 500), -500)))
 
 
+def outside(hits: list[tuple], excused: list[tuple]) -> list[tuple]:
+    """The hits ``start, end, weight`` that lie in none of the excused spans, whose ends are in order.
+
+    Of the spans that end at a hit's end or later the one that starts first decides; going from the
+    right, it is known at each hit.
+    """
+    kept, first, at = [], math.inf, len(excused) - 1
+    for hit in reversed(hits):
+        while at >= 0 and excused[at][1] >= hit[1]:
+            first = min(first, excused[at][0])
+            at -= 1
+        if hit[0] < first:
+            kept.append(hit)
+    return kept[::-1]
+
+
 def densities(lexicon: Lexicon, text: Column) -> Column:
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
@@ -165,7 +179,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 found = WORD.findall(fold(text or ""))
                 threes = zip(found, found[1:], found[2:], strict=False) if len(found) > 2 else [found]
                 sketch = min(xxhash.xxh64_intdigest(" ".join(t)) for t in threes) >> 1
-                own = [t for t in set(found) if len(t) <= 64]
+                own = list(set(found))
                 terms += own
                 sketches += [sketch] * len(own)
                 labels += [label] * len(own)
@@ -183,8 +197,9 @@ def learn(labelled: DataFrame, most: int = MOST_ROWS, exceptions: tuple[str, ...
     """A lexicon from rows ``text, label`` (1 toxic, 0 not; others and nulls are left out).
 
     A term's weight is its log odds, smoothed by half a text, against those of all texts. Terms
-    whose counts chance could explain are left out. At most about ``most`` rows of either label
-    and :data:`MOST_TERMS` terms are used. Without toxic rows nothing is toxic.
+    whose counts chance could explain are left out, so that one takes several texts and their number
+    is bounded by the words of the sample: at most about ``most`` rows of either label. Without toxic
+    rows nothing is toxic.
     """
     rows = labelled.where("text is not null").select("text", "label")
     rows = materialize(sample(rows, most, "text"), "toxic-sample")
@@ -202,8 +217,7 @@ def learn(labelled: DataFrame, most: int = MOST_ROWS, exceptions: tuple[str, ...
         bound += F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - rate)))).otherwise(0.0)
     terms = counts.where("toxic > 0").select("term", odds.alias("odds"), bound.alias("surprise"))
     terms = terms.where((F.col("odds") > LEAST_ODDS) & (F.col("surprise") > LEAST_SURPRISE))
-    terms = terms.orderBy(F.col("surprise").desc(), "term").limit(MOST_TERMS).collect()
-    weights = {r.term: float(r.odds) for r in terms}
+    weights = {r.term: float(r.odds) for r in terms.orderBy("term").collect()}
     lexicon = Lexicon(weights, exceptions)
     return fitted(lexicon, rows)
 

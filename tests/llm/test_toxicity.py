@@ -76,3 +76,33 @@ def test_words_of_short_texts_are_learned(spark):
     assert counts[toxicity.fold("grubsch")] == (15, 1)
     lexicon = toxicity.learn(spark.createDataFrame(rows, SCHEMA))
     assert toxicity.fold("grubsch") in lexicon.weights
+
+
+def test_spans_against_a_naive_matcher():
+    rng = random.Random(4)
+    terms = {"ab": 1.0, "b": 0.5, "aab": 2.0, "b" * 80: 3.0}
+    phrases = ("ab b", "b a", "a b ab", "b" * 80 + " a")
+    lexicon = toxicity.Lexicon(terms, phrases)
+    for _ in range(300):
+        text = " ".join(rng.choices(["a", "b", "ab", "aab", "b" * 80], k=rng.randint(0, 12)))
+        whole = lambda a, b: (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
+        places = lambda x: [(i, i + len(x)) for i in range(len(text)) if text.startswith(x, i) and whole(i, i + len(x))]
+        excused = [s for p in phrases for s in places(p)]
+        total = sum(w for t, w in terms.items() for a, b in places(t) if not any(c <= a and b <= d for c, d in excused))
+        assert lexicon.density(text) == pytest.approx(total / toxicity.math.log2(2 + len(text) / 6))
+
+
+def test_many_exceptions_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({toxicity.fold("trash"): 2.0}, ("trash can",))
+    started = time.perf_counter()
+    assert lexicon.density("trash can " * 100_000) == 0 < lexicon.density("trash can " * 100_000 + "trash")
+    assert time.perf_counter() - started < 10
+
+
+def test_long_terms_and_ligatures(spark):
+    long = "grub" * 30
+    rows = [(i, t.replace("grubsch", long), y) for i, t, y in corpus(1)]
+    assert toxicity.fold(long) in toxicity.learn(spark.createDataFrame(rows, SCHEMA)).weights
+    assert toxicity.fold("ﬁlth") == toxicity.fold("filth") and toxicity.fold("𝐢𝐝𝐢𝐨𝐭") == toxicity.fold("idiot")
