@@ -374,7 +374,7 @@ def program_equal(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "program_equal_more",
-    f"SELECT {SQL_ID} AS id, {sql_variant(8)} IN (0, 1, 4, 6) AS equal FROM lineitem",
+    f"SELECT {SQL_ID} AS id, {sql_variant(12)} IN (0, 1, 4, 6, 8, 10) AS equal FROM lineitem",
 )
 def program_equal_more(spark: SparkSession, folder: str) -> DataFrame:
     """Powers, comparisons and table steps."""
@@ -387,8 +387,12 @@ def program_equal_more(spark: SparkSession, folder: str) -> DataFrame:
         ("table_max(rev, none), add(#0, {P})", "table_min(rev, none), add(#0, {P})"),
         ("table_sum(rev, none), divide(#0, {P})", "table_sum(rev, none), divide(#0, {P})"),
         ("greater({P}, {Q})", "subtract({P}, {Q})"),
+        ("exp({P}, {Q}), exp({P}, {D}), multiply(#0, #1)", "add({Q}, {D}), exp({P}, #0)"),
+        ("exp({P}, {Q}), exp({P}, {D}), multiply(#0, #1)", "multiply({Q}, {D}), exp({P}, #0)"),
+        ("divide({Q}, {D}), exp({P}, #0), divide(#1, #1)", "exp({P}, {Q}), divide({D}, {D}), subtract({Q}, {Q}), exp(#1, #2)"),
+        ("exp({P}, {D}), exp({Q}, {D}), add(#0, #1)", "add({P}, {Q}), exp(#0, {D})"),
     )
-    gold, predicted = (d.choose(d.variant(8), *[fill(p[i]) for p in pairs]) for i in (0, 1))
+    gold, predicted = (d.choose(d.variant(12), *[fill(p[i]) for p in pairs]) for i in (0, 1))
     rows = d.lines(spark, folder).select(
         row_id().alias("id"),
         tokenize_program(gold).alias("gold"),

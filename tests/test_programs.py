@@ -302,6 +302,68 @@ def test_equivalence(spark):
     assert moved is False
 
 
+POWERS = [
+    ("exp(a, c), exp(a, d), multiply(#0, #1)", "add(c, d), exp(a, #0)", True),
+    ("exp(a, c), exp(a, d), divide(#0, #1)", "subtract(c, d), exp(a, #0)", True),
+    ("exp(a, c), exp(a, c), multiply(#0, #1)", "add(c, c), exp(a, #0)", True),
+    ("add(a, b), exp(#0, c), exp(#0, d), multiply(#1, #2)", "add(d, c), add(b, a), exp(#1, #0)", True),
+    ("divide(c, d), exp(a, #0), exp(a, #0), multiply(#1, #2)", "add(c, c), divide(#0, d), exp(a, #1)", True),
+    ("exp(a, c), divide(#0, #0)", "divide(c, c), subtract(a, a), exp(#0, #1)", True),
+    ("exp(a, c), exp(b, c), multiply(#0, #1)", "multiply(a, b), exp(#0, c)", False),  # for positive bases alone
+    ("exp(a, c), exp(#0, d)", "multiply(c, d), exp(a, #0)", False),  # likewise
+    ("exp(a, c), exp(a, d), add(#0, #1)", "add(c, d), exp(a, #0)", False),
+    ("exp(a, c), exp(a, d), multiply(#0, #1)", "multiply(c, d), exp(a, #0)", False),
+    ("exp(a, c), exp(b, d), multiply(#0, #1)", "exp(a, d), exp(b, c), multiply(#0, #1)", False),
+    ("exp(a, c)", "exp(c, a)", False),
+]
+
+
+def random_powers(rng):
+    """A product of powers of two bases, and another that is equal if the exponents add up alike."""
+
+    def product(terms):
+        steps, parts = [], []
+        for base, exponents in terms:
+            last = exponents[0]
+            for e in exponents[1:]:
+                steps.append(f"add({last}, {e})")
+                last = f"#{len(steps) - 1}"
+            steps.append(f"exp({base}, {last})")
+            parts.append(f"#{len(steps) - 1}")
+        last = parts[0]
+        for part in parts[1:]:
+            steps.append(f"multiply({last}, {part})")
+            last = f"#{len(steps) - 1}"
+        return ", ".join(steps)
+
+    def dealt(exponents):
+        terms = []
+        for base, own in exponents.items():
+            own = rng.sample(own, len(own))
+            while own:
+                k = rng.randint(1, len(own))
+                terms.append((base, own[:k]))
+                own = own[k:]
+        return product(rng.sample(terms, len(terms)))
+
+    exponents = {base: [*"cde", *rng.choices("cde", k=rng.randint(0, 2))] for base in "ab"}
+    other = {base: list(own) for base, own in exponents.items()}
+    equal = rng.random() < 0.5
+    if not equal:
+        base = rng.choice("ab")
+        i = rng.randrange(len(other[base]))
+        other[base][i] = rng.choice([x for x in "cde" if x != other[base][i]])
+    return dealt(exponents), dealt(other), equal
+
+
+def test_powers_of_one_base_add_their_exponents(spark):
+    rng = random.Random(7)
+    cases = POWERS + [random_powers(rng) for _ in range(60)]
+    df = spark.createDataFrame([(i, tokens(g), tokens(p)) for i, (g, p, _) in enumerate(cases)], "i int, gold array<string>, predicted array<string>")
+    found = {r.i: r.equal for r in with_equality(df).collect()}
+    assert [c for i, c in enumerate(cases) if found[i] != c[2]] == []
+
+
 def test_filter_on_results_is_cheap_to_plan(spark):
     df = spark.createDataFrame([(tokens("add(1, 2)"), tokens("add(2, 1)"))], "gold array<string>, predicted array<string>")
     both = with_equality(with_result(df)).where("result.num = 3 AND equal")
