@@ -24,7 +24,8 @@ _UNICODE = "(?U)"
 def scale_currency(text: Column, unicode_classes: bool = True) -> Column:
     """``r3.4 billion`` → ``3,400,000,000 ZAR``; the product is truncated to an integer.
 
-    Amounts that are no number (``r1.2.3 million``) or have more than 38 digits stay as they are.
+    Amounts that are no number (``r1.2.3 million``) stay as they are, and those from 1e30 on, of which
+    a double does not hold all digits.
     """
     pattern = ("(?iU)" if unicode_classes else "(?i)") + SCALED_AMOUNT
 

@@ -50,6 +50,7 @@ def score(
     gold: DataFrame,
     tolerance: float | None = None,
     positional_tables: bool = False,
+    equality: bool = True,
 ) -> DataFrame:
     """One row per prediction with ``result``, ``exe_match``, ``exe_ok``, ``equal`` and ``exact``.
 
@@ -57,14 +58,17 @@ def score(
     the table, ``table``. The rounded result must equal the gold answer exactly unless a
     ``tolerance`` is given; where ``exe_ans_kind`` tells the kind of the answer, a number only equals
     a number and a text only a text. Of gold rows that repeat an id one counts, and ``gold_copies``
-    says how many there were, so every prediction stays one row.
+    says how many there were, so every prediction stays one row. ``equality=False`` leaves out
+    ``equal``, which costs as much as all the rest.
+
+    Gold that is stored in buckets of its id (see ``examples.write_buckets``) stays where it is.
     """
     table = "table" if "table" in gold.columns else None
     kind = F.col("exe_ans_kind") if "exe_ans_kind" in gold.columns else None
     joined = join_gold(predictions, unique_gold(gold)).withColumn("gold", tokenize_program(F.col("program")))
-    run = with_equality(
-        with_result(joined, "predicted", table), positional_tables=positional_tables
-    )
+    run = with_result(joined, "predicted", table)
+    if equality:
+        run = with_equality(run, positional_tables=positional_tables)
     match = _matches(F.col("result"), F.col("exe_ans"), kind, tolerance)
     return run.withColumns(
         {

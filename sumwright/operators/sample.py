@@ -2,7 +2,7 @@
 
 Positions come from hash buckets: rows are counted per bucket of the hashed id, at most 65,536
 counts, and only these are accumulated in one task. No sort of the whole data, no sampling, and the
-same result for every partitioning. Positions need unique ids.
+same result for every partitioning. Positions need unique ids, or a row key beside them.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sumwright.session import checkpointed
+
 _BUCKET_DIGITS = 4
 
 
@@ -76,8 +78,24 @@ def with_split(
     )
 
 
-def with_position(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """Add ``position``: 0, 1, 2, … in the seeded shuffle order."""
+def with_position(df: DataFrame, id_col: str, seed: int = 42, row: str | None = None) -> DataFrame:
+    """Add ``position``: 0, 1, 2, … in the seeded shuffle order.
+
+    Where ids repeat, ``row`` names a column that tells rows apart. Rows are then dealt out by ranges
+    of the whole order and counted by range, so that one id, or a missing one, spreads over many
+    tasks.
+    """
+    if row is not None:
+        order = ["__key", id_col, row]
+        ranges = df.withColumn("__key", shuffle_key(id_col, seed)).repartitionByRange(*order)
+        ranges = checkpointed(ranges.withColumn("__part", F.spark_partition_id()), "ranges")
+        # One row for each range.
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ranges.groupBy("__part").agg(F.count("*").alias("n"))
+        starts = starts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        inside = Window.partitionBy("__part").orderBy(*order)
+        placed = ranges.withColumn("nth", F.row_number().over(inside) - 1).join(F.broadcast(starts), "__part")
+        return placed.withColumn("position", F.col("start") + F.col("nth")).select(*df.columns, "position")
     keyed = _keyed(df, id_col, seed)
     in_bucket = Window.partitionBy("__bucket").orderBy("__key", id_col)
     offsets = _bucket_counts(keyed.select("__bucket")).select("__bucket", "below")

@@ -122,7 +122,7 @@ def collate(
     """
     df = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
     lengths = df.select(id_col, "__row", F.size("input_ids").alias("length"))
-    placed = with_position(lengths, id_col, seed).withColumn(
+    placed = with_position(lengths, id_col, seed, "__row").withColumn(
         "batch_no", F.floor(F.col("position") / batch_size)
     )
     longest = placed.withColumn(

@@ -475,7 +475,8 @@ def attach_prediction(spark: SparkSession, folder: str) -> DataFrame:
         FROM scored WHERE NOT exe_ok""",
 )
 def error_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.error_rows(_scored(spark, folder)).select("id", "result.invalid", "result.num")
+    scored = evaluate.score(d.predictions(spark, folder), d.gold_examples(spark, folder), equality=False)
+    return evaluate.error_rows(scored).select("id", "result.invalid", "result.num")
 
 
 @query(

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METRICS = "run_id string, metric string, value double"
+#: Characters of a record's id that name its part of the collection.
+PART_DIGITS = 2
 
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
@@ -21,16 +23,29 @@ def write_texts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def upsert_records(records: DataFrame, path: str) -> None:
-    """Append the chunk records whose id the collection at ``path`` does not hold yet."""
+    """Append the chunk records whose id the collection at ``path`` does not hold yet.
+
+    The collection is stored in parts by the first characters of the id, at most 16 to the power of
+    :data:`PART_DIGITS` for ids in hexadecimal digits. Only parts that the records touch are read.
+    """
+    spark = records.sparkSession
+    records = records.withColumn("part", F.substring("id", 1, PART_DIGITS))
     try:
-        held = records.sparkSession.read.parquet(path).select("id")
+        held = spark.read.schema("id string, part string").parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         fresh = records
     else:
-        fresh = records.join(held, "id", "left_anti")
-    fresh.write.mode("append").parquet(path)
+        touched = [r.part for r in records.select("part").distinct().collect()]
+        fresh = records.join(held.where(F.col("part").isin(touched)).select("part", "id"), ["part", "id"], "left_anti")
+    # One file for each part that gets records.
+    fresh.select(*records.columns).repartition("part").write.mode("append").partitionBy("part").parquet(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The collection that :func:`upsert_records` has written."""
+    return spark.read.parquet(path).drop("part")
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
@@ -60,3 +75,26 @@ def best_run(metrics: DataFrame, *metric: str, smaller_is_better: bool = True) -
     rank = F.col("value") if smaller_is_better else -F.col("value")
     best = F.min_by(F.struct("run_id", "value"), F.struct(rank, F.col("run_id")))
     return rows.groupBy("metric").agg(best.alias("best")).select("metric", "best.*")
+
+
+def refresh_best(spark: SparkSession, path: str, state: str, smaller_is_better: bool = True) -> DataFrame:
+    """:func:`best_run` of all metrics appended at ``path``, of which only new files are read.
+
+    ``state`` keeps which files have been read and the best rows so far, a version for each time that
+    there were new ones. A refresh that breaks off is done again by the next one.
+    """
+    best = f"{state}/best"
+
+    def merge(rows: DataFrame, version: int) -> None:
+        if version:
+            before = spark.read.schema(METRICS).parquet(f"{best}/version={version - 1}")
+            rows = rows.unionByName(before)
+        found = best_run(rows, smaller_is_better=smaller_is_better)
+        found.write.mode("overwrite").parquet(f"{best}/version={version}")
+
+    new = spark.readStream.schema(METRICS).parquet(path)
+    stream = new.writeStream.foreachBatch(merge).option("checkpointLocation", f"{state}/files")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    versions = spark.read.schema("metric string, run_id string, value double, version long").parquet(best)
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == last).drop("version")

@@ -106,6 +106,16 @@ def write_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).partitionBy("split").parquet(path)
 
 
+def write_buckets(df: DataFrame, name: str, buckets: int, path: str | None = None, id_col: str = "id") -> None:
+    """A table in buckets of its id, for gold that is evaluated against again and again.
+
+    Joins and aggregates by id read it without a shuffle, and only predictions move. Take as many
+    buckets as ``spark.sql.shuffle.partitions`` or more; with fewer, Spark shuffles both sides.
+    """
+    writer = df.write.bucketBy(buckets, id_col).sortBy(id_col)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     """One split; the other folders are not opened."""
     return spark.read.parquet(path).where(F.col("split") == split)

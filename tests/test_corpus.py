@@ -246,10 +246,55 @@ def test_fixed_chunks_and_collection(spark, tmp_path):
     path = str(tmp_path / "collection")
     for _ in range(2):
         corpora.upsert_records(corpus.chunk_records(chunks, source="report"), path)
-    stored = spark.read.parquet(path)
+    stored = corpora.read_records(spark, path)
+    assert stored.columns == ["id", "text", "metadata"]
     assert stored.count() == 3 and stored.first().metadata == {"source": "report"}
 
 
+def test_upsert_reads_and_writes_touched_parts_only(spark, tmp_path):
+    path = str(tmp_path / "collection")
+    rows = [(f"{i:02x}{j:04x}", f"text {i} {j}", None) for i in range(40) for j in range(3)]
+    schema = "id string, text string, metadata map<string,string>"
+    corpora.upsert_records(spark.createDataFrame(rows, schema), path)
+    files = set((tmp_path / "collection").rglob("*.parquet"))
+    for broken in (tmp_path / "collection").glob("part=0*/*.parquet"):
+        broken.write_bytes(b"never read")  # parts that the next records do not touch
+    corpora.upsert_records(spark.createDataFrame([*rows[120 - 9 :], ("27ffff", "new", None), ("ffff", "other", None)], schema), path)
+    added = set((tmp_path / "collection").rglob("*.parquet")) - files
+    assert sorted(f.parent.name for f in added) == ["part=27", "part=ff"]
+    held = spark.read.parquet(path + "/part=[12f]*")
+    assert held.count() == 24 * 3 + 2
+
+
+def test_best_runs_are_kept_up_to_date(spark, tmp_path):
+    rng, path, rows = random.Random(5), str(tmp_path / "metrics"), []
+    for n in range(4):
+        new = [(f"r{rng.randint(0, 9)}", rng.choice("abc"), rng.choice([rng.random(), 0.001, None])) for _ in range(20)]
+        rows += new
+        corpora.append_metrics(spark.createDataFrame(new, corpora.METRICS), path)
+        if n == 1:
+            continue  # two files at once
+        got = corpora.refresh_best(spark, path, str(tmp_path / "state"))
+        want = corpora.best_run(spark.createDataFrame(rows, corpora.METRICS))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    again = corpora.refresh_best(spark, path, str(tmp_path / "state"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+    assert len(list((tmp_path / "state" / "best").glob("version=*"))) == 3
+
+
+def test_one_id_spreads_over_many_tasks(spark):
+    rows = [("" if i % 10 else f"own {i}", [1] * (i % 7 + 1)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id string, input_ids array<int>").withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1)))
+    got = tokens.collate(df.repartition(7), "id", 16).collect()
+    assert len(got) == 2000 and sorted(r.batch_no for r in got) == sorted(i // 16 for i in range(2000))
+    for batch in (0, 60, 124):
+        own = [r for r in got if r.batch_no == batch]
+        assert {len(r.input_ids) for r in own} == {max(sum(r.attention_mask) for r in own)}
+    placed = sample.with_position(df.withColumn("row", F.monotonically_increasing_id()), "id", 42, "row")
+    ranges = placed.where("id = ''").select((F.col("position") * 4 / 2000).cast("int").alias("q")).distinct()
+    assert ranges.count() == 4 and placed.select("position").distinct().count() == 2000
+
+
 def test_pages(spark):
     rows = [(1, 2, "two"), (1, 1, "one"), (1, 3, ""), (2, 10, "x"), (2, 9, "w")]
     pages = spark.createDataFrame(rows, "doc_id int, page_no int, text string")

@@ -123,3 +123,26 @@ def test_predictions_on_disk(spark, predictions, tmp_path):
     ex.write_json(predictions, path)
     back = ex.read_predictions(spark, path)
     assert sorted(map(tuple, back.collect())) == sorted((i, p) for i, p in PRED)
+
+
+def test_bucketed_gold_stays_where_it_is(spark, tmp_path):
+    from sumwright.operators import evaluate
+    from sumwright.sources import examples
+
+    gold = [(f"g{i}", f"add({i}, 1)", str(i + 1)) for i in range(50)]
+    gold = spark.createDataFrame(gold, "id string, program string, exe_ans string")
+    examples.write_buckets(gold, "gold_in_buckets", 8, str(tmp_path / "gold"))
+    try:
+        stored = spark.table("gold_in_buckets")
+        rows = [(f"g{i % 50}", ["add(", str(i), "1", ")", "EOF"]) for i in range(70)]
+        predictions = spark.createDataFrame(rows, "id string, predicted array<string>")
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        scored = evaluate.score(predictions, stored, equality=False)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        plain = evaluate.score(predictions, gold, equality=False)._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("Exchange"), plain.count("Exchange")) == (1, 2)
+        assert scored.where("exe_ok").count() == 50 and scored.count() == 70 and "equal" not in scored.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE gold_in_buckets")
