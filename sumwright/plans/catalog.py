@@ -22,7 +22,7 @@ from sumwright.functions.program_text import (
     verify_tokens,
 )
 from sumwright.functions.text import WHITESPACE, words
-from sumwright.operators import corpus, decode, evaluate, retrieve, sample, tokens
+from sumwright.operators import corpus, decode, evaluate, retrieve, sample, subwords, tokens
 from sumwright.operators.partition import spread
 from sumwright.operators.run_programs import with_equality, with_result
 from sumwright.plans import derive as d
@@ -1087,6 +1087,49 @@ def term_stats(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.term_stats(_term_counts(spark, folder))
 
 
+def sql_merges(merges: int) -> str:
+    """CTEs ``best0``, ``words1``, ...: each merge of the most frequent pair, and the words after it."""
+    # Empty text splits into one empty symbol, which the terms do not have.
+    steps = ["words0 AS (SELECT string_split(term, '') AS symbols, n FROM counts)"]
+    for k in range(merges):
+        steps.append(
+            f"""best{k} AS (SELECT a, b FROM (
+                SELECT symbols[i] AS a, symbols[i + 1] AS b, n FROM (
+                  SELECT symbols, n, unnest(range(1, len(symbols))) AS i FROM words{k}))
+                GROUP BY a, b HAVING sum(n) >= 2 ORDER BY sum(n) DESC, a, b LIMIT 1),
+            words{k + 1} AS (SELECT n, list_reduce(list_transform(symbols, lambda x: [x]), lambda made, x:
+                CASE WHEN made[-1] = a AND x[1] = b THEN list_append(made[1:len(made) - 1], a || b)
+                  ELSE list_concat(made, x) END) AS symbols FROM words{k}, best{k})"""
+        )
+    return ", ".join(steps)
+
+
+SUBWORD_MERGES = 8
+
+
+@query(
+    "subword_merges",
+    f"WITH {SQL_TERMS}, {sql_merges(SUBWORD_MERGES)} "
+    + " UNION ALL ".join(f'SELECT {k} AS "rank", a AS "left", b AS "right" FROM best{k}' for k in range(SUBWORD_MERGES)),
+)
+def subword_merges(spark: SparkSession, folder: str) -> DataFrame:
+    merges = subwords.learn_merges(_term_counts(spark, folder), SUBWORD_MERGES)
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "rank int, left string, right string")
+
+
+@query(
+    "subword_pieces",
+    f"""WITH {SQL_TERMS}, {sql_merges(SUBWORD_MERGES)} SELECT piece, CAST(sum(n) AS BIGINT) AS n
+        FROM (SELECT unnest(symbols) AS piece, n FROM words{SUBWORD_MERGES}) GROUP BY piece""",
+)
+def subword_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each piece occurs in the corpus, whose words are cut text by text."""
+    merges = subwords.learn_merges(_term_counts(spark, folder), SUBWORD_MERGES)
+    texts = _pairs(spark, folder).select(corpus.terms(F.col("answer"), F.col("question")).alias("words"))
+    cut = subwords.cut_words(texts, "words", merges)
+    return cut.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+
 @query("top_terms", f"WITH {SQL_TERMS} SELECT term, n FROM counts ORDER BY n DESC, term LIMIT 15")
 def top_terms(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.top_terms(_term_counts(spark, folder))
