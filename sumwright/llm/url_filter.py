@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
@@ -19,8 +20,10 @@ from sumwright.llm.shared import col, materialize, packed, unpacked
 
 #: Most labelled rows that the trees are trained on.
 MOST_ROWS = 20_000
-#: Slots that host suffixes are hashed to; the table of their statistics has no more rows.
-SLOTS = 4096
+#: Labelled URLs of the prior share that a suffix's rate is drawn towards it by.
+PRIOR = 20
+#: Parts of the labelled URLs; the rates that one is trained with come from the others.
+FOLDS = 5
 
 BLOCK, ALLOW = "block", "allow"
 
@@ -73,25 +76,36 @@ def suffixes(host: Column) -> list[Column]:
     return [F.element_at(labels, -1), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")]
 
 
-def slot(suffix: Column) -> Column:
-    return F.pmod(F.xxhash64(suffix), F.lit(SLOTS)).cast("int")
+class Model(NamedTuple):
+    """Trees, statistics of suffixes, and the blocked share of all labelled URLs."""
+
+    trees: list
+    statistics: DataFrame
+    prior: float
+
+
+def by_suffix(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.explode(F.array_distinct(F.array(*suffixes(F.col("host"))))).alias("suffix"), *more)
 
 
 def suffix_statistics(urls: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``slot, pages, rate`` of columns ``host`` and, in ``labelled``, ``label``.
+    """``suffix, pages, bad, m`` of columns ``host`` and, in ``labelled``, ``label``.
 
-    ``pages`` is the log of the number of URLs whose suffix falls in the slot, ``rate`` the blocked
-    share of the labelled ones, drawn towards the share of all. At most :data:`SLOTS` rows.
+    ``pages`` is the log of the number of URLs with the suffix, ``bad`` of ``m`` labelled ones are
+    blocked. One row for each suffix, counted partially before it shuffles.
     """
-    def slots(df: DataFrame, *more: Column) -> DataFrame:
-        return df.select(F.explode(F.array(*[slot(s) for s in suffixes(F.col("host"))])).alias("slot"), *more)
+    pages = by_suffix(urls).groupBy("suffix").agg(F.count("*").alias("n"))
+    rates = by_suffix(labelled, "label").groupBy("suffix").agg(F.count("*").alias("m"), F.sum("label").alias("bad"))
+    both = pages.join(rates, "suffix", "left")
+    return both.select("suffix", F.log1p("n").alias("pages"), F.coalesce("bad", F.lit(0.0)).alias("bad"), F.coalesce("m", F.lit(0)).alias("m"))
+
 
-    pages = slots(urls).groupBy("slot").agg(F.count("*").alias("n"))
-    rates = slots(labelled, F.col("label")).groupBy("slot").agg(F.count("*").alias("m"), F.sum("label").alias("bad"))
-    share = labelled.agg(F.avg("label")).first()[0] or 0.0
-    both = pages.join(rates, "slot", "left")
-    rate = (F.coalesce("bad", F.lit(0)) + 20 * share) / (F.coalesce("m", F.lit(0)) + 20)
-    return both.select("slot", F.log1p("n").alias("pages"), rate.alias("rate"))
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), url), F.lit(FOLDS)).cast("int")
+
+
+def rate(bad: Column, m: Column, prior: float) -> Column:
+    return (bad + PRIOR * prior) / (m + PRIOR)
 
 
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
@@ -115,21 +129,37 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def featured(rows: DataFrame, statistics: DataFrame, *keep: str) -> tuple[DataFrame, int]:
-    """``keep`` and an array ``features`` of rows ``url, host, path``; the number of features."""
+def featured(rows: DataFrame, model: Model, *keep: str, own: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """``keep`` and an array ``features`` of rows ``url, host, path``; the number of features.
+
+    Statistics meet the rows by suffix: by broadcast where they are small, else by a shuffle in which
+    Spark splits frequent suffixes. ``own`` are counts ``suffix, fold, bad, m`` of the rows' folds, which
+    are taken from the rates, so that no row is described by its own label.
+    """
     found = lexical(F.col("url"), F.col("host"), F.col("path"))
-    parts = rows.select(*keep, F.array(*[f.cast("double") for f in found.values()]).alias("lexical"), *[slot(s).alias(f"s{i}") for i, s in enumerate(suffixes(F.col("host")))])
+    parts = rows.select(
+        *keep,
+        F.array(*[f.cast("double") for f in found.values()]).alias("lexical"),
+        fold_of(F.col("url")).alias("fold"),
+        *[s.alias(f"s{i}") for i, s in enumerate(suffixes(F.col("host")))],
+    )
+    numbers = []
     for i in range(2):
-        own = statistics.select(F.col("slot").alias(f"s{i}"), F.struct("pages", "rate").alias(f"of{i}"))
-        parts = parts.join(F.broadcast(own), f"s{i}", "left")
-    numbers = [F.coalesce(F.col(f"of{i}.{c}"), F.lit(0.0)) for i in range(2) for c in ("pages", "rate")]
+        counts = model.statistics.select(F.col("suffix").alias(f"s{i}"), F.struct("pages", "bad", "m").alias(f"of{i}"))
+        parts = parts.join(counts, f"s{i}", "left")
+        bad, m = F.coalesce(f"of{i}.bad", F.lit(0.0)), F.coalesce(f"of{i}.m", F.lit(0))
+        if own is not None:
+            other = own.select(F.col("suffix").alias(f"s{i}"), "fold", F.struct("bad", "m").alias(f"own{i}"))
+            parts = parts.join(other, [f"s{i}", "fold"], "left")
+            bad, m = bad - F.coalesce(f"own{i}.bad", F.lit(0.0)), m - F.coalesce(f"own{i}.m", F.lit(0))
+        numbers += [F.coalesce(f"of{i}.pages", F.lit(0.0)), rate(bad, m, model.prior)]
     return parts.select(*keep, F.concat("lexical", F.array(*numbers)).alias("features")), len(found) + 4
 
 
 # The filter
 
 
-def train(urls: DataFrame, labelled: DataFrame, most: int = MOST_ROWS, depth: int = 3, rounds: int = 20) -> tuple[list, DataFrame]:
+def train(urls: DataFrame, labelled: DataFrame, most: int = MOST_ROWS, depth: int = 3, rounds: int = 20) -> Model:
     """Trees and suffix statistics from all ``urls`` (``url``) and ``labelled`` ones (``url, label``).
 
     Label 1 stands for block, 0 for allow; rows with another or a null label are left out. About
@@ -141,17 +171,22 @@ def train(urls: DataFrame, labelled: DataFrame, most: int = MOST_ROWS, depth: in
     n = marked.count()
     marked = materialize(marked.where(F.pmod(F.xxhash64("url"), F.lit(2**20)) < min(1.0, most / max(n, 1)) * 2**20), "labelled-urls")
     statistics = materialize(suffix_statistics(urls.select(*parsed), marked), "suffixes")
-    if marked.select("label").distinct().count() < 2:
-        return [], statistics
-    rows, _ = featured(marked, statistics, "label")
-    rows = rows.select("label", array_to_vector("features").alias("features"))
-    model = GBTClassifier(maxDepth=depth, maxIter=rounds, seed=7).fit(rows)
-    return trees.read(model.toDebugString), statistics
+    kinds = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
+    model = Model([], statistics, kinds.get(1.0, 0) / max(sum(kinds.values()), 1))
+    if len(kinds) < 2:
+        return model
+    own = by_suffix(marked, "label", fold_of(F.col("url")).alias("fold")).groupBy("suffix", "fold")
+    own = own.agg(F.count("*").alias("m"), F.sum("label").alias("bad"))
+    rows, _ = featured(marked, model, "label", own=own)
+    # Written, since the learner reads it for every tree.
+    rows = materialize(rows, "url-features").select("label", array_to_vector("features").alias("features"))
+    fitted = GBTClassifier(maxDepth=depth, maxIter=rounds, seed=7).fit(rows)
+    return model._replace(trees=trees.read(fitted.toDebugString))
 
 
 def judge(
     urls: DataFrame,
-    model: tuple[list, DataFrame],
+    model: Model,
     rules: dict[str, str] | None = None,
     threshold: float = 0.5,
     url: str = "url",
@@ -162,10 +197,10 @@ def judge(
     does: the trees' probability that the URL is to be blocked, 0 without trees. A null URL and one
     without ``://`` have an empty host and path; they fit no rule and are scored like any other.
     """
-    forest, statistics = model
+    forest = model.trees
     rows = packed(urls, url=col(url))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    found, n = featured(rows, statistics, "row", "host", "path")
+    found, n = featured(rows, model, "row", "host", "path")
     features = [F.col("features")[i] for i in range(n)]
     total = sum((F.lit(w) * trees.value(root, features) for w, root in forest), F.lit(0.0))
     score = 1 / (1 + F.exp(-2 * total)) if forest else F.lit(0.0)

@@ -33,7 +33,8 @@ def urls(spark, rows, schema="page_id long, url string, host string, score strin
 
 def test_parts_and_rules(spark):
     df = urls(spark, ODD + ODD)
-    got = url_filter.judge(df, ([], url_filter.suffix_statistics(*[spark.createDataFrame([], "host string, label double")] * 2)), URL_RULES)
+    none = url_filter.suffix_statistics(*[spark.createDataFrame([], "host string, label double")] * 2)
+    got = url_filter.judge(df, url_filter.Model([], none, 0.0), URL_RULES)
     assert got.columns == ["page_id", "url", "host", "score", "path", "rule", "verdict"]
     rows = got.collect()
     assert len(rows) == 2 * len(ODD)
@@ -68,7 +69,7 @@ def test_trees_learn_from_labelled_urls(spark):
 
     labelled = spark.createDataFrame(rows(1, 600) + [(None, 0), ("http://x/", None), ("http://y/", 5)], "url string, label int")
     model = url_filter.train(labelled, labelled)
-    assert model[0] and model[1].count() <= url_filter.SLOTS
+    assert model.trees and model.prior == pytest.approx(1 / 3, abs=0.01)
     held = spark.createDataFrame(rows(2, 400), "url string, label int")
     found = url_filter.judge(held, model).collect()
     assert sum((r.verdict == "block") == bool(r.label) for r in found) >= 0.97 * len(found)
@@ -78,4 +79,42 @@ def test_trees_learn_from_labelled_urls(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "url string, label int")
     model = url_filter.train(empty, empty)
-    assert model[0] == [] and url_filter.judge(empty, model, URL_RULES).count() == 0
+    assert model.trees == [] and url_filter.judge(empty, model, URL_RULES).count() == 0
+
+
+def test_many_suffixes_are_counted_each(spark):
+    rows = [(f"http://h.d{i % 6000}.x/{i}", int(i % 6000 < 2)) for i in range(9000)]
+    urls = spark.createDataFrame(rows, "url string, label int").withColumn("host", url_filter.host_of("url"))
+    found = {r.suffix: r for r in url_filter.suffix_statistics(urls, urls.withColumn("label", urls.label.cast("double"))).collect()}
+    assert len(found) == 6001 and found["x"].m == 9000 and found["x"].bad == 4
+    assert all(found[f"d{i}.x"].m == (2 if i < 3000 else 1) for i in range(6000)) and found["d1.x"].bad == 2
+
+
+def test_no_row_is_described_by_its_own_label(spark):
+    """Where every suffix has one URL, rates of others' folds say nothing, so trees do not lean on them."""
+    rng = random.Random(1)
+    rows = [(f"http://a.s{i}.com/{rng.random()}", rng.randint(0, 1)) for i in range(400)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    model = url_filter.train(labelled, labelled)
+    parsed = labelled.select("url", url_filter.host_of("url").alias("host"), url_filter.path_of("url").alias("path"), labelled.label.cast("double").alias("label"))
+    own = url_filter.by_suffix(parsed, "label", url_filter.fold_of(parsed.url).alias("fold")).groupBy("suffix", "fold").agg({"*": "count", "label": "sum"})
+    own = own.select("suffix", "fold", own["count(1)"].alias("m"), own["sum(label)"].alias("bad"))
+    rows, n = url_filter.featured(parsed, model, "url", own=own)
+    assert {round(r.features[n - 1], 9) for r in rows.collect()} == {round(model.prior, 9)}
+
+
+def test_verdicts_are_those_of_the_fitted_trees(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    fitted = []
+    fit = url_filter.GBTClassifier.fit
+    monkeypatch.setattr(url_filter.GBTClassifier, "fit", lambda self, rows: fitted.append((fit(self, rows), rows)) or fitted[-1][0])
+    rng = random.Random(3)
+    rows = [(f"http://h{rng.randint(0, 9)}.com/{'a/' * rng.randint(0, 5)}?x={rng.randint(0, 99)}", rng.randint(0, 1)) for _ in range(300)]
+    model = url_filter.train(*[spark.createDataFrame(rows, "url string, label int")] * 2, rounds=5)
+    (trained, features), forest = fitted[0], model.trees
+    array = vector_to_array("features")
+    total = sum((F.lit(w) * url_filter.trees.value(root, [array[i] for i in range(16)]) for w, root in forest), F.lit(0.0))
+    got = trained.transform(features).select(vector_to_array("probability")[1].alias("p"), (1 / (1 + F.exp(-2 * total))).alias("q"))
+    assert all(r.p == pytest.approx(r.q) for r in got.collect())
