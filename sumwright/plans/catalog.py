@@ -22,7 +22,7 @@ from sumwright.functions.program_text import (
     verify_tokens,
 )
 from sumwright.functions.text import WHITESPACE, words
-from sumwright.operators import corpus, decode, evaluate, retrieve, sample, subwords, tokens
+from sumwright.operators import corpus, decode, evaluate, retrieve, sample, subwords, text_vectors, tokens
 from sumwright.operators.partition import spread
 from sumwright.operators.run_programs import with_equality, with_result
 from sumwright.plans import derive as d
@@ -1065,6 +1065,21 @@ def qa_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("vector_faithfulness")
+def vector_faithfulness(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of each answer and its context in the space of all of them; SQL has no decomposition."""
+    pairs = _pairs(spark, folder).select("conv_id", "turn", "answer", "context")
+    pairs = pairs.withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    space = text_vectors.fit(pairs.select(F.explode(F.array("answer", "context")).alias("text")))
+    sides = [
+        text_vectors.embed(space, pairs, "id", side).select(F.col("row").alias("id"), F.col("vector").alias(f"of_{side}"))
+        for side in ("answer", "context")
+    ]
+    value = similarity.cosine(F.col("of_answer"), F.col("of_context"))
+    both = pairs.join(sides[0], "id").join(sides[1], "id")
+    return both.select("conv_id", "turn", F.round(value, 4).alias("cosine"))
+
+
 SQL_TERMS = f"""{SQL_PAIRS}, counts AS (SELECT term, COUNT(*) AS n FROM (
   SELECT unnest(list_concat({sql_words("answer")}, {sql_words("question")})) AS term FROM pairs)
   GROUP BY term)"""
