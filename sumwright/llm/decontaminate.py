@@ -1,15 +1,15 @@
 """Benchmark decontamination by a positional inverted index.
 
-Every training document's words that occur in the benchmark are stored with their positions, one
-index entry per document and shard: sorted terms, where each term's postings end, and the postings.
-A phrase is looked up from its rarest term: the postings of that term, shifted by its offset, are
-intersected with the shifted postings of the next rarest one, and so on. Benchmarks larger than a
-block are searched block by block.
+All words of the training documents are stored with their positions, by shards of about a megabyte of
+text: sorted terms, where each term's postings end, and the postings. The index knows nothing of a
+benchmark, so it is built once and any number of them can ask it. A phrase is looked up from its
+rarest term: the postings of that term, shifted by its offset, are intersected with the shifted
+postings of the next rarest one, and so on. Benchmarks larger than a block are searched block by
+block.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,71 +100,59 @@ class Phrases:
 # The index
 
 
-def index(docs: DataFrame, phrases) -> DataFrame:
-    """``row, doc_id, n_words, terms, ends, positions`` of every ``row, doc_id, text``.
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``shard, doc_ids, n_words, terms, ends, places``: the postings of all words, by shard.
 
-    ``terms`` are the benchmark's terms in the document, ascending; the postings of the ``k``-th lie
-    in ``positions`` from ``ends[k - 1]`` to ``ends[k]``. ``phrases`` is a broadcast.
+    The words of a shard's documents are numbered one after another. ``terms`` are its distinct words
+    in order; the numbers of the ``k``-th lie in ``places`` from ``ends[k - 1]`` to ``ends[k]``. Written,
+    so that a shard keeps its number. Null texts have no words.
     """
+    kind = docs.schema[doc_id].dataType.simpleString()
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = phrases.value.vocabulary
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0)
             for part in chunks(batch, sizes):
                 words, counts = words_of(part.column("text"))
-                found = pc.index_in(words, vocabulary)
-                known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-                term = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
-                doc = np.repeat(np.arange(len(counts)), counts)[known]
-                position = known - (np.cumsum(counts) - counts)[doc]
-                order = np.argsort(doc * (len(vocabulary) + 1) + term, kind="stable")
-                doc, term, position = doc[order], term[order], position[order]
-                new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
-                ends = np.append(new[1:], len(doc)) if len(new) else new
-                of = doc[new]
-                before = np.searchsorted(doc, np.arange(len(counts)))
-                per_doc = np.searchsorted(of, np.arange(len(counts) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("row"),
-                        part.column("doc_id"),
-                        pa.array(counts.astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(per_doc), pa.array(term[new].astype(np.int32))),
-                        pa.ListArray.from_arrays(pa.array(per_doc), pa.array((ends - before[of]).astype(np.int32))),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.searchsorted(doc, np.arange(len(counts) + 1)).astype(np.int32)),
-                            pa.array(position.astype(np.int32)),
-                        ),
-                    ],
-                    ["row", "doc_id", "n_words", "terms", "ends", "positions"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = "terms array<int>, ends array<int>, positions array<int>"
-    return docs.mapInArrow(post, f"row long, doc_id {kind}, n_words long, {lists}")
+                coded = words.dictionary_encode()
+                order = pc.sort_indices(coded.dictionary).to_numpy()
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
+                term = rank[coded.indices.to_numpy(zero_copy_only=False)]
+                ends = np.cumsum(np.bincount(term, minlength=len(order))).astype(np.int32)
+                places = np.argsort(term, kind="stable").astype(np.int32)
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                terms = coded.dictionary.take(pa.array(order)).cast(pa.binary())
+                lists = [part.column("doc_id"), pa.array(counts.astype(np.int64)), terms, pa.array(ends), pa.array(places)]
+                yield pa.RecordBatch.from_arrays([one(x) for x in lists], ["doc_ids", "n_words", "terms", "ends", "places"])
+
+    schema = f"doc_ids array<{kind}>, n_words array<long>, terms array<binary>, ends array<int>, places array<int>"
+    rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")).mapInArrow(post, schema)
+    return materialize(rows.select(F.monotonically_increasing_id().alias("shard"), "*"), "postings")
 
 
 # Search
 
 
-def shard_postings(batch: pa.RecordBatch, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms and places of all postings of a shard, sorted by both, and where each document begins.
+def shard_postings(shard: dict[str, pa.Array], vocabulary: pa.Array, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, by their number in a vocabulary, and places of its postings in a shard, sorted by both,
+    and where each document begins.
 
     Documents lie one after another with ``gap`` empty places between.
     """
-    n_words = batch.column("n_words").to_numpy(zero_copy_only=False)
-    begin = np.cumsum(n_words + gap) - (n_words + gap)
-    terms, ends, positions = (batch.column(c) for c in ("terms", "ends", "positions"))
-    per_doc = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
-    here = pc.list_value_length(positions).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, stop = terms.flatten().to_numpy(), ends.flatten().to_numpy().astype(np.int64)
-    first = np.diff(stop, prepend=0)
-    heads = (np.cumsum(per_doc) - per_doc)[per_doc > 0]
-    first[heads] = stop[heads]
-    term = np.repeat(flat, first).astype(np.int64)
-    place = positions.flatten().to_numpy().astype(np.int64) + np.repeat(begin, here)
-    order = np.argsort(term, kind="stable")
-    return term[order], place[order], begin
+    n_words = shard["n_words"].to_numpy(zero_copy_only=False)
+    plain = np.cumsum(n_words) - n_words
+    begin = plain + gap * np.arange(len(n_words))
+    found = pc.index_in(vocabulary.cast(pa.binary()), shard["terms"])
+    known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+    at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known]
+    ends = shard["ends"].to_numpy()
+    counts = np.diff(ends, prepend=0)[at]
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = shard["places"].to_numpy()[np.repeat(ends[at] - counts, counts) + nth].astype(np.int64)
+    # Of documents that begin at one place all but the last have no words.
+    doc = np.searchsorted(plain, place, "right") - 1
+    return np.repeat(known, counts).astype(np.int64), place + gap * doc, begin
 
 
 def phrase_matches(term: np.ndarray, place: np.ndarray, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -227,17 +215,15 @@ def near_matches(term: np.ndarray, place: np.ndarray, phrases: Phrases, slack: i
             yield row, first, last
 
 
-def matches(
-    docs: DataFrame,
+def ask(
+    index: DataFrame,
     items: DataFrame,
     window: int = WINDOW,
     slack: int = 0,
-    doc_id: str = "doc_id",
-    text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """``doc_id, n_words, spans`` of every document; ``spans`` are ``start, end, item_id, exact``.
+    """``doc_id, n_words, spans`` of every document of an index; ``spans`` are ``start, end, item_id, exact``.
 
     An item's windows are ``window`` words in a row, or all its words if it has fewer. A span is an
     occurrence of a window, from word ``start`` up to before ``end``. With ``slack`` above 0 windows
@@ -247,31 +233,30 @@ def matches(
     Null texts have no words; items without words have no windows. Repeated documents give repeated
     rows, items that repeat an id are searched each, and a null item id stays null in its spans.
     """
-    spark, found, blocks = docs.sparkSession, None, 0
-    docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = _blocks(items, item_id, item_text)
-    first = list(itertools.islice(parts, 2))
-    if len(first) > 1:  # the blocks' answers are brought together by the row's number
-        docs = materialize(docs, "numbered")
-    for block in itertools.chain(first, parts):
+    spark, found, blocks = index.sparkSession, None, 0
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    spans = "array<struct<start:int,end:int,item_id:string,exact:boolean>>"
+    for block in _blocks(items, item_id, item_text):
         phrases = spark.sparkContext.broadcast(Phrases(block, window))
-        postings = materialize(index(docs, phrases), "postings")
-        kind = postings.schema["doc_id"].dataType.simpleString()
 
         def search(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in chunks(batch, pc.multiply(batch.column("n_words"), 6)):
-                    yield _search(part, phrases.value, slack)
+                for row in range(batch.num_rows):
+                    shard = {name: batch.column(name)[row].values for name in ("doc_ids", "n_words", "terms", "ends", "places")}
+                    yield _search(batch.column("shard")[row].as_py(), shard, phrases.value, slack)
 
-        spans = "array<struct<start:int,end:int,item_id:string,exact:boolean>>"
-        here = postings.mapInArrow(search, f"row long, doc_id {kind}, n_words long, spans {spans}")
+        here = index.mapInArrow(search, f"shard long, nth int, doc_id {kind}, n_words long, spans {spans}")
         found, blocks = here if found is None else found.union(here), blocks + 1
     if blocks > 1:
         # A row of each block for every document.
         merged = F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), merged)
-    return found.drop("row")
+        found = found.groupBy("shard", "nth").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), merged)
+    return found.drop("shard", "nth")
+
+
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """:func:`ask` of an index that is built for it."""
+    return ask(build_index(docs, doc_id, text), items, **options)
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -326,9 +311,9 @@ def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tup
         yield block
 
 
-def _search(part: pa.RecordBatch, phrases: Phrases, slack: int) -> pa.RecordBatch:
+def _search(number: int, shard: dict[str, pa.Array], phrases: Phrases, slack: int) -> pa.RecordBatch:
     gap = phrases.terms.shape[1] + slack * phrases.terms.shape[1] + 1
-    term, place, begin = shard_postings(part, gap)
+    term, place, begin = shard_postings(shard, phrases.vocabulary, gap)
     rows, first, last, exact = [], [], [], []
     if len(phrases.terms) and len(term):
         for row, at in phrase_matches(term, place, phrases):
@@ -363,8 +348,7 @@ def _search(part: pa.RecordBatch, phrases: Phrases, slack: int) -> pa.RecordBatc
         ],
         ["start", "end", "item_id", "exact"],
     )
-    cuts = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [*(part.column(c) for c in ("row", "doc_id", "n_words")), pa.ListArray.from_arrays(cuts, spans)],
-        ["row", "doc_id", "n_words", "spans"],
-    )
+    n = len(shard["doc_ids"])
+    cuts = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+    own = [pa.array(np.full(n, number, np.int64)), pa.array(np.arange(n, dtype=np.int32)), shard["doc_ids"], shard["n_words"]]
+    return pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(cuts, spans)], ["shard", "nth", "doc_id", "n_words", "spans"])

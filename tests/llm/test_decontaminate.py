@@ -101,3 +101,19 @@ def test_empty_tables(spark):
     docs, items = tables(spark, [(1, "a b")], [])
     assert [tuple(r) for r in decontaminate.contamination(docs, items).collect()] == [(1, 2, 0, 0, [], False)]
     assert decontaminate.contamination(*tables(spark, [], [(1, "a")])).count() == 0
+
+
+def test_one_index_answers_any_benchmark(spark):
+    from pyspark.sql import functions as F
+
+    docs, items = corpus(6)
+    built = decontaminate.build_index(tables(spark, docs, items)[0].repartition(25))
+    assert built.count() > 20
+    words = [w for _, t in docs for w in brute.item_words(t)]
+    assert built.agg(F.sum(F.size("places"))).first()[0] == len(words)  # of all terms, whatever a benchmark asks for
+    for benchmark in (items, [(1, "Of the é ßx"), (2, "w1 w2")], [(5, "nothing of this kind occurs")]):
+        want = brute.contamination(docs, benchmark)
+        asked = spark.createDataFrame([(*i, "own") for i in benchmark], ITEMS)
+        for r in decontaminate.ask(built, asked).collect():
+            hit = {i for s in r.spans for i in range(s.start, s.end)}
+            assert (r.n_words, len(hit), sorted({s.item_id for s in r.spans})) == want[r.doc_id]
