@@ -71,7 +71,8 @@ def statistics(text: str | None) -> tuple[float, ...]:
 
 
 def described(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, stats``, the statistics as an array, of every row."""
+    """``doc_id, stats``, the statistics as an array, of every row; repeated rows give repeated rows,
+    an empty table none."""
 
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
@@ -135,5 +136,5 @@ def learn(
 
 
 def score_documents(described: DataFrame, rules: Rules) -> DataFrame:
-    """``doc_id, score`` of rows ``doc_id, stats``."""
+    """``doc_id, score`` of rows ``doc_id, stats``, of each on its own."""
     return described.select("doc_id", rules.score(F.col("stats")).alias("score"))
