@@ -22,7 +22,7 @@ from sumwright.functions.program_text import (
     verify_tokens,
 )
 from sumwright.functions.text import WHITESPACE, words
-from sumwright.operators import corpus, decode, evaluate, retrieve, sample, subwords, text_vectors, tokens
+from sumwright.operators import corpus, decode, evaluate, long_texts, retrieve, sample, subwords, text_vectors, tokens
 from sumwright.operators.partition import spread
 from sumwright.operators.run_programs import with_equality, with_result
 from sumwright.plans import derive as d
@@ -890,7 +890,7 @@ def first_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return sample.first_rows(chunks, 50, "doc_id", "chunk_no")
 
 
-def _sql_recursive() -> str:
+def _sql_recursive(docs: str = "documents", number: str = "INTEGER") -> str:
     """Chunks cut at separators: segments level by level, runs of short pieces, greedy merging.
 
     A segment is cut at the coarsest of the remaining separators that it holds; long pieces are
@@ -900,7 +900,7 @@ def _sql_recursive() -> str:
     levels, runs = [], []
     for k in range(4):
         source = (
-            "SELECT doc_id, text, 0::BIGINT AS s, length(text) AS e, 0 AS lvl FROM documents WHERE length(text) > 0"
+            f"SELECT doc_id, text, 0::BIGINT AS s, length(text) AS e, 0 AS lvl FROM {docs} WHERE length(text) > 0"
             if k == 0
             else f"SELECT doc_id, text, ps AS s, pe AS e, idx + 1 AS lvl FROM piece{k - 1} WHERE long"
         )
@@ -928,7 +928,7 @@ def _sql_recursive() -> str:
         m < greatest(marks[l] - 50, marks[l + 1] - 200))) + 1)::BIGINT AS g FROM merged WHERE l < len(marks))),
   chunk AS (SELECT doc_id, marks[f] AS start, trim(substr(text, marks[f] + 1, marks[l] - marks[f]),
       {_sql_literal(WHITESPACE)}) AS text FROM merged)
-  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS chunk_no, text
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS {number}) AS chunk_no, text
   FROM chunk WHERE text <> ''"""
 
 
@@ -937,6 +937,27 @@ def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.chunk_recursive(spread(table(spark, folder, "documents")))
 
 
+@query(
+    "chunk_parts",
+    _sql_recursive(
+        """(SELECT conv_id AS doc_id, string_agg(text, '' ORDER BY turn NULLS FIRST, md5(text)) AS text
+          FROM conversations GROUP BY conv_id)""",
+        "BIGINT",
+    ),
+)
+def chunk_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as documents, their turns as parts."""
+    turns = table(spark, folder, "conversations").withColumnRenamed("conv_id", "doc_id")
+    return long_texts.chunk_parts(turns, part="turn")
+
+
+@query("chunk_sources")
+def chunk_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts of a source one after the other as one document; SQL takes the square of its length."""
+    docs = table(spark, folder, "documents")
+    return long_texts.chunk_parts(docs, doc="source", part="doc_id")
+
+
 @query(
     "chunk_collection",
     """SELECT DISTINCT sha256(doc_id || '|' || chunk_no || '|' || text) AS id, text, source FROM (
