@@ -10,12 +10,13 @@ Terms and weights are learned from labelled texts, apart from words given before
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Collection, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import ahocorasick
 import numpy as np
@@ -33,7 +34,7 @@ MOST_ROWS = 10_000
 LEAST_ODDS = 1.5
 LEAST_SURPRISE = math.log(1e4)
 
-#: Terms that are harmless inside these phrases.
+#: Terms that are harmless inside these phrases, apart from those learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "scum line", "pond scum")
 
 # Look-alikes outside Latin, by the letter they look like.
@@ -165,21 +166,22 @@ def sample(labels: DataFrame, most: int = MOST_ROWS, by: str = "doc_id") -> Data
     return labels.where(place < share)
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """``term, toxic, clean``: different texts of either label that hold a folded word.
+def unit_counts(rows: DataFrame, units: Callable[[str], Iterable[str]]) -> DataFrame:
+    """``term, toxic, clean``: different texts of either label that hold a unit of their folded text.
 
     Texts that share their least shingle hash count once, shorter ones if all words agree, so copies of one text do not make its
     words look toxic.
     """
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, sketches, labels = [], [], []
             for text, label in zip(*(batch.column(c).to_pylist() for c in ("text", "label")), strict=True):
-                found = WORD.findall(fold(text or ""))
-                threes = zip(found, found[1:], found[2:], strict=False) if len(found) > 2 else [found]
+                folded = fold(text or "")
+                words = WORD.findall(folded)
+                threes = zip(words, words[1:], words[2:], strict=False) if len(words) > 2 else [words]
                 sketch = min(xxhash.xxh64_intdigest(" ".join(t)) for t in threes) >> 1
-                own = list(set(found))
+                own = list(set(units(folded)))
                 terms += own
                 sketches += [sketch] * len(own)
                 labels += [label] * len(own)
@@ -188,18 +190,58 @@ def term_counts(rows: DataFrame) -> DataFrame:
                     terms, sketches, labels = [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(sketches, pa.int64()), pa.array(labels, pa.int32())], ["term", "sketch", "label"])
 
-    rows = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(words, "term string, sketch long, label int")
+    rows = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(found_in, "term string, sketch long, label int")
     once = rows.groupBy("term", "sketch").agg(F.max("label").alias("label"))
     return once.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
 
 
+def term_counts(rows: DataFrame) -> DataFrame:
+    """``term, toxic, clean`` of folded words."""
+    return unit_counts(rows, WORD.findall)
+
+
+def phrases_with(terms: Collection[str], folded: str) -> Iterator[str]:
+    """A term and the word before or behind it, a blank apart."""
+    last, end = None, 0
+    for match in WORD.finditer(folded):
+        if last is not None and folded[end : match.start()] == " " and (last in terms or match[0] in terms):
+            yield f"{last} {match[0]}"
+        last, end = match[0], match.end()
+
+
+def surprise(toxic: Column, clean: Column, rate: Column) -> Column:
+    """Chernoff's bound on as many toxic texts among so many, drawn at ``rate``."""
+    n = toxic + clean
+    few = F.when(clean > 0, clean * F.log(clean / (n * (1 - rate)))).otherwise(0.0)
+    return F.when(toxic > 0, toxic * F.log(toxic / (n * rate))).otherwise(0.0) + few
+
+
+def harmless(rows: DataFrame, terms: Mapping[str, tuple[int, int]], odds: Column) -> tuple[str, ...]:
+    """Phrases that hold a term, given with its toxic and clean texts, and are no more frequent in
+    toxic texts than elsewhere, which chance would not make of the term's own rate."""
+    known = {t: (toxic + 0.5) / (toxic + clean + 1) for t, (toxic, clean) in terms.items() if clean}
+    if not known:
+        return ()
+    phrases = unit_counts(rows, partial(phrases_with, frozenset(known)))
+    # Of a phrase of two terms the one seldomer in toxic texts counts.
+    table, rate = F.from_json(F.lit(json.dumps(known)), "map<string,double>"), F.lit(1.0)
+    for word in (F.substring_index("term", " ", 1), F.substring_index("term", " ", -1)):
+        rate = F.least(rate, F.coalesce(F.try_element_at(table, word), F.lit(1.0)))
+    found = phrases.withColumn("rate", rate)
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    found = found.where((odds <= 0) & (share < F.col("rate")))
+    found = found.where(surprise(F.col("toxic"), F.col("clean"), F.col("rate")) > LEAST_SURPRISE)
+    return tuple(r.term for r in found.select("term").orderBy("term").collect())
+
+
 def learn(labelled: DataFrame, most: int = MOST_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from rows ``text, label`` (1 toxic, 0 not; others and nulls are left out).
 
     A term's weight is its log odds, smoothed by half a text, against those of all texts. Terms
     whose counts chance could explain are left out, so that one takes several texts and their number
     is bounded by the words of the sample: at most about ``most`` rows of either label. Without toxic
-    rows nothing is toxic.
+    rows nothing is toxic. Phrases that make a term harmless are learned from the clean rows that hold it
+    (see :func:`harmless`) and added to ``exceptions``.
     """
     rows = labelled.where("text is not null").select("text", "label")
     rows = materialize(sample(rows, most, "text"), "toxic-sample")
@@ -210,15 +252,13 @@ def learn(labelled: DataFrame, most: int = MOST_ROWS, exceptions: tuple[str, ...
         return Lexicon({}, exceptions, 1.0, 10.0)
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (toxic + 1)) - F.log(b / (clean + 1))
-    # Chernoff's bound on as many toxic texts among those with the term, drawn blindly.
-    n, rate = F.col("toxic") + F.col("clean"), toxic / (toxic + clean)
-    bound = F.col("toxic") * F.log(F.col("toxic") / (n * rate))
-    if clean:
-        bound += F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - rate)))).otherwise(0.0)
-    terms = counts.where("toxic > 0").select("term", odds.alias("odds"), bound.alias("surprise"))
-    terms = terms.where((F.col("odds") > LEAST_ODDS) & (F.col("surprise") > LEAST_SURPRISE))
-    weights = {r.term: float(r.odds) for r in terms.orderBy("term").collect()}
-    lexicon = Lexicon(weights, exceptions)
+    terms = counts.where("toxic > 0").select("term", "toxic", "clean", odds.alias("odds"))
+    terms = terms.where(F.col("odds") > LEAST_ODDS)
+    rate = toxic / (toxic + clean) if clean else 1.0
+    terms = terms.where(surprise(F.col("toxic"), F.col("clean"), F.lit(rate)) > LEAST_SURPRISE)
+    found = terms.orderBy("term").collect()
+    learned = harmless(rows, {r.term: (r.toxic, r.clean) for r in found}, odds)
+    lexicon = Lexicon({r.term: float(r.odds) for r in found}, (*exceptions, *learned))
     return fitted(lexicon, rows)
 
 

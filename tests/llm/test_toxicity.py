@@ -106,3 +106,18 @@ def test_long_terms_and_ligatures(spark):
     rows = [(i, t.replace("grubsch", long), y) for i, t, y in corpus(1)]
     assert toxicity.fold(long) in toxicity.learn(spark.createDataFrame(rows, SCHEMA)).weights
     assert toxicity.fold("ﬁlth") == toxicity.fold("filth") and toxicity.fold("𝐢𝐝𝐢𝐨𝐭") == toxicity.fold("idiot")
+
+
+def test_exceptions_are_learned_from_clean_texts(spark):
+    rows = [(i, t + (" a Snarf hut stood" if y == 0 and i % 20 == 1 else ""), y) for i, t, y in corpus(1)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, SCHEMA), exceptions=())
+    assert set(lexicon.weights) == {toxicity.fold("grubsch"), toxicity.fold("snarf")}
+    assert lexicon.exceptions == ("a snarf", "snarf hut")
+    assert lexicon.density("the snarf hut") == 0 < lexicon.density("the snarf hat")
+    copies = corpus(1) + [(1000 + i, "one and the same snarf hut many times", 0) for i in range(60)]
+    assert toxicity.learn(spark.createDataFrame(copies, SCHEMA), exceptions=()).exceptions == ()
+
+
+def test_phrases_with_terms():
+    assert list(toxicity.phrases_with({"b"}, "a b c.d b  e b")) == ["a b", "b c", "d b", "e b"]
+    assert list(toxicity.phrases_with({"b"}, "")) == list(toxicity.phrases_with(set(), "a b")) == []
