@@ -26,6 +26,8 @@ WINDOW = 10
 BLOCK_CHARS = 2 * 2**20
 #: Bytes of text that are taken apart at a time; a longer document is taken alone.
 CHUNK = 2**20
+#: Shards of a row group; a task reads these at once.
+SHARDS = 4
 #: Candidates that are checked at a time.
 CANDIDATES = 2**20
 
@@ -128,7 +130,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     schema = f"doc_ids array<{kind}>, n_words array<long>, terms array<binary>, ends array<int>, places array<int>"
     rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")).mapInArrow(post, schema)
-    return materialize(rows.select(F.monotonically_increasing_id().alias("shard"), "*"), "postings")
+    return materialize(rows.select(F.monotonically_increasing_id().alias("shard"), "*"), "postings", SHARDS)
 
 
 # Search
