@@ -22,6 +22,8 @@ from sumwright.session import checkpointed
 #: Characters of a block, and functions that one task composes at a time.
 BLOCK = 2**18
 GROUP = 256
+#: Blocks or groups of a row group; a task reads these at once.
+ROWS = 16
 
 _FAR = 2**60
 _BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
@@ -232,7 +234,7 @@ def entries(functions: DataFrame, states: int) -> DataFrame:
         group = F.floor(F.col("block") / GROUP).alias("block")
         grouped = level.groupBy("doc", group).agg(members.alias("m"))
         flat = [F.flatten(f"m.{c}").alias(c) for c in ("to", "n")]
-        groups.append(checkpointed(grouped.select("doc", "block", F.col("m.block").alias("members"), *flat), "groups"))
+        groups.append(checkpointed(grouped.select("doc", "block", F.col("m.block").alias("members"), *flat), "groups", ROWS))
         schema = f"doc {doc_type}, block long, to array<long>, n array<long>"
         level = checkpointed(groups[-1].drop("members").mapInPandas(compose, schema), "functions")
     zero = F.lit(0).cast("long")
@@ -266,7 +268,7 @@ def chunk_parts(
     if not 0 <= overlap < size or block < 1:
         raise ValueError("overlap must be smaller than size, and block positive")
     doc_type = parts.schema[doc].dataType.simpleString()
-    cut = checkpointed(blocks(with_offsets(parts, doc, part, text), block, size, 4 * size), "blocks")
+    cut = checkpointed(blocks(with_offsets(parts, doc, part, text), block, size, 4 * size), "blocks", ROWS)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
