@@ -120,19 +120,26 @@ def token_body(tokens: Column) -> Column:
 
 
 def _group_body(tokens: Column) -> Column:
-    """Complete groups of four body tokens as raw steps (``op`` keeps its parenthesis)."""
-    count = F.floor((F.size(tokens) - 1) / 4).cast("int")
-    return F.when(
-        count > 0,
-        F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda i: F.struct(
-                F.get(tokens, i * 4).alias("op"),
-                F.get(tokens, i * 4 + 1).alias("a"),
-                F.get(tokens, i * 4 + 2).alias("b"),
+    """Complete groups of four body tokens as raw steps (``op`` keeps its parenthesis).
+
+    Tokens are bound: what is not a variable would be computed anew in every step.
+    """
+
+    def grouped(tokens: Column) -> Column:
+        count = F.floor((F.size(tokens) - 1) / 4).cast("int")
+        return F.when(
+            count > 0,
+            F.transform(
+                F.sequence(F.lit(0), count - 1),
+                lambda i: F.struct(
+                    F.get(tokens, i * 4).alias("op"),
+                    F.get(tokens, i * 4 + 1).alias("a"),
+                    F.get(tokens, i * 4 + 2).alias("b"),
+                ),
             ),
-        ),
-    ).otherwise(_empty_steps())
+        ).otherwise(_empty_steps())
+
+    return bind(tokens, grouped)
 
 
 def raw_token_steps(tokens: Column) -> Column:
