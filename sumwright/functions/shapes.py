@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sumwright.functions.text import bind
+
 STRING, LIST, OBJECT, BOOLEAN, NUMBER, NULL = "string", "list", "object", "boolean", "number", "null"
 
 
 def kind_of(value: Column) -> Column:
     """Kind of a variant; a missing value is ``null``."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name.isNull() | (name == "VOID"), NULL)
+    return bind(
+        F.schema_of_variant(value),
+        lambda name: F.when(name.isNull() | (name == "VOID"), NULL)
         .when(name == "STRING", STRING)
         .when(name == "BOOLEAN", BOOLEAN)
         .when(name.startswith("ARRAY"), LIST)
         .when(name.startswith("OBJECT"), OBJECT)
-        .otherwise(NUMBER)
+        .otherwise(NUMBER),
     )
 
 
@@ -56,10 +58,14 @@ def items(text: Column) -> Column:
 def entries(text: Column) -> Column:
     """``array<struct<key, kind, text>>`` of a JSON object, in its order."""
     variants = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
-    return F.transform(
-        F.map_entries(F.from_json(text, "map<string,string>")),
-        lambda e: F.struct(
-            e["key"].alias("key"), kind_of(F.element_at(variants, e["key"])).alias("kind"), e["value"].alias("text")
+    pairs = F.map_entries(F.from_json(text, "map<string,string>"))
+    return bind(
+        variants,
+        lambda known: F.transform(
+            pairs,
+            lambda e: F.struct(
+                e["key"].alias("key"), kind_of(F.element_at(known, e["key"])).alias("kind"), e["value"].alias("text")
+            ),
         ),
     )
 
