@@ -48,21 +48,24 @@ def _mul(x: Column, y: Column, modulus: int = PRIME) -> Column:
 def _inverse(x: Column, modulus: int = PRIME) -> Column:
     # The exponent of the modular inverse, highest bit first.
     bits = F.lit([int(bit) for bit in format(modulus - 2, "b")])
-    return F.aggregate(
+    inverse = F.aggregate(
         bits,
         F.lit(1).cast("bigint"),
         lambda r, bit: F.when(bit == 1, _mul(_mul(r, r, modulus), x, modulus)).otherwise(_mul(r, r, modulus)),
     )
+    # Most values are no quotients.
+    return F.when(x == 1, x).otherwise(inverse)
 
 
 def _generated(exponent: Column) -> Column:
-    """The generator to a power below ORDER: the product of the squares that its bits choose."""
-    squares = [pow(GENERATOR, 1 << i, PRIME) for i in range(ORDER.bit_length())]
-    chosen = F.transform(
-        F.array(*[F.lit(s).cast("bigint") for s in squares]),
-        lambda s, i: F.when(F.getbit(exponent, i) == 1, s).otherwise(F.lit(1).cast("bigint")),
-    )
-    return F.aggregate(chosen, F.lit(1).cast("bigint"), lambda r, s: _mul(r, s))
+    """The generator to a power below ORDER: the product of the powers that its hexadecimal digits choose."""
+    made = None
+    for low in range(0, ORDER.bit_length(), 4):
+        powers = [F.lit(pow(GENERATOR, digit << low, PRIME)).cast("bigint") for digit in range(16)]
+        digit = F.shiftright(exponent, low).bitwiseAND(F.lit(15).cast("bigint")).cast("int")
+        chosen = F.get(F.array(*powers), digit)
+        made = chosen if made is None else _mul(made, chosen)
+    return made
 
 
 def _symbol(*parts: Column, modulus: int = PRIME) -> Column:
