@@ -1,7 +1,7 @@
 """Program execution and comparison over a whole DataFrame.
 
 The column functions of ``functions.execute`` and ``functions.equivalence`` handle every program,
-but a fold over an array is interpreted. Nearly all real programs are one to three plain
+but a fold over an array is interpreted. Nearly all real programs are a few plain
 arithmetic or table steps, so these operators lay such programs out as ordinary columns, one projection per
 step, which Spark compiles; every other program takes the fold. Both are maps: nothing shuffles.
 """
@@ -17,14 +17,16 @@ from sumwright.functions.numbers import round_exact
 from sumwright.functions.program_text import EOF, TABLE_PREFIX
 from sumwright.functions.text import strip
 
+#: Steps laid out for a comparison of programs and for running one.
 UNROLLED_STEPS = 3
+UNROLLED_RUN = 6
 
 _ARG = r"(?:-?\d+(?:\.\d+)?|const_\d+|#\d)"
 _CALC = r"(?:add|subtract|multiply|divide|exp)"
-# Joined with '|': up to UNROLLED_STEPS calls with plain arguments; only the last may compare.
+# Joined with '|': up to UNROLLED_RUN calls with plain arguments; only the last may compare.
 _TABLE_CALL = r"table_(?:max|min|sum|average)\(\|[^|()#]+\|[^|()#]+"
 _PLAIN_PROGRAM = (
-    rf"\A(?:(?:{_CALC}\(\|{_ARG}\|{_ARG}|{_TABLE_CALL})\|\)\|){{0,{UNROLLED_STEPS - 1}}}"
+    rf"\A(?:(?:{_CALC}\(\|{_ARG}\|{_ARG}|{_TABLE_CALL})\|\)\|){{0,{UNROLLED_RUN - 1}}}"
     rf"(?:(?:{_CALC}|greater)\(\|{_ARG}\|{_ARG}|{_TABLE_CALL})\|\)\|{EOF}\z"
 )
 _RATIONAL = r"(?:add|subtract|multiply|divide)"
@@ -35,6 +37,7 @@ _RATIONAL_PROGRAM = (
 )
 
 _STEPS = range(UNROLLED_STEPS)
+_RUN = range(UNROLLED_RUN)
 _TEMP = "__sw_"
 
 
@@ -84,12 +87,13 @@ def with_result(
         token = _token(tokens, step, place)
         earlier = " ".join(f"WHEN '#{k}' THEN {_TEMP}v{k}" for k in range(step))
         reference = f"CASE {token} {earlier} END" if step else "CAST(NULL AS DOUBLE)"
-        return f"""CASE WHEN {_TEMP}n <= {step} THEN NULL
+        # A table step has no numbers: a failing cast is slow.
+        return f"""CASE WHEN {_TEMP}n <= {step} OR startswith({_token(tokens, step, 0)}, '{TABLE_PREFIX}') THEN NULL
             WHEN startswith({token}, '#') THEN {reference}
             WHEN startswith({token}, 'const_') THEN try_cast(substring({token}, 7) AS DOUBLE)
             ELSE try_cast({token} AS DOUBLE) END"""
 
-    for step in _STEPS:
+    for step in _RUN:
         x, y = f"{_TEMP}x{step}", f"{_TEMP}y{step}"
         op, key = F.expr(_token(tokens, step, 0)), F.expr(_token(tokens, step, 1))
         looked_up = F.lit(None).cast("double")
@@ -113,8 +117,8 @@ def with_result(
             },
         )
     # Any missing or infinite value (bad reference, zero divisor, overflow) is left to the fold.
-    sound = " AND ".join(f"({_TEMP}n <= {k} OR abs({_TEMP}v{k}) <= 1.7e308D)" for k in _STEPS)
-    last = ", ".join(f"{_TEMP}v{k}" for k in reversed(_STEPS))
+    sound = " AND ".join(f"({_TEMP}n <= {k} OR abs({_TEMP}v{k}) <= 1.7e308D)" for k in _RUN)
+    last = ", ".join(f"{_TEMP}v{k}" for k in reversed(_RUN))
     run = _project(
         run,
         last=f"CASE WHEN {_TEMP}n > 0 AND {sound} THEN coalesce({last}) END",
@@ -139,8 +143,8 @@ def with_equality(
 ) -> DataFrame:
     """Add ``out``: whether the ``pred`` program is the same expression as the ``gold`` program.
 
-    Compiled: literals and references are checked; one random point refutes; the same text up to
-    the order of commuting operands confirms. What is left takes the fold at several points.
+    Compiled: literals and references are checked; the random points of the fold refute or confirm.
+    What has no value at a point, and programs of other forms, take the fold.
     """
     sides = {"g": gold, "p": pred}
     slots = [(step, place) for step in _STEPS for place in (1, 2)]
@@ -170,13 +174,13 @@ def with_equality(
     )
     run = _project(run, tested=f"{_TEMP}ok AND NOT {_TEMP}same")
 
+    points = range(len(SEEDS))
+    parts = [f"{part}{i}" for i in points for part in "nd"]
+
     def operand(side: str, step: int, place: int, part: str) -> str:
         token = _token(sides[side], step, place)
-        fresh = {
-            "n": f"pmod(xxhash64(concat('lit|', {token}), {SEEDS[0]}), {PRIME}L)",
-            "d": "1L",
-            "text": token,
-        }[part]
+        symbol = f"pmod(xxhash64(concat('lit|', {token}), {SEEDS[int(part[1:])]}), {PRIME}L)"
+        fresh = symbol if part[0] == "n" else "1L"
         earlier = " ".join(f"WHEN {token} = '#{k}' THEN {_TEMP}{side}{k}_{part}" for k in range(step))
         return f"""CASE WHEN NOT ({_TEMP}tested AND {_TEMP}n_{side} > {step}) THEN NULL
             {earlier} ELSE {fresh} END"""
@@ -188,24 +192,21 @@ def with_equality(
                 f"{side}{step}_{place}{part}": operand(side, step, place, part)
                 for side in sides
                 for place in (1, 2)
-                for part in ("n", "d", "text")
+                for part in parts
             },
         )
         results = {}
-        for side, tokens in sides.items():
-            op, at = _token(tokens, step, 0), f"{_TEMP}{side}{step}_"
-            left = f"pmod({at}1n * {at}2d, {PRIME}L)"
-            right = f"pmod({at}2n * {at}1d, {PRIME}L)"
-            results[f"{side}{step}_n"] = f"""CASE {op}
+        for side, i in [(side, i) for side in sides for i in points]:
+            op, at = _token(sides[side], step, 0), f"{_TEMP}{side}{step}_"
+            left = f"pmod({at}1n{i} * {at}2d{i}, {PRIME}L)"
+            right = f"pmod({at}2n{i} * {at}1d{i}, {PRIME}L)"
+            results[f"{side}{step}_n{i}"] = f"""CASE {op}
                 WHEN 'add(' THEN pmod({left} + {right}, {PRIME}L)
                 WHEN 'subtract(' THEN pmod({left} - {right}, {PRIME}L)
-                WHEN 'multiply(' THEN pmod({at}1n * {at}2n, {PRIME}L) ELSE {left} END"""
-            results[f"{side}{step}_d"] = (
-                f"pmod({at}1d * IF({op} = 'divide(', {at}2n, {at}2d), {PRIME}L)"
+                WHEN 'multiply(' THEN pmod({at}1n{i} * {at}2n{i}, {PRIME}L) ELSE {left} END"""
+            results[f"{side}{step}_d{i}"] = (
+                f"pmod({at}1d{i} * IF({op} = 'divide(', {at}2n{i}, {at}2d{i}), {PRIME}L)"
             )
-            results[f"{side}{step}_text"] = f"""CASE WHEN {op} IN ('add(', 'multiply(')
-                THEN concat({op}, least({at}1text, {at}2text), '|', greatest({at}1text, {at}2text), ')')
-                ELSE concat({op}, {at}1text, '|', {at}2text, ')') END"""
         run = _project(run, **results)
 
     run = _project(
@@ -215,16 +216,20 @@ def with_equality(
             + ", ".join(f"{_TEMP}{side}{k}_{part}" for k in reversed(_STEPS))
             + ")"
             for side in sides
-            for part in ("n", "d", "text")
+            for part in parts
         },
     )
     t = _TEMP
+    # Point by point, as the fold goes.
+    tests = " ".join(
+        f"""WHEN {t}g_d{i} = 0 OR {t}p_d{i} = 0 THEN NULL
+            WHEN pmod({t}g_n{i} * {t}p_d{i}, {PRIME}L) <> pmod({t}p_n{i} * {t}g_d{i}, {PRIME}L) THEN FALSE"""
+        for i in points
+    )
     run = _project(
         run,
         verdict=f"""CASE WHEN NOT {t}plain THEN NULL WHEN NOT {t}ok THEN FALSE
-            WHEN {t}same THEN TRUE WHEN {t}g_d = 0 OR {t}p_d = 0 THEN NULL
-            WHEN pmod({t}g_n * {t}p_d, {PRIME}L) <> pmod({t}p_n * {t}g_d, {PRIME}L) THEN FALSE
-            WHEN {t}g_text = {t}p_text THEN TRUE END""",
+            WHEN {t}same THEN TRUE {tests} ELSE TRUE END""",
     )
     folded = equal_program(F.col(gold), F.col(pred), positional_tables)
     return _settle(run, out, F.coalesce(F.col(f"{_TEMP}verdict"), folded))

@@ -368,3 +368,57 @@ def test_filter_on_results_is_cheap_to_plan(spark):
     df = spark.createDataFrame([(tokens("add(1, 2)"), tokens("add(2, 1)"))], "gold array<string>, predicted array<string>")
     both = with_equality(with_result(df)).where("result.num = 3 AND equal")
     assert both.count() == 1
+
+
+def test_plain_programs_of_six_steps_are_laid_out(spark):
+    """Every plain program of up to six steps has its value without the fold."""
+    from sumwright.operators import run_programs
+
+    text = "subtract(7, 3), divide(#0, 3), multiply(#1, 2), add(#2, 1), subtract(#3, 7), divide(#4, 3)"
+    df = spark.createDataFrame([(text,)], "program string").select(pt.tokenize_program(F.col("program")).alias("predicted"))
+    assert df.select(run_programs._matches("predicted", run_programs._PLAIN_PROGRAM)).first()[0] == 6
+    assert run_programs.with_result(df).first().result.num == round(((4 / 3 * 2 + 1) - 7) / 3, 5)
+
+
+def test_rational_programs_need_no_fold(spark, monkeypatch):
+    """Equal by algebra and not by text: the random points of the compiled form settle it."""
+    from sumwright.operators import run_programs
+
+    monkeypatch.setattr(run_programs, "equal_program", lambda *_: F.lit(None).cast("boolean"))
+    pairs = [
+        ("add(5, 3), divide(#0, 2)", "divide(5, 2), divide(3, 2), add(#1, #0)", True),
+        ("add(5, 3), divide(#0, 2)", "add(5, 3), divide(2, #0)", False),
+        ("subtract(5, 3), subtract(#0, 3)", "add(3, 3), subtract(5, #0)", True),
+        ("subtract(5, 5), divide(3, #0)", "subtract(3, 3), divide(5, #0)", None),
+    ]
+    df = spark.createDataFrame(pairs, "g string, p string, wanted boolean")
+    df = df.select(pt.tokenize_program(F.col("g")).alias("gold"), pt.tokenize_program(F.col("p")).alias("predicted"), "wanted")
+    assert [r.equal for r in run_programs.with_equality(df).collect()] == [p[2] for p in pairs]
+
+
+def test_powers_and_inverses_are_those_of_integers(spark):
+    from sumwright.functions import equivalence as e
+
+    numbers = [1, 2, 15, 16, 255, 12345678, e.ORDER - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n bigint")
+    got = df.select(e._generated(F.col("n")).alias("g"), e._inverse(F.col("n")).alias("i")).collect()
+    assert [r.g for r in got] == [pow(e.GENERATOR, n, e.PRIME) for n in numbers]
+    assert [r.i for r in got] == [pow(n, -1, e.PRIME) for n in numbers]
+
+
+def test_tokens_are_computed_once_for_all_steps(spark):
+    """Steps of an expression: what is not a variable would be computed anew in every one."""
+    df = spark.range(1).select(F.lit("add(1, 2), add(#0, 3)").alias("program"))
+    steps = pt.raw_token_steps(pt.tokenize_program(F.col("program")))
+    calls = str(steps).count("regexp_extract_all")
+    assert calls == 1 and len(df.select(steps.alias("s")).first().s) == 2
+
+
+def test_kind_of_a_value_is_asked_once(spark):
+    from sumwright.functions import shapes
+
+    df = spark.createDataFrame([('[1, "a", null, true, [2], {"b": 3}]',)], "t string")
+    assert str(shapes.kind_of(F.col("v"))).count("schema_of_variant") == 1
+    assert [i.kind for i in df.select(shapes.items(F.col("t")).alias("i")).first().i] == [
+        "number", "string", "null", "boolean", "list", "object"
+    ]
