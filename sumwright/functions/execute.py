@@ -227,6 +227,32 @@ def eval_program(tokens: Column, table: Column | None = None) -> Column:
     )
 
 
+def screen_reference(arg: Column) -> Column:
+    """Step number in ``#k`` by the screening rule; null when it is no integer."""
+    ref = F.substring(arg, 2, 2147483647)
+    return F.when(ref.rlike(_REFERENCE), strip(ref).try_cast("int"))
+
+
+def screen_number(arg: Column) -> Column:
+    """Plain number or ``const_N`` → double, else null."""
+    return F.coalesce(const_value(arg), parse_float(arg))
+
+
+def screen_value(op: Column, x: Column, y: Column, suffix: str = "") -> Column:
+    """One screened step; null when an operand is missing. ``suffix`` ends the names of operations."""
+    return (
+        F.when(op == "add" + suffix, x + y)
+        .when(op == "subtract" + suffix, x - y)
+        .when(op == "multiply" + suffix, x * y)
+        .when(op == "divide" + suffix, F.try_divide(x, y))
+        .when(op == "exp" + suffix, F.pow(x, y))
+        .when(
+            (op == "greater" + suffix) & x.isNotNull() & y.isNotNull(),
+            F.when(x > y, 1.0).otherwise(0.0),
+        )
+    )
+
+
 def screen_steps(steps: Column) -> Column:
     """Lenient run used to screen candidates → double, null when any step has no finite value.
 
@@ -236,27 +262,14 @@ def screen_steps(steps: Column) -> Column:
     infinity = F.lit(float("inf"))
 
     def argument(arg: Column, acc: Column) -> Column:
-        ref = F.substring(arg, 2, 2147483647)
-        return F.when(
-            arg.startswith("#"),
-            F.get(acc, F.when(ref.rlike(_REFERENCE), strip(ref).try_cast("int"))),
-        ).otherwise(F.coalesce(const_value(arg), parse_float(arg)))
+        return F.when(arg.startswith("#"), F.get(acc, screen_reference(arg))).otherwise(screen_number(arg))
 
     def run(acc: Column, step: Column) -> Column:
-        op = step["op"]
         value = bind(
             F.struct(
                 argument(step["a"], acc).alias("x"), argument(step["b"], acc).alias("y")
             ),
-            lambda v: F.when(op == "add", v["x"] + v["y"])
-            .when(op == "subtract", v["x"] - v["y"])
-            .when(op == "multiply", v["x"] * v["y"])
-            .when(op == "divide", F.try_divide(v["x"], v["y"]))
-            .when(op == "exp", F.pow(v["x"], v["y"]))
-            .when(
-                (op == "greater") & v["x"].isNotNull() & v["y"].isNotNull(),
-                F.when(v["x"] > v["y"], 1.0).otherwise(0.0),
-            ),
+            lambda v: screen_value(step["op"], v["x"], v["y"]),
         )
         finite = bind(value, lambda z: F.when(~F.isnan(z) & (F.abs(z) != infinity), z))
         return F.concat(acc, F.array(finite))

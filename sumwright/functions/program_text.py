@@ -30,6 +30,13 @@ _KNOWN_CALL = (
 )
 _OPENING = r"(?i)(?:" + "|".join(ARITHMETIC_OPS) + r"|table_[a-z_]+)\s*\("
 _ANY_CALL = r"[a-zA-Z_][a-zA-Z0-9_]*\s*\(\s*[^,)]+\s*,\s*[^,)]+\s*\)"
+# Any call; group 1 is empty unless the decoder takes its operation (``is_valid_op``).
+_LISTED_CALL = (
+    r"((?i:" + "|".join(ARITHMETIC_OPS) + r"|table_[a-z0-9_]*)"
+    r"\s*\(\s*[^,)]+\s*,\s*[^,)]+\s*\))|" + _ANY_CALL
+)
+# One call of a squeezed text: operation and stripped arguments.
+_CALL_PARTS = r"([^( ]+) ?\( ?([^,]*?) ?, ?([^)]*?) ?\)"
 
 
 def _empty_steps() -> Column:
@@ -96,14 +103,29 @@ def tokenize_program(program: Column) -> Column:
 
 def parse_raw_to_steps(raw: Column) -> Column:
     """Generated text → steps. Text before the answer mark and after a stop mark is ignored."""
+    calls = F.regexp_extract_all(_answer(raw), F.lit(_ANY_CALL), F.lit(0))
+    steps = F.filter(F.transform(calls, _call_to_step), lambda s: is_valid_op(s["op"]))
+    return F.coalesce(steps, _empty_steps())
+
+
+def parse_raw_to_tokens(raw: Column) -> Column:
+    """``steps_to_tokens(parse_raw_to_steps(raw))`` without a fold, as text that Spark compiles.
+
+    No part of a call holds a comma, so tokens are joined by commas and split again.
+    """
+    calls = F.regexp_extract_all(_answer(raw), F.lit(_LISTED_CALL), F.lit(1))
+    listed = F.regexp_replace(F.array_join(calls, ""), _CALL_PARTS, "$1(,$2,$3,),")
+    return F.split(F.concat(F.coalesce(listed, F.lit("")), F.lit(EOF)), ",")
+
+
+def _answer(raw: Column) -> Column:
+    """Generated text between the answer mark and the first stop mark, whitespace squeezed."""
     at = F.instr(raw, ANSWER_MARK)
     skip = F.when(at > 0, at + len(ANSWER_MARK)).otherwise(1)
     body = F.substring(raw, skip, F.lit(2147483647))
     for mark in STOP_MARKS:
         body = F.substring_index(body, mark, 1)
-    calls = F.regexp_extract_all(squeeze(body), F.lit(_ANY_CALL), F.lit(0))
-    steps = F.filter(F.transform(calls, _call_to_step), lambda s: is_valid_op(s["op"]))
-    return F.coalesce(steps, _empty_steps())
+    return squeeze(body)
 
 
 def steps_to_tokens(steps: Column) -> Column:

@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumwright.functions.execute import screen_steps
-from sumwright.functions.program_text import (
-    EOF,
-    parse_raw_to_steps,
-    steps_to_tokens,
-    tokens_to_steps,
-    verify_tokens,
-)
+from sumwright.functions.program_text import EOF, parse_raw_to_tokens, verify_tokens
+from sumwright.operators.run_programs import with_usable
 
 
 def decode(raw: DataFrame, text: str = "raw_text") -> DataFrame:
     """Add ``predicted``: the token program found in the generated text."""
-    return raw.withColumn("predicted", steps_to_tokens(parse_raw_to_steps(F.col(text))))
+    return raw.withColumn("predicted", parse_raw_to_tokens(F.col(text)))
 
 
 def select_candidate(candidates: DataFrame, id_col: str = "id", *order: str) -> DataFrame:
@@ -28,25 +22,15 @@ def select_candidate(candidates: DataFrame, id_col: str = "id", *order: str) ->
     side, so an id with very many candidates is no problem.
     """
     order = order or ("sample_no",)
-    sequence = F.struct(*order)
-    ready = candidates.withColumn(
-        "__usable",
-        F.when(
-            verify_tokens(F.col("predicted")), screen_steps(tokens_to_steps(F.col("predicted")))
-        ).isNotNull(),
-    )
-    usable = F.col("__usable")
-    longest_first = F.struct((-F.size("predicted")).alias("length"), sequence.alias("sequence"))
-    picked = ready.groupBy(id_col).agg(
-        F.min_by(F.when(usable, F.col("predicted")), F.when(usable, sequence)).alias("first"),
-        F.min_by("predicted", longest_first).alias("longest"),
-    )
+    ready = with_usable(candidates, "predicted", "__usable")
+    # All usable ones come first, in order; then the others by length.
+    length = F.when(F.col("__usable"), F.lit(0)).otherwise(-F.size("predicted"))
+    best = F.struct((~F.col("__usable")).alias("unusable"), length.alias("length"), *order)
+    picked = ready.groupBy(id_col).agg(F.min_by("predicted", best).alias("predicted"))
     return picked.select(
         id_col,
         F.coalesce(
-            "first",
-            F.when(F.size("longest") > 1, F.col("longest")),
-            F.array(F.lit(EOF)),
+            F.when(F.size("predicted") > 1, F.col("predicted")), F.array(F.lit(EOF))
         ).alias("predicted"),
     )
 

@@ -12,9 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwright.functions.equivalence import PRIME, SEEDS, equal_program
-from sumwright.functions.execute import eval_program, table_value
+from sumwright.functions.execute import (
+    eval_program,
+    screen_number,
+    screen_reference,
+    screen_steps,
+    screen_value,
+    table_value,
+)
 from sumwright.functions.numbers import round_exact
-from sumwright.functions.program_text import EOF, TABLE_PREFIX
+from sumwright.functions.program_text import (
+    ARITHMETIC_OPS,
+    EOF,
+    TABLE_PREFIX,
+    tokens_to_steps,
+    verify_tokens,
+)
 from sumwright.functions.text import strip
 
 #: Steps laid out for a comparison of programs and for running one.
@@ -134,6 +147,53 @@ def with_result(
     return _settle(run, out, F.when(final.isNotNull(), plain).otherwise(folded))
 
 
+def with_usable(df: DataFrame, tokens: str = "predicted", out: str = "usable") -> DataFrame:
+    """Add ``out``: whether ``tokens`` are verified and every step has a value when screened.
+
+    A step's numbers and references are read in one projection, its value is one more. Programs of
+    more than ``UNROLLED_RUN`` steps take the fold.
+    """
+    size, last = F.size(tokens), F.try_element_at(F.col(tokens), F.lit(-1))
+    shaped = (size >= 5) & ((size - 1) % 4 == 0) & F.coalesce(last == EOF, F.lit(True))
+    n = F.col(f"{_TEMP}n")
+    run = df.withColumn(f"{_TEMP}n", F.when(shaped, F.floor((size - 1) / 4).cast("int")).otherwise(0))
+
+    def token(step: int, place: int) -> Column:
+        return F.expr(_token(tokens, step, place))
+
+    def read(step: int) -> dict[str, Column]:
+        # A missing closing token passes, as it does in ``verify_tokens``.
+        here = (n > step) & (n <= UNROLLED_RUN) & F.coalesce(token(step, 3) == ")", F.lit(True))
+        op = token(step, 0)
+        plain = F.when(op.isin([f"{known}(" for known in ARITHMETIC_OPS]), op).otherwise(F.lower(op))
+        columns = {f"{_TEMP}o{step}": F.when(here, plain)}
+        for name, place in (("x", 1), ("y", 2)):
+            marked = token(step, place).startswith("#")
+            columns[f"{_TEMP}{name}{step}"] = F.when(here & ~marked, screen_number(token(step, place)))
+            if step:
+                columns[f"{_TEMP}{name}r{step}"] = F.when(here & marked, screen_reference(token(step, place)))
+        return columns
+
+    run = run.withColumns({name: column for step in _RUN for name, column in read(step).items()})
+    for step in _RUN:
+        earlier = [F.col(f"{_TEMP}v{k}") for k in range(step)]
+
+        def operand(name: str) -> Column:
+            number = F.col(f"{_TEMP}{name}{step}")
+            if not earlier:
+                return number
+            return F.coalesce(number, F.get(F.array(*earlier), F.col(f"{_TEMP}{name}r{step}")))
+
+        value = screen_value(F.col(f"{_TEMP}o{step}"), operand("x"), operand("y"), "(")
+        run = run.withColumn(f"{_TEMP}v{step}", value)
+    sound = n > 0
+    for step in _RUN:
+        sound &= (n <= step) | F.coalesce(F.abs(f"{_TEMP}v{step}") < float("inf"), F.lit(False))
+    folded = F.when(verify_tokens(F.col(tokens)), screen_steps(tokens_to_steps(F.col(tokens))))
+    usable = F.when(n > UNROLLED_RUN, folded.isNotNull()).otherwise(sound)
+    return run.withColumn(out, usable).drop(*[c for c in run.columns if c.startswith(_TEMP)])
+
+
 def with_equality(
     df: DataFrame,
     gold: str = "gold",
