@@ -35,7 +35,7 @@ def test_decode_is_steps_to_tokens_of_parsed_text(spark):
 
 
 def test_decode_compiles(spark):
-    """A fold over the calls was interpreted, at half the time of the whole selection."""
+    """A fold over the calls was interpreted."""
     decoded = decode(spark.createDataFrame([("add(1, 2)",)], "raw_text string"))
     assert "lambdafunction" not in decoded._jdf.queryExecution().optimizedPlan().toString()
 
