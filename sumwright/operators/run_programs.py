@@ -2,16 +2,18 @@
 
 The column functions of ``functions.execute`` and ``functions.equivalence`` handle every program,
 but a fold over an array is interpreted. Nearly all real programs are a few plain
-arithmetic or table steps, so these operators lay such programs out as ordinary columns, one projection per
-step, which Spark compiles; every other program takes the fold. Both are maps: nothing shuffles.
+arithmetic or table steps. To run, such programs are laid out as ordinary columns, one projection per
+step, which Spark compiles; to compare, they are evaluated a batch at a time by numpy
+(``functions.points``). Every other program takes the fold. Both are maps: nothing shuffles.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwright.functions.equivalence import PRIME, SEEDS, equal_program
+from sumwright.functions.equivalence import equal_program
 from sumwright.functions.execute import (
     eval_program,
     screen_number,
@@ -21,6 +23,7 @@ from sumwright.functions.execute import (
     table_value,
 )
 from sumwright.functions.numbers import round_exact
+from sumwright.functions.points import equal_pairs
 from sumwright.functions.program_text import (
     ARITHMETIC_OPS,
     EOF,
@@ -30,8 +33,7 @@ from sumwright.functions.program_text import (
 )
 from sumwright.functions.text import strip
 
-#: Steps laid out for a comparison of programs and for running one.
-UNROLLED_STEPS = 3
+#: Steps laid out for running a program.
 UNROLLED_RUN = 6
 
 _ARG = r"(?:-?\d+(?:\.\d+)?|const_\d+|#\d)"
@@ -42,14 +44,7 @@ _PLAIN_PROGRAM = (
     rf"\A(?:(?:{_CALC}\(\|{_ARG}\|{_ARG}|{_TABLE_CALL})\|\)\|){{0,{UNROLLED_RUN - 1}}}"
     rf"(?:(?:{_CALC}|greater)\(\|{_ARG}\|{_ARG}|{_TABLE_CALL})\|\)\|{EOF}\z"
 )
-_RATIONAL = r"(?:add|subtract|multiply|divide)"
-_LITERAL = r"[^|#()\s]+"
-_RATIONAL_PROGRAM = (
-    rf"\A(?:{_RATIONAL}\(\|(?:{_LITERAL}|#\d)\|(?:{_LITERAL}|#\d)\|\)\|){{1,{UNROLLED_STEPS}}}"
-    rf"{EOF}\z"
-)
 
-_STEPS = range(UNROLLED_STEPS)
 _RUN = range(UNROLLED_RUN)
 _TEMP = "__sw_"
 
@@ -203,93 +198,14 @@ def with_equality(
 ) -> DataFrame:
     """Add ``out``: whether the ``pred`` program is the same expression as the ``gold`` program.
 
-    Compiled: literals and references are checked; the random points of the fold refute or confirm.
-    What has no value at a point, and programs of other forms, take the fold.
+    Programs of plain form, of any operations and any number of steps, are evaluated a batch at a time
+    (``functions.points``). What has no value at a point, and programs of other forms, take the fold.
     """
-    sides = {"g": gold, "p": pred}
-    slots = [(step, place) for step in _STEPS for place in (1, 2)]
-    run = df.withColumns(
-        {f"{_TEMP}n_{side}": _matches(tokens, _RATIONAL_PROGRAM) for side, tokens in sides.items()}
-    )
-
-    def literal(side: str, step: int, place: int) -> str:
-        token = _token(sides[side], step, place)
-        return f"CASE WHEN {_TEMP}n_{side} > {step} AND NOT startswith({token}, '#') THEN {token} END"
-
-    def reference_ok(side: str, step: int, place: int) -> str:
-        token = _token(sides[side], step, place)
-        return (
-            f"({_TEMP}n_{side} <= {step} OR NOT startswith({token}, '#') "
-            f"OR try_cast(substring({token}, 2) AS INT) < {step})"
-        )
-
-    names = {side: ", ".join(literal(side, *slot) for slot in slots) for side in sides}
-    references = " AND ".join(reference_ok(side, *slot) for side in sides for slot in slots)
-    run = _project(run, plain=f"{_TEMP}n_g > 0 AND {_TEMP}n_p > 0")
-    run = _project(
-        run,
-        same=f"{_TEMP}plain AND array_join(`{gold}`, '|') = array_join(`{pred}`, '|')",
-        ok=f"""{_TEMP}plain AND {references}
-            AND size(array_except(array({names["p"]}), array(NULL, {names["g"]}))) = 0""",
-    )
-    run = _project(run, tested=f"{_TEMP}ok AND NOT {_TEMP}same")
 
-    points = range(len(SEEDS))
-    parts = [f"{part}{i}" for i in points for part in "nd"]
-
-    def operand(side: str, step: int, place: int, part: str) -> str:
-        token = _token(sides[side], step, place)
-        symbol = f"pmod(xxhash64(concat('lit|', {token}), {SEEDS[int(part[1:])]}), {PRIME}L)"
-        fresh = symbol if part[0] == "n" else "1L"
-        earlier = " ".join(f"WHEN {token} = '#{k}' THEN {_TEMP}{side}{k}_{part}" for k in range(step))
-        return f"""CASE WHEN NOT ({_TEMP}tested AND {_TEMP}n_{side} > {step}) THEN NULL
-            {earlier} ELSE {fresh} END"""
-
-    for step in _STEPS:
-        run = _project(
-            run,
-            **{
-                f"{side}{step}_{place}{part}": operand(side, step, place, part)
-                for side in sides
-                for place in (1, 2)
-                for part in parts
-            },
-        )
-        results = {}
-        for side, i in [(side, i) for side in sides for i in points]:
-            op, at = _token(sides[side], step, 0), f"{_TEMP}{side}{step}_"
-            left = f"pmod({at}1n{i} * {at}2d{i}, {PRIME}L)"
-            right = f"pmod({at}2n{i} * {at}1d{i}, {PRIME}L)"
-            results[f"{side}{step}_n{i}"] = f"""CASE {op}
-                WHEN 'add(' THEN pmod({left} + {right}, {PRIME}L)
-                WHEN 'subtract(' THEN pmod({left} - {right}, {PRIME}L)
-                WHEN 'multiply(' THEN pmod({at}1n{i} * {at}2n{i}, {PRIME}L) ELSE {left} END"""
-            results[f"{side}{step}_d{i}"] = (
-                f"pmod({at}1d{i} * IF({op} = 'divide(', {at}2n{i}, {at}2d{i}), {PRIME}L)"
-            )
-        run = _project(run, **results)
+    @F.arrow_udf("boolean")
+    def settled(ours: pa.Array, theirs: pa.Array) -> pa.Array:
+        return equal_pairs(ours, theirs, positional_tables)
 
-    run = _project(
-        run,
-        **{
-            f"{side}_{part}": "coalesce("
-            + ", ".join(f"{_TEMP}{side}{k}_{part}" for k in reversed(_STEPS))
-            + ")"
-            for side in sides
-            for part in parts
-        },
-    )
-    t = _TEMP
-    # Point by point, as the fold goes.
-    tests = " ".join(
-        f"""WHEN {t}g_d{i} = 0 OR {t}p_d{i} = 0 THEN NULL
-            WHEN pmod({t}g_n{i} * {t}p_d{i}, {PRIME}L) <> pmod({t}p_n{i} * {t}g_d{i}, {PRIME}L) THEN FALSE"""
-        for i in points
-    )
-    run = _project(
-        run,
-        verdict=f"""CASE WHEN NOT {t}plain THEN NULL WHEN NOT {t}ok THEN FALSE
-            WHEN {t}same THEN TRUE {tests} ELSE TRUE END""",
-    )
+    verdict = settled(F.col(gold), F.col(pred))
     folded = equal_program(F.col(gold), F.col(pred), positional_tables)
-    return _settle(run, out, F.coalesce(F.col(f"{_TEMP}verdict"), folded))
+    return _settle(df.withColumn(f"{_TEMP}verdict", verdict), out, F.coalesce(F.col(f"{_TEMP}verdict"), folded))

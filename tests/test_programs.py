@@ -3,9 +3,12 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sumwright.functions import points
 from sumwright.functions import program_text as pt
 from sumwright.functions.equivalence import equal_program
 from sumwright.functions.execute import eval_program, screen_steps
@@ -396,6 +399,107 @@ def test_rational_programs_need_no_fold(spark, monkeypatch):
     assert [r.equal for r in run_programs.with_equality(df).collect()] == [p[2] for p in pairs]
 
 
+def test_plain_programs_of_any_operation_need_no_fold(spark, monkeypatch):
+    """Powers, comparisons, table steps and programs of any length are settled a batch at a time."""
+    from sumwright.operators import run_programs
+
+    monkeypatch.setattr(run_programs, "equal_program", lambda *_: F.lit(None).cast("boolean"))
+    terms = [f"add(#{i}, {i})" for i in range(40)]
+    cases = POWERS + [
+        ("exp(7, 2), greater(#0, 3)", "exp(7, 2), greater(#0, 3)", True),
+        ("add(7, 3), exp(#0, 2)", "add(3, 7), exp(#0, 2)", True),
+        ("add(7, 3), exp(#0, 2)", "add(3, 7), exp(#0, 3)", False),
+        ("exp(7, 2), greater(#0, 3)", "greater(7, 3)", False),
+        ("greater(7, 3)", "greater(3, 7)", False),
+        ("greater(7, 3)", "subtract(7, 3)", False),
+        ("add(7, 3), subtract(#0, 3), greater(7, #1)", "subtract(3, 7), subtract(3, 3), add(#0, 7), greater(#2, 3)", True),
+        ("table_max(rev, none), add(#0, 7)", "table_max(rev, none), add(7, #0)", True),
+        ("table_max(rev, none), add(#0, 7)", "table_min(rev, none), add(#0, 7)", False),
+        ("table_max(rev, none), add(#0, 7)", "table_max(net sales, none), add(#0, 7)", False),
+        ("add(7, 3)", "add(7, 3), add(#2, 7)", False),
+        ("add(7, 3)", "add(7, 4)", False),
+        ("add(12, 3), add(1, 23)", "add(1, 23), add(12, 3)", False),
+        (", ".join(["add(0, 0)", *terms]), ", ".join(["add(0, 0)", *(t.replace("add(#", "subtract(#") for t in terms)]), False),
+        (", ".join(["add(x, x)", *terms]), ", ".join(["add(39, 0)", *(f"add({38 - i}, #{i})" for i in range(38)), "add(x, #38), add(#39, x)"]), True),
+        ("subtract(5, 5), divide(3, #0), exp(#1, 3)", "subtract(3, 3), divide(5, #0), exp(#1, 3)", None),  # no value
+        ("greater(7, 3), add(#0, 7)", "greater(7, 3), add(#0, 7)", None),  # arithmetic on a comparison
+        ("modulo(7, 3)", "modulo(7, 3)", None),
+    ]
+    df = spark.createDataFrame([(i, tokens(g), tokens(p)) for i, (g, p, _) in enumerate(cases)], "i int, gold array<string>, predicted array<string>")
+    found = {r.i: r.equal for r in run_programs.with_equality(df).collect()}
+    assert [(c, found[i]) for i, c in enumerate(cases) if found[i] is not c[2]] == []
+
+
+def random_pair(rng):
+    """A program and one that is often the same by another order of operands; at times of no plain form."""
+    odd = ["", " a", "a ", "1|2", "a(", "\x85a", "#", "##0", "#+0", "# 0", "#-1", "#9", "a#0", None, "EOF"]
+    ops = rng.choice(([*pt.ALL_OPS, "modulo", "Add"], pt.ALL_OPS[:4], pt.ALL_OPS[:5], ["exp", "multiply", "divide"], ["table_max", "greater", "add"]))
+
+    def argument(i):
+        if rng.random() < 0.03:
+            return rng.choice(odd)
+        return f"#{rng.randrange(i)}" if i and rng.random() < 0.55 else rng.choice(["a", "b", "c", "a b"])
+
+    def program():
+        made = []
+        for i in range(rng.randint(0, 5)):
+            op = rng.choice(ops)
+            a, b = (rng.choice("rs"), "none") if op.startswith("table_") else (argument(i), argument(i))
+            made += [f"{op}(", a, b, ")"]
+        if rng.random() < 0.03 and made:
+            made[rng.randrange(len(made))] = None
+        return [*made, "EOF"] if rng.random() < 0.97 else made or None
+
+    gold = program()
+    other = list(gold or [])
+    for k in range(0, len(other) - 4, 4):
+        if other[k] in ("add(", "multiply(") and rng.random() < 0.5:
+            other[k + 1], other[k + 2] = other[k + 2], other[k + 1]
+        if rng.random() < 0.08:
+            other[k] = f"{rng.choice(ops)}("
+    return gold, other if rng.random() < 0.8 else program()
+
+
+@pytest.mark.parametrize("positional", [False, True])
+def test_batches_settle_what_the_fold_says(spark, positional):
+    rng = random.Random(5)
+    pairs = [random_pair(rng) for _ in range(600)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, gold array<string>, predicted array<string>").coalesce(1)
+    fold = {r.i: r.equal for r in df.select("i", equal_program(F.col("gold"), F.col("predicted"), positional).alias("equal")).collect()}
+    got = {r.i: r.equal for r in with_equality(df, positional_tables=positional).collect()}
+    assert [(p, fold[i], got[i]) for i, p in enumerate(pairs) if fold[i] is not got[i]] == []
+
+    kind = pa.list_(pa.string())
+    gold, predicted = (pa.array([p[side] for p in pairs], kind) for side in (0, 1))
+    batch = points.equal_pairs(gold, predicted, positional).to_pylist()
+    assert [(p, fold[i], batch[i]) for i, p in enumerate(pairs) if batch[i] not in (None, fold[i])] == []
+    assert points.equal_pairs(gold[100:], predicted[100:], positional).to_pylist() == batch[100:]
+    assert points.equal_pairs(gold[:0], predicted[:0], positional).to_pylist() == []
+    assert batch.count(None) < 300 and batch.count(True) > 50 and batch.count(False) > 50
+
+
+def test_tokens_of_any_bytes_are_compared():
+    """Strings of Spark may hold what is no UTF-8."""
+    flat = [b"add(", b"\xff", b"\xc3\xa9", b")", b"EOF", b"add(", b"\xc3\xa9", b"\xff", b")", b"EOF", b"add(", b"\xc3\xa9", b"\xfe", b")", b"EOF"]
+    offsets, sizes = [0], b""
+    for token in flat:
+        sizes += token
+        offsets.append(len(sizes))
+    text = pa.StringArray.from_buffers(len(flat), pa.py_buffer(np.array(offsets, np.int32)), pa.py_buffer(sizes))
+    lists = pa.ListArray.from_arrays([0, 5, 10, 15], text)
+    assert points.equal_pairs(lists[:2], lists[1:]).to_pylist() == [True, False]
+
+
+def test_numpy_powers_and_inverses_are_those_of_integers():
+    from sumwright.functions import equivalence as e
+
+    numbers = np.array([1, 2, 15, 16, 255, 256, 12345678, e.ORDER - 1], np.uint64)
+    assert points.generated(numbers).tolist() == [pow(e.GENERATOR, n, e.PRIME) for n in numbers.tolist()]
+    assert points.inverses(numbers).tolist() == [pow(n, -1, e.PRIME) for n in numbers.tolist()]
+    assert points.inverses(numbers, e.ORDER).tolist() == [pow(n, -1, e.ORDER) for n in numbers.tolist()]
+    assert points.inverses(np.array([0], np.uint64)).tolist() == [0]
+
+
 def test_powers_and_inverses_are_those_of_integers(spark):
     from sumwright.functions import equivalence as e
 
